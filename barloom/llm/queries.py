@@ -35,8 +35,106 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_table(spark, sf_dir, "pages"))
 
 
+def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(_table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed",
+        "kept",
+    )
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_url_alias_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_alias import UrlRule, filter_urls
+
+    rules = [
+        UrlRule("net/", "block"),
+        UrlRule("example.net/en/", "allow"),
+        UrlRule("example.com/de/", "block"),
+        UrlRule("org/fr/", "allow"),
+    ]
+    return filter_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_tokens, op5_ogg_media, op10_warc_archive)
+    f.__name__: f
+    for f in (
+        op1_wavelet_tokens,
+        op3_quality_cascade,
+        op4_best_fit_packing,
+        op5_ogg_media,
+        op6_url_alias_filter,
+        op7_rank_order_language,
+        op8_license_scan,
+        op10_warc_archive,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), grams AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n >= 2
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id
+), f AS (
+  SELECT doc_id, t, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN repeated USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * n_words
+            OR 100 * n_dup_lines > 40 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words
+            OR 100 * length(regexp_replace(t, '\P{Lu}+', '', 'g')) > 50 * word_chars
+            OR 100 * length(regexp_replace(t, '\P{L}+', '', 'g')) < 50 * word_chars) AS kept
+FROM f"""
+
+#: For pages whose html names no canonical link or refresh redirect to another url, as in the driver's tables.
+_OP6_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+         lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)) AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), r AS (
+  SELECT page_id, host, path,
+         CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/')
+                THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/')
+                THEN 'example.com/de/'
+              WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM u
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' ELSE 'allow' END AS verdict
+FROM r"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality_cascade": _OP3_SQL, "op6_url_alias_filter": _OP6_SQL}
