@@ -29,6 +29,12 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_column(_table(spark, sf_dir, "documents"))
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parity_join import link
+
+    return link(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_url_alias_filter,
         op7_rank_order_language,
         op8_license_scan,
+        op9_parity_join,
         op10_warc_archive,
     )
 }
@@ -91,8 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents
 ), grams AS (
   SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g
