@@ -50,7 +50,10 @@ def _repeat_words(words: Column, hashes: Column, n: Column) -> Column:
     starts = F.sequence(F.lit(0), n - WINDOW)
     keys = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
     exact = F.sort_array(
-        F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("i")))
+        F.transform(
+            starts,
+            lambda i: F.struct(F.concat_ws(" ", *[F.get(words, i + k) for k in range(WINDOW)]).alias("w"), i.alias("i")),
+        )
     )
 
     def twice(s: Column) -> Column:

@@ -41,6 +41,13 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_table(spark, sf_dir, "pages"))
 
 
+def op2_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_fst import decode_column, encode_column
+
+    model = vocabulary("piece_bpe_32k.model")
+    return decode_column(encode_column(_table(spark, sf_dir, "documents"), model), model)
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -80,10 +87,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_wavelet_tokens,
+        op2_piece_transducer,
         op3_quality_cascade,
         op4_best_fit_packing,
         op5_ogg_media,
@@ -92,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_parity_join,
         op10_warc_archive,
+        pipeline,
     )
 }
 
