@@ -70,7 +70,11 @@ def _repeat_words(words: Column, hashes: Column, n: Column) -> Column:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """``row`` (the input's columns), ``text`` (null as empty) and ``q``, the features, each computed once."""
+    """``row`` (the input's columns), ``text`` (null as empty), ``q``, the features, and ``part``.
+
+    ``part`` is not deterministic: a filter that uses it stays above the features, where the optimizer would else copy
+    them into the filter, and whole arrays into functions of each element.
+    """
     texts = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     words = texts.select("row", "text", F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"))
     counted = words.select(
@@ -92,6 +96,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             _repeat_words(F.col("words"), F.col("hashes"), F.col("n")).alias("n_repeat_words"),
         ).alias("q"),
+        F.spark_partition_id().alias("part"),
     )
 
 
@@ -103,7 +108,7 @@ def order_rules(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, sample_rows: int = SAMPLE_ROWS
 ) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, share rejected), best rejection per second first, from at most ``sample_rows`` documents."""
-    sample = with_features(docs.select("text").limit(sample_rows)).select("text", "q").cache()
+    sample = with_features(docs.select("text").limit(sample_rows)).select("text", "q", "part").cache()
     n = max(1, sample.count())
     found = []
     for rule in rules:
@@ -129,9 +134,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, sample_rows: int
     featured = with_features(docs)
     failed = base_failed(F.col("q"))
     rejected = F.when(failed, "base").otherwise(cascade(featured, ordered))
+    kept = rejected.isNull() & (F.col("part") >= 0)
     return featured.select(
-        "row", "q", failed.alias("base_failed"), rejected.alias("rejected_by")
-    ).withColumn("kept", F.col("rejected_by").isNull())
+        "row", "q", failed.alias("base_failed"), rejected.alias("rejected_by"), kept.alias("kept")
+    )
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -24,7 +24,7 @@ def documents(spark):
 
 def odd_docs(spark):
     texts = [
-        None, "", " \n\t", "one", "a b c d e " * 5, "a b c d e f g h i j", "Ñandú x  # $ line\nline\n\nline",
+        None, "", " \n\t", "one", "a b c d e " * 5, "alpha beta gamma delta epsilon zeta eta theta iota kappa", "Ñandú x  # $ line\nline\n\nline",
         "x " * 30_000, "same words here to see again and same words here to see again", "##", "1 2 3 4 5 6 7 8 9 10 11",
         "ALL CAPITALS IN THIS TEXT OF MORE THAN TEN WORDS REALLY ALL",
     ]
