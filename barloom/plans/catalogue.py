@@ -1,33 +1,3 @@
-"""The named queries."""
+"""All query modules; importing them registers their queries."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from barloom.plans.registry import register
-from barloom.sources.bars import BARS_SQL, bars
-
-
-@register(
-    "top_volume",
-    f"""WITH {BARS_SQL}
-    SELECT ticker, market, sum(volume) AS total_volume, round(avg(volume), 6) AS avg_volume,
-           count(DISTINCT date) AS trading_days
-    FROM bars WHERE date >= (SELECT max(date) FROM bars) - INTERVAL 700 DAY
-    GROUP BY ticker, market ORDER BY total_volume DESC, ticker, market LIMIT 20""",
-)
-def top_volume(spark: SparkSession, sf_dir: str, days: int = 700, k: int = 20) -> DataFrame:
-    b = bars(spark, sf_dir)
-    latest = b.agg(F.date_sub(F.max("date"), days).alias("since"))
-    return (
-        b.join(F.broadcast(latest), F.col("date") >= F.col("since"))
-        .groupBy("ticker", "market")
-        .agg(
-            F.sum("volume").alias("total_volume"),
-            F.round(F.avg("volume"), 6).alias("avg_volume"),
-            F.countDistinct("date").alias("trading_days"),
-        )
-        .orderBy(F.desc("total_volume"), "ticker", "market")
-        .limit(k)
-    )
+from barloom.plans import feature_queries, learning_queries, market_queries, quality_queries, text_queries  # noqa: F401
