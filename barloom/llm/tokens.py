@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_200_000
 
 #: A byte-level pre-token never holds white space after something else; the class on the left is wider than any
 #: tokenizer's white space, the one on the right narrower.
