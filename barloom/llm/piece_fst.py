@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -94,7 +94,8 @@ class Transducer:
         self.scores = {p: s for p, s, k in pieces if k == NORMAL}
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
-        self.longest = max(map(len, self.ids), default=1)
+        self.longest = max((len(p.lstrip(MARK)) + 1 for p in self.ids), default=1)
+        self.longest_run = max((len(p) for p in self.ids if not p.strip(MARK)), default=1)
         self.inside = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
         self.word_starts = not any(b[1] == MARK and b[0] != MARK for b in self.inside)
         self.table = [
@@ -158,16 +159,18 @@ class Transducer:
     def _shortest(self, text: str) -> bytes:
         """Ids of the shortest path, state after state. In a BPE model one path at most reaches each place: merging
         gives every prefix one answer, so the state's last piece is known and the search stops at the arc that fits."""
-        arcs, follows, bpe, longest = self.arcs, self.follows, self.bpe, self.longest
+        arcs, follows, bpe = self.arcs, self.follows, self.bpe
+        longest = max(self.longest, self.longest_run) if MARK in text[1:] else self.longest
         cost, last = [0.0] + [float("inf")] * len(text), [""] * (len(text) + 1)
         for end in range(1, len(text) + 1):
-            for at in range(max(0, end - longest), end):
+            for at in range(end - longest if end > longest else 0, end):
                 piece = text[at:end]
-                weight = arcs.get(piece)
-                if weight is None:
+                if piece not in arcs:
                     if end - at > 1:
                         continue
                     weight = 100.0  # a character that is no piece: its bytes
+                else:
+                    weight = arcs[piece]
                 if at and bpe and not follows[last[at], piece]:
                     continue
                 if cost[at] + weight < cost[end]:
@@ -178,7 +181,11 @@ class Transducer:
         while end:
             path.append(last[end])
             end -= len(last[end])
-        return np.array([i for p in reversed(path) for i in self._ids_of(p)], "<u2").tobytes()
+        ids = self.ids
+        found = [ids.get(p, -1) for p in reversed(path)]
+        if -1 in found:
+            found = [i for p in reversed(path) for i in self._ids_of(p)]
+        return struct.pack(f"<{len(found)}H", *found)
 
     def _ids_of(self, piece: str) -> list[int]:
         if piece in self.ids:
@@ -186,14 +193,12 @@ class Transducer:
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
 
     def _cut(self, text: str) -> bytes:
-        """Ids of a text whose ends are cuts, segment by segment."""
-        out, start = [], 0
-        for at in range(1, len(text)):
-            if text[at - 1 : at + 1] not in self.inside:
-                out.append(self.segments[text[start:at]])
-                start = at
-        out.append(self.segments[text[start:]])
-        return b"".join(out)
+        """Ids of a text whose ends are cuts, segment by segment; parts of a cut text are remembered."""
+        inside = self.inside
+        cuts = [at for at in range(1, len(text)) if text[at - 1 : at + 1] not in inside]
+        if not cuts:
+            return self._shortest(text)
+        return b"".join(self.segments[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True))
 
     def encode(self, text: str) -> bytes:
         """Ids, two little-endian bytes each."""
