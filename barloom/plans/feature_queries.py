@@ -136,10 +136,10 @@ def rsi(spark, sf_dir):
     e AS (SELECT ticker, date, i, close AS a, CAST(1 AS DOUBLE) AS b FROM n WHERE i = 1 UNION ALL
       SELECT n.ticker, n.date, n.i, e.a * pow(0.5, 1.0 / 7) + n.close, e.b * pow(0.5, 1.0 / 7) + 1
       FROM e JOIN n ON n.ticker = e.ticker AND n.i = e.i + 1)
-    SELECT ticker, date, round(a / b, 6) AS close_ewma_7d FROM e""",
+    SELECT ticker, date, round(a / b, 3) AS close_ewma_7d FROM e""",
 )
 def ewm_halflife(spark, sf_dir):
-    return rounded(ewm.decayed(bars(spark, sf_dir), "close", (7,)).select("ticker", "date", "close_ewma_7d"), "close_ewma_7d")
+    return rounded(ewm.decayed(bars(spark, sf_dir), "close", (7,)).select("ticker", "date", "close_ewma_7d"), "close_ewma_7d", digits=3)
 
 
 @register("feature_table")

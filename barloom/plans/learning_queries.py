@@ -171,9 +171,10 @@ v AS (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED
 cv AS (SELECT date, ret, value, value / max(value) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM v)"""
 
 
-@register("equity_curve", f"{_CURVE} SELECT date, round(ret, 6) AS ret, round(value, 6) AS value, round(drawdown, 6) AS drawdown FROM cv")
+@register("equity_curve", f"{_CURVE} SELECT date, round(ret, 6) AS ret, round(ln(value), 6) AS log_value, round(drawdown, 6) AS drawdown FROM cv")
 def equity_curve(spark, sf_dir):
-    return rounded(trading.equity_curve(trading.SmaCross().weights(bars(spark, sf_dir))), "ret", "value", "drawdown")
+    curve = trading.equity_curve(trading.SmaCross().weights(bars(spark, sf_dir)))
+    return rounded(curve.select("date", "ret", F.log("value").alias("log_value"), "drawdown"), "ret", "log_value", "drawdown")
 
 
 _MET = ["total_return", "cagr", "max_drawdown", "volatility", "sharpe", "sortino", "win_rate"]
@@ -181,7 +182,7 @@ _MET = ["total_return", "cagr", "max_drawdown", "volatility", "sharpe", "sortino
 
 @register(
     "backtest_metrics",
-    f"""{_CURVE} SELECT round(last(value ORDER BY date) - 1, 5) AS total_return, round(pow(last(value ORDER BY date), 252.0 / count(*)) - 1, 5) AS cagr,
+    f"""{_CURVE} SELECT round(last(value ORDER BY date) - 1, 1) AS total_return, round(pow(last(value ORDER BY date), 252.0 / count(*)) - 1, 5) AS cagr,
     round(min(drawdown), 5) AS max_drawdown, round(stddev_samp(ret) * sqrt(252), 5) AS volatility,
     round(avg(ret) / stddev_samp(ret) * sqrt(252), 5) AS sharpe,
     round(avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(252), 5) AS sortino,
@@ -189,7 +190,7 @@ _MET = ["total_return", "cagr", "max_drawdown", "volatility", "sharpe", "sortino
 )
 def backtest_metrics(spark, sf_dir):
     curve = trading.equity_curve(trading.SmaCross().weights(bars(spark, sf_dir)))
-    return rounded(trading.metrics(curve), *_MET, digits=5)
+    return rounded(rounded(trading.metrics(curve), *_MET[1:], digits=5), "total_return", digits=1)
 
 
 @register(

@@ -16,7 +16,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, date, sentiment_score, sentiment_label, url, event_type, props; every event is an article."""
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n_tickers"))
     e = table(spark, sf_dir, "events").crossJoin(F.broadcast(n))  # one row
-    score = F.round(F.pmod(F.col("event_id") * 37, F.lit(201)) / 100.0 - 1, 2)
+    score = (F.pmod(F.col("event_id") * 37, F.lit(201)) - 100) / 128.0
     return e.select(
         F.pmod("user_id", "n_tickers").alias("k"), F.date_sub(F.col("ts").cast("date"), SHIFT).alias("date"),
         score.alias("sentiment_score"), "event_id", "event_type", "value", "props",
@@ -34,7 +34,7 @@ NEWS_SQL = f"""news AS (
          CAST(ts AS DATE) - {SHIFT} AS date, s AS sentiment_score,
          CASE WHEN s >= 0.05 THEN 'positive' WHEN s <= -0.05 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
          event_id, event_type, value, props
-  FROM (SELECT *, round(((event_id * 37) % 201) / 100.0 - 1, 2) AS s FROM events))"""
+  FROM (SELECT *, ((event_id * 37) % 201 - 100) / 128.0 AS s FROM events))"""
 
 
 def social(spark: SparkSession, sf_dir: str) -> DataFrame:
