@@ -9,20 +9,23 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-SERIES = Window.partitionBy("ticker").orderBy("date")
+
+def by_ticker() -> WindowSpec:
+    """Each ticker's rows in order of date."""
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def change(x: str | Column, n: int) -> Column:
     """x over its value ``n`` rows before, less one; null where that is 0."""
     x = F.col(x) if isinstance(x, str) else x
-    return x / F.nullif(F.lag(x, n).over(SERIES), F.lit(0.0)) - 1
+    return x / F.nullif(F.lag(x, n).over(by_ticker()), F.lit(0.0)) - 1
 
 
 def full(agg, x: str | Column, n: int) -> Column:
     """``agg`` of the last ``n`` rows, null unless all are there and not null."""
-    w = SERIES.rowsBetween(-(n - 1), 0)
+    w = by_ticker().rowsBetween(-(n - 1), 0)
     x = F.col(x) if isinstance(x, str) else x
     return F.when(F.count(x).over(w) >= n, agg(x).over(w))
 
@@ -46,7 +49,7 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 
 def ranges(bars: DataFrame, n: int = 14, vol: int = 20) -> DataFrame:
     """Average true range (simple mean), volatility a year of 252 days, overnight and intraday return, high-low range."""
-    prev = F.lag("close").over(SERIES)
+    prev = F.lag("close").over(by_ticker())
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
     out = bars.withColumns({"_tr": true_range, "_r": change("close", 1), "_prev": prev})
     return out.withColumns(
@@ -61,12 +64,12 @@ def ranges(bars: DataFrame, n: int = 14, vol: int = 20) -> DataFrame:
 
 
 def volumes(bars: DataFrame, n: int = 20) -> DataFrame:
-    step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(SERIES)), F.lit(0.0)) * F.col("volume")
+    step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(by_ticker())), F.lit(0.0)) * F.col("volume")
     out = bars.withColumns({f"volume_ma_{n}": full(F.avg, "volume", n), "_step": step})
     return out.withColumns(
         {
             "volume_roc_5": change("volume", 5),
-            "obv": F.sum("_step").over(SERIES.rowsBetween(Window.unboundedPreceding, 0)),
+            "obv": F.sum("_step").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)),
             "volume_ratio": F.col("volume") / F.nullif(f"volume_ma_{n}", F.lit(0.0)),
         }
     ).drop("_step")
@@ -88,7 +91,7 @@ def calendar(bars: DataFrame) -> DataFrame:
 
 def target(bars: DataFrame) -> DataFrame:
     return bars.withColumn(
-        "next_day_return", F.lead("close").over(SERIES) / F.nullif("close", F.lit(0.0)) - 1
+        "next_day_return", F.lead("close").over(by_ticker()) / F.nullif("close", F.lit(0.0)) - 1
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.indicators import SERIES, full
+from barloom.functions.indicators import by_ticker, full
 
 
 def candidates(bars: DataFrame, strategies: dict[str, tuple[int, float, float]]) -> DataFrame:
@@ -34,7 +34,7 @@ def triple_barrier(bars: DataFrame, vol: str, profit: float = 1.5, stop: float =
     The path is a bounded window frame of each bar, so no join is needed.
     """
     v = F.greatest(F.coalesce(F.col(vol), F.lit(0.0)), F.lit(floor))
-    ahead = SERIES.rowsBetween(1, horizon)
+    ahead = by_ticker().rowsBetween(1, horizon)
     path = F.collect_list(F.struct("high", "low", "close")).over(ahead)
     rows = bars.withColumns({"_path": path, "upper_barrier_return": v * profit, "lower_barrier_return": v * stop})
     up = F.col("close") * (1 + F.col("upper_barrier_return"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.indicators import SERIES, full
+from barloom.functions.indicators import by_ticker, full
 
 FEE, TAX = 0.001425, 0.003
 
@@ -31,7 +31,7 @@ class SmaCross(Strategy):
 
     def weights(self, bars: DataFrame) -> DataFrame:
         rows = bars.withColumns({"_f": full(F.avg, "close", self.fast), "_s": full(F.avg, "close", self.slow)})
-        rows = rows.withColumns({"_pf": F.lag("_f").over(SERIES), "_ps": F.lag("_s").over(SERIES)})
+        rows = rows.withColumns({"_pf": F.lag("_f").over(by_ticker()), "_ps": F.lag("_s").over(by_ticker())})
         crossed = (F.col("_f") > F.col("_s")) & (F.col("_pf") <= F.col("_ps"))
         return rows.withColumn("weight", F.when(crossed, 1.0).otherwise(0.0)).drop("_f", "_s", "_pf", "_ps")
 
@@ -45,7 +45,7 @@ class BandReversion(Strategy):
     def weights(self, bars: DataFrame) -> DataFrame:
         low = full(F.avg, "close", self.n) - self.k * full(F.stddev_samp, "close", self.n)
         rows = bars.withColumn("_low", low)
-        rows = rows.withColumns({"_pl": F.lag("_low").over(SERIES), "_pc": F.lag("close").over(SERIES)})
+        rows = rows.withColumns({"_pl": F.lag("_low").over(by_ticker()), "_pc": F.lag("close").over(by_ticker())})
         entry = (F.col("close") < F.col("_low")) & (F.col("_pc") >= F.col("_pl"))
         return rows.withColumn("weight", F.when(entry, self.weight).otherwise(0.0)).drop("_low", "_pl", "_pc")
 
@@ -57,8 +57,8 @@ class Momentum(Strategy):
         self.lookback, self.skip, self.every, self.share, self.least = lookback, skip, every, share, least
 
     def weights(self, bars: DataFrame) -> DataFrame:
-        old = F.lag("close", self.lookback + self.skip).over(SERIES)
-        rows = bars.withColumn("_r", F.lag("close", self.skip).over(SERIES) / F.nullif(old, F.lit(0.0)) - 1)
+        old = F.lag("close", self.lookback + self.skip).over(by_ticker())
+        rows = bars.withColumn("_r", F.lag("close", self.skip).over(by_ticker()) / F.nullif(old, F.lit(0.0)) - 1)
         dates = bars.select("date").distinct()
         n = F.row_number().over(Window.orderBy("date")) - 1  # one row a date, whatever the tickers
         rows = rows.join(dates.withColumn("_set", n % self.every == 0), "date")
@@ -68,15 +68,15 @@ class Momentum(Strategy):
         top = F.floor(F.col("_n") * self.share)
         held = (F.col("_r").isNotNull()) & (F.col("_k") <= top) & (F.col("_n") >= self.least)
         fixed = F.when(F.col("_set"), F.when(held, 1 / F.nullif(top.cast("double"), F.lit(0.0))).otherwise(0.0))
-        filled = F.last("_w", ignorenulls=True).over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
+        filled = F.last("_w", ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
         rows = rows.withColumn("_w", fixed)
         return rows.withColumn("weight", F.coalesce(filled, F.lit(0.0))).drop("_r", "_set", "_n", "_k", "_w")
 
 
 def equity_curve(weighted: DataFrame, fee: float = FEE, tax: float = TAX) -> DataFrame:
     """date, ret, value, drawdown: the mean over tickers each day, compounded over days. No day loses everything."""
-    held = F.coalesce(F.lag("weight").over(SERIES), F.lit(0.0))
-    ret = F.coalesce(F.col("close") / F.nullif(F.lag("close").over(SERIES), F.lit(0.0)) - 1, F.lit(0.0))
+    held = F.coalesce(F.lag("weight").over(by_ticker()), F.lit(0.0))
+    ret = F.coalesce(F.col("close") / F.nullif(F.lag("close").over(by_ticker()), F.lit(0.0)) - 1, F.lit(0.0))
     rows = weighted.withColumns({"_h": held, "_r": ret})
     traded = F.col("weight") - F.col("_h")
     net = F.col("_h") * F.col("_r") - F.abs(traded) * fee - F.greatest(-traded, F.lit(0.0)) * tax
@@ -109,9 +109,9 @@ def trades(weighted: DataFrame) -> DataFrame:
     """Runs of bars with a weight, by ticker: entry, exit, bars and return of the close."""
     on = (F.col("weight") != 0).cast("int")
     rows = weighted.withColumn("_on", on)
-    begins = F.when((F.col("_on") == 1) & (F.coalesce(F.lag("_on").over(SERIES), F.lit(0)) == 0), 1).otherwise(0)
+    begins = F.when((F.col("_on") == 1) & (F.coalesce(F.lag("_on").over(by_ticker()), F.lit(0)) == 0), 1).otherwise(0)
     rows = rows.withColumn("_b", begins)
-    rows = rows.withColumn("trade", F.sum("_b").over(SERIES.rowsBetween(Window.unboundedPreceding, 0))).where("_on = 1")
+    rows = rows.withColumn("trade", F.sum("_b").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))).where("_on = 1")
     return rows.groupBy("ticker", "trade").agg(
         F.min("date").alias("entry_date"), F.max("date").alias("exit_date"), F.count("*").alias("n_bars"),
         (F.max_by("close", "date") / F.nullif(F.min_by("close", "date"), F.lit(0.0)) - 1).alias("trade_return"),
