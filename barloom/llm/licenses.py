@@ -150,12 +150,17 @@ def inverse_frequencies(found: DataFrame, templates: tuple[Template, ...] = TEMP
     return {w: math.log((1 + n) / (1 + seen.get(w, 0))) + 1e-9 for w in index_words(templates)}
 
 
+def _rarest(idf: dict[str, float]) -> Column:
+    """The file's rarest index words."""
+    weights = {w: F.lit(v) for w, v in idf.items()}
+    ranked = F.transform(F.array_distinct("hits.w"), lambda w: F.struct((-_lookup(weights, w)).alias("v"), w.alias("w")))
+    return F.transform(F.slice(F.sort_array(ranked), 1, RAREST), lambda x: x.w)
+
+
 def _scores(templates: tuple[Template, ...], idf: dict[str, float]) -> list[Column]:
-    """Each template's best share of agreeing weight at one relative position, among the file's rarest words."""
-    words = F.array_distinct("hits.w")
+    """Each template's best share of agreeing weight at one relative position, among the words in column ``rare``."""
     weights = {w: F.lit(v) for w, v in idf.items()}
-    by_rarity = F.sort_array(F.transform(words, lambda w: F.struct((-_lookup(weights, w)).alias("v"), w.alias("w"))))
-    rare = F.transform(F.slice(by_rarity, 1, RAREST), lambda x: x.w)
+    rare = F.col("rare")
     out = []
     for t in templates:
         postings: dict[str, list[int]] = {}
@@ -194,7 +199,7 @@ def scan(
         F.array(*[F.when(F.size(f"starts.p{n}") > 0, label) for n, (_, label) in enumerate(BASE)])
     )
     none = F.array(*[F.lit(0.0)] * len(templates))
-    scored = found.select(
+    scored = found.withColumn("rare", _rarest(idf)).select(
         "key",
         "n_words",
         starts.alias("places"),
