@@ -7,7 +7,8 @@ and are verified on their whole texts.
 
 Copies never become all pairs. Equal texts are one class. Classes that share a block are first compared with one of them
 only, the one that shares most blocks with others, which is nearest to the text that near copies come from; connected
-components of the links found join most, and then only pairs across components remain.
+components of the links found join most, and then only pairs across components remain. Links are counted over all pairs:
+documents that link stand with one hub, and what each differs in from it tells what they differ in from each other.
 
 Texts without words are empty and linked with nothing; so are rows with a null ``doc_id``, whose component is null. Rows
 that share a ``doc_id`` are one document. An empty table gives no row.
@@ -35,6 +36,8 @@ BITS_PER_BLOCK = 1 << 30
 #: Blocks beyond those that empty ones may take, and the documents from which a shared block is hot.
 SPARE = 2
 HOT = 12
+#: Documents of one hub that are compared with as many others at once.
+TILE = 128
 MEMO_WORDS = 300_000
 
 _U = np.uint64
@@ -235,7 +238,8 @@ def _stars(rows: DataFrame) -> DataFrame:
 def _differences(stars: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Every star pair on whole texts: whether it links, the sizes, and the first n-grams of the symmetric difference.
 
-    The difference is in an order that all documents of a hub share: first what the hub lacks, then what only it has.
+    The difference is in an order that all documents of a hub share: first what the hub lacks, then what only it has. A
+    hub's ``hub_key`` is its text's, as rows of one id may have several.
     """
     a = docs.select(F.col("doc_id").alias("hub"), F.col("text").alias("text_hub"))
     b = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("text_rep"))
@@ -256,18 +260,22 @@ def _differences(stars: DataFrame, docs: DataFrame, width: int, percent: int) ->
                     lost = np.ones(len(c), bool)
                     lost[where[both]] = False
                     order = np.concatenate((x[~both], c[lost]))[: len(x) * (100 - percent) // percent + 1]
-                    found.append((hub, rep, 100 * shared >= percent * joint, len(x), joint - shared, order.view(np.int64)))
+                    key = xxhash.xxh3_64_intdigest(hub.to_bytes(8, "little", signed=True) + (text_hub or "").encode())
+                    found.append(
+                        (hub, rep, 100 * shared >= percent * joint, len(x), joint - shared, order.view(np.int64))
+                        + (key - (1 << 63), len(c))
+                    )
                 if found:
                     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    kinds += (pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(x), k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)],
-                        ["hub", "rep", "linked", "size", "differ", "first"],
+                        ["hub", "rep", "linked", "size", "differ", "first", "hub_key", "hub_size"],
                     )
 
     texts = stars.join(b, "rep").join(a, "hub").select("hub", "rep", "text_hub", "text_rep")
-    return texts.mapInArrow(
-        compare, "hub long, rep long, linked boolean, size long, differ long, first array<long>"
-    )
+    kinds = "hub long, rep long, linked boolean, size long, differ long, first array<long>, hub_key long, hub_size long"
+    return texts.mapInArrow(compare, kinds)
 
 
 def _across(diffs: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
@@ -335,8 +343,117 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return texts.mapInArrow(compare, "a long, b long, shared long, joint long")
 
 
-def link(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (verified links of its class that tie the components)."""
+def _overlap(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """How many members each list of ``a`` shares with each of ``b``."""
+    sides = []
+    for x in (a, b):
+        sides.append((np.repeat(np.arange(len(x)), x.value_lengths().to_numpy()), x.flatten().to_numpy()))
+    out = np.zeros((len(a), len(b)), np.int64)
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    for at in range(0, len(both), 4096):
+        part = both[at : at + 4096]
+        marks = []
+        for x, (row, value) in zip((a, b), sides, strict=True):
+            where = np.minimum(np.searchsorted(part, value), len(part) - 1)
+            there = part[where] == value
+            mark = np.zeros((len(x), len(part)), np.float32)
+            mark[row[there], where[there]] = 1
+            marks.append(mark)
+        out += (marks[0] @ marks[1].T).astype(np.int64)
+    return out
+
+
+def _compare_tiles(a: pa.StructArray, b: pa.StructArray, same: bool, percent: int) -> Iterator[tuple]:
+    """(a, b, n) of two tiles of a hub: n links of ``a`` where ``b`` is null, else a link (n = 1) or a pair to verify
+    (n is null)."""
+    (rep1, size1, differ1, odd1), (rep2, size2, differ2, odd2) = (
+        [x.field(n).to_numpy(zero_copy_only=False) for n in ("rep", "size", "differ", "odd")] for x in (a, b)
+    )
+    first1, first2 = a.field("first"), b.field("first")
+    sizes, differs = size1[:, None] + size2, differ1[:, None] + differ2
+    most = sizes * (100 - percent) // (100 + percent)
+    open_ = (rep1[:, None] < rep2) if same else np.ones((len(rep1), len(rep2)), bool)
+    open_ &= 100 * np.minimum(size1[:, None], size2) >= percent * np.maximum(size1[:, None], size2)
+    open_ &= abs(differ1[:, None] - differ2) <= most
+    if not open_.any():
+        return
+    odd = odd1[:, None] | odd2
+    open_ &= odd | (_overlap(a.field("earlier"), b.field("earlier")) == 0)
+    common = _overlap(first1, first2)
+    whole1, whole2 = (x.value_lengths().to_numpy() == d for x, d in ((first1, differ1), (first2, differ2)))
+    whole = whole1[:, None] & whole2
+    unlike = differs - 2 * common
+    linked = open_ & whole & (100 * (sizes - unlike) >= percent * (sizes + unlike))
+    counted = linked & ~odd
+    for reps, ns in ((rep1, counted.sum(1)), (rep2, counted.sum(0))):
+        for i in np.flatnonzero(ns):
+            yield int(reps[i]), None, int(ns[i])
+    for i, j in np.argwhere(linked & odd):
+        yield (*sorted((int(rep1[i]), int(rep2[j]))), 1)
+    o = (differs - most + 1) // 2
+    for i, j in np.argwhere(open_ & ~whole & (common > 0)):
+        x, y = first1[i].values.to_numpy(), first2[j].values.to_numpy()
+        _, at1, at2 = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        if at1.min() <= differ1[i] - o[i, j] and at2.min() <= differ2[j] - o[i, j]:
+            yield (*sorted((int(rep1[i]), int(rep2[j]))), None)
+
+
+def _degrees(diffs: DataFrame, hashed: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rep, n_links): with how many others each document links, over all pairs.
+
+    Documents that link share a block that neither leaves out, so both stand with its hub, which stands there too, with no
+    difference. A hub's documents are cut into tiles and compared tile by tile: two differ in X xor Y. Sets that link with
+    the hub are whole; where one is cut short, the prefixes must meet as in ``_across`` and the pair is verified on texts.
+    A pair is counted with the first hub that both have. Ids with several texts give pairs, made distinct at the end.
+    """
+    odd = hashed.where("doc_id is not null").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    odd = store.materialize(odd.select(F.col("doc_id").alias("rep"), F.lit(True).alias("odd")), "join-odd")
+    own = diffs.select(
+        "hub_key", F.col("hub").alias("rep"), F.col("hub_size").alias("size"), F.lit(0).cast("long").alias("differ"),
+        F.array().cast("array<bigint>").alias("first"),
+    ).dropDuplicates(["hub_key"])
+    rows = diffs.select("hub_key", "rep", "size", "differ", "first").unionByName(own)
+    hubs = rows.groupBy("rep").agg(F.collect_set("hub_key").alias("hubs"))
+    counts = rows.groupBy("hub_key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_tiles"))
+    hubs, counts = store.materialize(hubs, "join-rep-hubs"), store.materialize(counts, "join-tile-counts")
+    rows = rows.join(counts, "hub_key").join(hubs, "rep").join(odd, "rep", "left").select(
+        "hub_key", "n_tiles", F.pmod(F.xxhash64("rep"), "n_tiles").cast("int").alias("tile"),
+        F.struct(
+            "rep", "size", "differ", "first", F.coalesce("odd", F.lit(False)).alias("odd"),
+            F.filter("hubs", lambda h: h < F.col("hub_key")).alias("earlier"),
+        ).alias("member"),
+    )
+    tiles = rows.groupBy("hub_key", "n_tiles", "tile").agg(F.collect_list("member").alias("one"))
+    tiles = store.materialize(tiles, "join-tiles")
+    big = tiles.where("n_tiles > 1 and tile < n_tiles - 1")
+    big = big.select("hub_key", "one", F.explode(F.sequence(F.col("tile") + 1, F.col("n_tiles") - 1)).alias("tile"))
+    others = tiles.where("n_tiles > 1").select("hub_key", "tile", F.col("one").alias("other"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                one, same = batch.column(0)[i].values, batch.num_columns == 1
+                found += _compare_tiles(one, one if same else batch.column(1)[i].values, same, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "n"]
+                )
+
+    kinds = "a long, b long, n long"
+    n = int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crossed = big.join(others, ["hub_key", "tile"]).select("one", "other").repartition(n)
+    found = tiles.select("one").mapInArrow(compare, kinds).union(crossed.mapInArrow(compare, kinds))
+    found = store.materialize(found, "join-found")
+    pairs = store.materialize(found.where("n is null").select("a", "b").distinct(), "join-pairs")
+    links = verify(pairs, known, width, percent).select("a", "b").union(found.where("b is not null and n = 1").select("a", "b"))
+    ends = links.distinct().select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n"))
+    ends = ends.union(found.where("b is null").select("a", "n"))
+    return ends.groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
+def _link(docs: DataFrame, width: int, percent: int, counted: bool) -> DataFrame:
+    """doc_id, n_shingles, component_id and, where ``counted``, n_links."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = F.sha1(F.coalesce("text", F.lit("")).cast("binary"))
     hashed = store.materialize(texts.select("doc_id", digest.alias("h")), "join-hashes")
@@ -358,13 +475,9 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     if not more.isEmpty():
         joined = store.materialize(components(links, "a", "b"), "join-components")
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    info = (
-        classes.join(sizes, "rep", "left")
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(ends, "rep", "left")
-        .select("h", "rep", "n_shingles", "component", "n_links")
-    )
+    info = classes.join(sizes, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    if counted:
+        info = info.join(_degrees(diffs, hashed, known, width, percent), "rep", "left")
     info = store.materialize(info, "join-info")
     n = F.coalesce("n_shingles", F.lit(0))
     return hashed.join(info, "h", "left").select(
@@ -373,13 +486,18 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
         F.when(n == 0, F.col("doc_id"))
         .when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
         .alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []),
     )
 
 
+def link(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other texts that its text links with)."""
+    return _link(docs, width, percent, True)
+
+
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, that with the smallest id, with its own columns; null ids all stay."""
-    found = link(docs.select("doc_id", "text"), width=width, percent=percent)
+    found = _link(docs.select("doc_id", "text"), width, percent, False)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(store.materialize(first, "join-first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -127,3 +127,35 @@ def test_op9_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op9_parity_join"](spark, SF).collect()]
     assert sorted(got) == sorted(brute_links(rows, 3, 90))
+
+
+def test_links_are_counted_over_all_pairs(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = " ".join(rng.choices(vocabulary, k=12))
+    texts = ["a b c d e f g h i j", "A b c d e f g h i j", "a b c d e f g h i J", "", None]
+    for size, copies in ((60, 300), (150, 30), (12, 40), (400, 12)):
+        base = rng.choices(vocabulary, k=size)
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rng.randrange(1, max(2, size // 18))):
+                copy[rng.randrange(size)] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    for _ in range(80):  # two near ones that share a passage with the others
+        far = rng.choices(vocabulary, k=30)
+        texts += [passage + " " + " ".join(far), passage + " " + " ".join(far[:-1]) + " x"]
+    texts = sorted(set(texts) - {None}) + [None] + texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for width, percent in ((3, 90), (2, 80)):
+        distinct = sorted(set(texts) - {None})
+        sets, links = [shingle_set(t, width) for t in distinct], dict.fromkeys(distinct, 0) | {None: 0}
+        for i, a in enumerate(sets):
+            for j in range(i):
+                shared = len(a & sets[j])
+                if shared and 100 * shared >= percent * (len(a) + len(sets[j]) - shared):
+                    links[distinct[i]] += 1
+                    links[distinct[j]] += 1
+        got = {r.doc_id: r.n_links for r in parity_join.link(docs, width=width, percent=percent).collect()}
+        assert got == {i: links[t] for i, t in enumerate(texts)}
+        assert max(got.values()) > 30
