@@ -1,8 +1,8 @@
 """Licence statements by a positional rare-token index, all in DataFrame functions.
 
-The index holds every content word of each licence template with its positions. A file's licence words are ranked by
-inverse document frequency over all files; its rarest are looked up, and postings vote for a template at a relative
-position. A template whose votes reach the threshold adds its label if one of its mandatory key phrases stands in the
+The index holds every content word of each licence template with its positions. Every licence word of a file is looked
+up, weighed by inverse document frequency over all files, and postings vote for a template at a relative position, so
+that several statements in a file do not take each other's place. A template whose votes reach the threshold adds its label if one of its mandatory key phrases stands in the
 file. Base phrases are counted at every place and always label.
 
 Null texts have no words; repeated rows are scanned one by one; an empty table gives no row.
@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from . import store
 
 WORD_CUT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A file's rarest licence words that are looked up, and the share of a template's weight that must agree.
-RAREST = 12
+#: The share of a template's weight that must agree.
 THRESHOLD = 0.6
 
 BASE = (
@@ -150,17 +149,9 @@ def inverse_frequencies(found: DataFrame, templates: tuple[Template, ...] = TEMP
     return {w: math.log((1 + n) / (1 + seen.get(w, 0))) + 1e-9 for w in index_words(templates)}
 
 
-def _rarest(idf: dict[str, float]) -> Column:
-    """The file's rarest index words."""
-    weights = {w: F.lit(v) for w, v in idf.items()}
-    ranked = F.transform(F.array_distinct("hits.w"), lambda w: F.struct((-_lookup(weights, w)).alias("v"), w.alias("w")))
-    return F.transform(F.slice(F.sort_array(ranked), 1, RAREST), lambda x: x.w)
-
-
 def _scores(templates: tuple[Template, ...], idf: dict[str, float]) -> list[Column]:
-    """Each template's best share of agreeing weight at one relative position, among the words in column ``rare``."""
+    """Each template's best share of agreeing weight at one relative position."""
     weights = {w: F.lit(v) for w, v in idf.items()}
-    rare = F.col("rare")
     out = []
     for t in templates:
         postings: dict[str, list[int]] = {}
@@ -171,7 +162,7 @@ def _scores(templates: tuple[Template, ...], idf: dict[str, float]) -> list[Colu
         lists = {w: F.array(*map(F.lit, at)) for w, at in postings.items()}
         votes = F.flatten(
             F.transform(
-                F.filter("hits", lambda h: F.array_contains(rare, h.w) & h.w.isin(list(postings))),
+                F.filter("hits", lambda h: h.w.isin(list(postings))),
                 lambda h: F.transform(
                     _lookup(lists, h.w), lambda p: F.struct((h.i - p).alias("at"), _lookup(weights, h.w).alias("v"))
                 ),
@@ -199,7 +190,7 @@ def scan(
         F.array(*[F.when(F.size(f"starts.p{n}") > 0, label) for n, (_, label) in enumerate(BASE)])
     )
     none = F.array(*[F.lit(0.0)] * len(templates))
-    scored = found.withColumn("rare", _rarest(idf)).select(
+    scored = found.select(
         "key",
         "n_words",
         starts.alias("places"),

@@ -243,6 +243,18 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
+def test_files_of_several_licences(spark):
+    said = {t.label: t.text for t in licenses.TEMPLATES if t.label in ("apache-2.0", "bsd", "mit", "cc-by")}
+    mixed = [("bsd", "mit"), ("apache-2.0", "bsd", "mit"), ("apache-2.0", "bsd", "cc-by", "mit")]
+    texts = [" some words between ".join(said[x] for x in labels) for labels in mixed]
+    texts.append(" ".join(licenses.index_words(licenses.TEMPLATES)) + ". " + said["mit"])  # all stray words
+    texts += list(said.values()) + ["nothing"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(3)] == [",".join(x) for x in mixed]
+    assert got[3] == "mit"
+
+
 def test_op8_on_documents(spark):
     got = {r.doc_id: r for r in QUERIES["op8_license_scan"](spark, SF).collect()}
     for doc_id, text, _ in documents(spark):
