@@ -3,7 +3,8 @@
 The index holds every content word of each licence template with its positions. Every licence word of a file is looked
 up, weighed by inverse document frequency over all files, and postings vote for a template at a relative position, so
 that several statements in a file do not take each other's place. A template whose votes reach the threshold adds its label if one of its mandatory key phrases stands in the
-file. Base phrases are counted at every place and always label.
+file. Where a label names a version, one of its version phrases must stand there too; else the template's plain label is
+added. Base phrases are counted at every place and always label.
 
 Null texts have no words; repeated rows are scanned one by one; an empty table gives no row.
 """
@@ -37,11 +38,20 @@ class Template:
     text: str
     #: one of these must stand in the file
     key_phrases: tuple[str, ...]
+    #: one of these too, where the label names a version; else the file gets the plain label
+    version_phrases: tuple[str, ...] = ()
+    plain: str | None = None
 
 
 # Statements by which public licences are declared, in their usual words.
 TEMPLATES = (
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0",
+        ("apache license",),
+        tuple(f"apache license {v}" for v in ("version 2 0", "v 2 0", "v2 0", "2 0")),
+        "apache",
+    ),
     Template("mit", "released under the mit license", ("mit license",)),
     Template(
         "mit",
@@ -59,6 +69,11 @@ TEMPLATES = (
         "gpl-3.0",
         "this work is licensed under the gnu general public license version 3",
         ("gnu general public license",),
+        (
+            *(f"gnu general public license {v}" for v in ("version 3", "v 3", "v3", "3")),
+            "version 3 of the gnu general public license",
+        ),
+        "gpl",
     ),
     Template(
         "gpl",
@@ -72,7 +87,13 @@ TEMPLATES = (
         "licensed under a creative commons attribution 4 0 international license",
         ("creative commons attribution",),
     ),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template(
+        "mpl-2.0",
+        "subject to the terms of the mozilla public license v 2 0",
+        ("mozilla public license",),
+        tuple(f"mozilla public license {v}" for v in ("version 2 0", "v 2 0", "v2 0", "2 0")),
+        "mpl",
+    ),
     Template("reserved", "copyright all rights reserved", ("all rights reserved",)),
 )
 
@@ -113,7 +134,7 @@ def _all(parts: list[Column]) -> Column:
 def find_words(
     files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``key``, n_words, starts (each base phrase's), hits (w, i of index words) and phrases (key phrases present)."""
+    """``key``, n_words, starts (each base phrase's), hits (w, i of index words) and phrases (key and version phrases present)."""
     lowered = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     words = files.select(
         F.col(key).alias("key"), F.filter(F.split(lowered, WORD_CUT), lambda w: w != "").alias("words")
@@ -127,7 +148,7 @@ def find_words(
         F.struct(*[_places(F.col("words"), p).alias(f"p{n}") for n, (p, _) in enumerate(BASE)]).alias("starts"),
         F.arrays_overlap("words", F.array(*map(F.lit, index))).alias("some"),
     )
-    phrases = sorted({p for t in templates for p in t.key_phrases})
+    phrases = sorted({p for t in templates for p in t.key_phrases + t.version_phrases})
     present = F.array_compact(
         F.array(*[F.when(F.size(_places(F.col("words"), p)) > 0, p) for p in phrases])
     )
@@ -179,6 +200,13 @@ def _scores(templates: tuple[Template, ...], idf: dict[str, float]) -> list[Colu
     return out
 
 
+def _label(t: Template) -> Column:
+    """The template's label; the plain one where a version is named but none of its phrases stands in the file."""
+    if not t.version_phrases:
+        return F.lit(t.label)
+    return F.when(F.arrays_overlap("phrases", F.array(*map(F.lit, t.version_phrases))), t.label).otherwise(F.lit(t.plain))
+
+
 def scan(
     files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -204,7 +232,7 @@ def scan(
                 F.when(
                     (F.get("scores", n) >= THRESHOLD)
                     & F.arrays_overlap("phrases", F.array(*map(F.lit, t.key_phrases))),
-                    t.label,
+                    _label(t),
                 )
                 for n, t in enumerate(templates)
             ]

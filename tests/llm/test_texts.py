@@ -255,6 +255,20 @@ def test_files_of_several_licences(spark):
     assert got[3] == "mit"
 
 
+def test_versions_of_licences(spark):
+    gpl, apache = "This work is licensed under the GNU General Public License", "Licensed under the Apache License"
+    mozilla = "Subject to the terms of the Mozilla Public License"
+    wanted = {
+        f"{gpl} version 2": "gpl", f"{gpl}, version 3": "gpl,gpl-3.0", f"{gpl}; another has version 3": "gpl",
+        f"{apache}, Version 1.1": "apache", f"{apache}, Version 2.0": "apache-2.0", apache: "apache",
+        f"{mozilla}, v. 1.1": "mpl", f"{mozilla}, v. 2.0": "mpl-2.0",
+    }
+    texts = list(wanted) + ["nothing"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r.doc_id]: r.labels for r in licenses.scan(docs).collect()}
+    assert {t: got[t] for t in wanted} == wanted
+
+
 def test_op8_on_documents(spark):
     got = {r.doc_id: r for r in QUERIES["op8_license_scan"](spark, SF).collect()}
     for doc_id, text, _ in documents(spark):
