@@ -31,11 +31,12 @@ _PLACED = _PIECE + ", grp long, bin long, offset long, filled long, n_bins long,
 
 
 def pieces(docs: DataFrame, vocabulary: str, *, kind: str = "word", capacity: int = CAPACITY) -> DataFrame:
-    """Every document's pieces with their ids (``ids``: two little-endian bytes each) and checksum."""
+    """Every document's pieces with their ids (``ids``: the encoder's ``dtype``) and checksum."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary, kind).encode
-        end = END_ID.to_bytes(2, "little")
+        encoder = tokens.encoder(vocabulary, kind)
+        encode, width = encoder.encode, encoder.dtype.itemsize
+        end = END_ID.to_bytes(width, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -43,10 +44,10 @@ def pieces(docs: DataFrame, vocabulary: str, *, kind: str = "word", capacity: in
                 found = encode([t or "" for t in part.column(1).to_pylist()])
                 for doc_id, raw in zip(part.column(0).to_pylist(), found, strict=True):
                     raw += end
-                    wide = np.frombuffer(raw, "<u2").astype("<u4")
+                    wide = np.frombuffer(raw, encoder.dtype).astype("<u4")
                     for n, a in enumerate(range(0, len(wide), capacity)):
                         ids = wide[a : a + capacity]
-                        rows.append((doc_id, n, a, len(ids), zlib.crc32(ids), raw[2 * a : 2 * (a + capacity)]))
+                        rows.append((doc_id, n, a, len(ids), zlib.crc32(ids), raw[width * a : width * (a + capacity)]))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
@@ -159,7 +160,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY
 
 
 def sequences(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY) -> DataFrame:
-    """The packed sequences themselves: sequence_id, n_tokens and ids (two little-endian bytes each)."""
+    """The packed sequences themselves: sequence_id, n_tokens and ids (the encoder's ``dtype``)."""
     found = store.materialize(pieces(docs, vocabulary, capacity=capacity), "pieces")
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     number = F.row_number().over(_each(keys))

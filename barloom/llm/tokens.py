@@ -1,7 +1,9 @@
 """Whole texts to token ids with the ``tokenizers`` library, remembering the ids of each word.
 
 A word is a piece of text between two places at which the tokenizer splits in any context, so the ids of a text are
-those of its words one after another. The memory is per worker process and bounded.
+those of its words one after another. The memory is per worker process and bounded. Ids are those of the library's own
+call ``encode(text, add_special_tokens=False)``: the string of an added token in a text gives that token's id, and such
+texts go through the library whole. ``special_as_text`` treats those strings as ordinary text instead.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ _CUT = re.compile(r"(?<=\S)(?=[ \t-\r])")
 #: A text without these has only single spaces and line feeds between its words.
 _ODD_SPACE = ["  ", "\n\n", " \n", "\n ", *map(chr, [9, 11, 12, 13, *range(28, 32)])]
 _ODD_SPACE_WIDE = [*map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
-#: Letters with a space or line feed before and punctuation after them: separate pre-tokens in byte-level patterns.
-_SIMPLE = re.compile(r"([ \n]?)([^\W\d_]+)([.,;:!?#$%&*|<>]*)")
-_LITTLE = sys.byteorder == "little" and array("H").itemsize == 2
+#: Punctuation after letters: a pre-token of its own in byte-level patterns.
+_TAIL = ".,;:!?#$%&*|<>"
 
 
 def _byte_chars() -> dict[int, int]:
@@ -35,12 +36,7 @@ def _byte_chars() -> dict[int, int]:
 
 
 _BYTE_CHARS = _byte_chars()
-
-
-def _pack(ids: Iterable[int]) -> bytes:
-    """Two little-endian bytes an id."""
-    ids = array("H", ids)
-    return ids.tobytes() if _LITTLE else np.array(ids, dtype="<u2").tobytes()
+_SPACE_CHAR = chr(_BYTE_CHARS[32])
 
 
 class _Memo(dict):
@@ -54,35 +50,43 @@ class _Memo(dict):
 
 
 class WordEncoder:
-    """``kind``: ``byte`` for byte-level vocabularies that keep white space, ``word`` for those that drop it."""
+    """``kind``: ``byte`` for byte-level vocabularies that keep white space, ``word`` for those that drop it.
+
+    ``dtype`` is the little-endian integer in which ids are given: two bytes, or four where the vocabulary needs them.
+    """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids are stored in two bytes")
         if kind not in ("byte", "word"):
             raise ValueError(kind)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not (special_as_text and t.special)]
+        self.size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._plain = sys.byteorder == "little" and array(self._code).itemsize == self.dtype.itemsize
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # words are remembered here
         self.encode_one = self._byte if kind == "byte" else self._word
-        self.whole = _Memo(self._learn_byte if kind == "byte" else self._learn_word)
-        self.spaced = _Memo(lambda w: self._learn_byte(" " + w))
+        self.letters = _Memo(self._learn_letters)
         self.tails = _Memo(self._full)
+        self.whole = _Memo(self._learn_byte if kind == "byte" else self._learn_word)
+        self.spaced = _Memo(self._learn_spaced)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids of each text, two little-endian bytes an id."""
+        """Ids of each text, in ``dtype``."""
         out = []
         for text in texts:
-            if len(self.whole) + len(self.spaced) > MEMO_WORDS:
-                self.whole.clear()
-                self.spaced.clear()
+            if len(self.whole) + len(self.spaced) + len(self.letters) > MEMO_WORDS:
+                for memo in (self.whole, self.spaced, self.letters):
+                    memo.clear()
             if len(self.tails) > 10_000:
                 self.tails.clear()
-            out.append(self.encode_one(text))
+            out.append(self._full(text) if any(x in text for x in self.added) else self.encode_one(text))
         return out
 
     def _byte(self, text: str) -> bytes:
@@ -98,35 +102,53 @@ class WordEncoder:
     def _word(self, text: str) -> bytes:
         return b"".join(map(self.whole.__getitem__, text.encode().split()))
 
+    def _pack(self, ids: Iterable[int]) -> bytes:
+        return array(self._code, ids).tobytes() if self._plain else np.array(ids, self.dtype).tobytes()
+
     def _full(self, text: str) -> bytes:
-        return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
+
+    def _learn_letters(self, chars: str) -> bytes:
+        """One pre-token, its bytes as characters, goes straight to the model."""
+        return self._pack([t.id for t in self.model.tokenize(chars)])
 
-    def _letters(self, word: str) -> bytes:
-        """One pre-token goes straight to the model."""
-        return _pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))])
+    def _chars(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+
+    def _learn_spaced(self, word: str) -> bytes:
+        core = word.rstrip(_TAIL)
+        if not core.isalpha():
+            return self._full(" " + word)
+        found = self.letters[_SPACE_CHAR + self._chars(core)]
+        return found + self.tails[word[len(core) :]] if len(core) < len(word) else found
 
     def _learn_byte(self, word: str) -> bytes:
-        m = _SIMPLE.fullmatch(word)
-        if not m or not m[2].isalpha():
+        if word[:1] == " ":
+            return self._learn_spaced(word[1:])
+        first = word[:1] if word[:1] == "\n" else ""
+        core = word[len(first) :].rstrip(_TAIL)
+        if not core.isalpha():
             return self._full(word)
-        if m[1] == "\n":
-            return self.tails["\n"] + self._letters(m[2]) + self.tails[m[3]]
-        return self._letters(m[1] + m[2]) + self.tails[m[3]]
+        return self.tails[first] + self.letters[self._chars(core)] + self.tails[word[len(first) + len(core) :]]
 
     def _learn_word(self, raw: bytes) -> bytes:
         word = raw.decode()
-        m = _SIMPLE.fullmatch(word)
-        if not m or not m[2].isalpha():
+        core = word.rstrip(_TAIL)
+        if not core.isalpha():
+            return self._full(word)
+        letters = core.lower() if core.isascii() else self.tokenizer.normalizer.normalize_str(core)
+        if not letters.isalpha():
             return self._full(word)
-        letters = m[2].lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(m[2])
-        return (self._letters(letters) if letters.isalpha() else self._full(letters)) + self.tails[m[3]]
+        found = self.letters[self._chars(letters)]
+        return found + self.tails[word[len(core) :]] if len(core) < len(word) else found
 
 
-_encoders: dict[tuple[str, str], WordEncoder] = {}
+_encoders: dict[tuple[str, str, bool], WordEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> WordEncoder:
+def encoder(path: str, kind: str, special_as_text: bool = False) -> WordEncoder:
     """The worker's encoder of a vocabulary file."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = WordEncoder(path, kind)
-    return _encoders[path, kind]
+    key = path, kind, special_as_text
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
