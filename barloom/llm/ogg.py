@@ -5,12 +5,12 @@ page's checksum, sorts pages by serial number, joins packets from lacing values,
 from granule positions.
 
 Null texts count as empty; an empty text is one block of zeros. Equal texts give equal files: serial numbers come from
-the payload.
+the payload. Repeated rows are stored one by one and null ids stay; very long texts span pages; other columns of the input
+are ignored, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -132,19 +132,32 @@ def demux(raw: bytes) -> dict[int, LogicalStream]:
     return streams
 
 
-def samples(raw: bytes) -> tuple[bytes, int, float]:
-    """Sample bytes, sample rate and seconds of the one sample stream in a file."""
+@dataclass(frozen=True)
+class Samples:
+    body: bytes
+    rate: int
+    #: second at which each packet ends; those of a page end with its granule position and count back from it
+    times: list[float]
+
+
+def samples(raw: bytes) -> Samples:
+    """The one sample stream in a file."""
     found = [s for s in demux(raw).values() if s.packets and s.packets[0].startswith(_SAMPLES)]
     if len(found) != 1:
         raise OggError("one sample stream expected")
     rate, channels, bits = struct.unpack_from("<IBB", found[0].packets[0], len(_SAMPLES))
     if (channels, bits) != (1, 8):
         raise OggError("8-bit mono expected")
-    body = b"".join(found[0].packets[1:])
-    end = max(found[0].granules)
-    if end != len(body):
+    packets, granules = found[0].packets[1:], found[0].granules[1:]
+    times, at = [0.0] * len(packets), 0
+    for n in range(len(packets) - 1, -1, -1):
+        last_of_page = n + 1 == len(packets) or granules[n] != granules[n + 1]
+        at = granules[n] if last_of_page else at - len(packets[n + 1])
+        times[n] = at / rate
+    body = b"".join(packets)
+    if not granules or granules[-1] != len(body) or at != len(packets[0]):
         raise OggError("granule position and samples differ")
-    return body, rate, end / rate
+    return Samples(body, rate, times)
 
 
 def feature(body: bytes, seconds: float) -> str:
@@ -175,34 +188,27 @@ def encode_media(docs: DataFrame, *, block: int = BLOCK, rate: int = RATE) -> Da
 
 
 def decode_media(media: DataFrame) -> DataFrame:
-    """Verify and read every stored file: payload size and digests, the file's own, and features."""
+    """``media`` (doc_id, n_bytes, media) with the samples of every verified file (``payload``), its rate, the second at
+    which each packet ends and the features."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = []
-                for raw in part.column(2).to_pylist():
-                    body, _, seconds = samples(raw)
-                    rows.append(
-                        {
-                            "payload_bytes": len(body),
-                            "payload_sha256": hashlib.sha256(body).hexdigest(),
-                            "tail_crc32": zlib.crc32(body[-BLOCK:]),
-                            "media_bytes": len(raw),
-                            "media_sha256": hashlib.sha256(raw).hexdigest(),
-                            "feature": feature(body, seconds),
-                        }
-                    )
-                read = pa.RecordBatch.from_pylist(rows)
+                found = [samples(raw) for raw in part.column(2).to_pylist()]
+                columns = [
+                    pa.array([x.body for x in found], pa.binary()),
+                    pa.array([x.rate for x in found], pa.int32()),
+                    pa.array([x.times for x in found], pa.list_(pa.float64())),
+                    pa.array([feature(x.body, x.times[-1]) for x in found], pa.string()),
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *read.columns], ["doc_id", "n_bytes", *read.schema.names]
+                    [*part.columns, *columns], ["doc_id", "n_bytes", "media", "payload", "rate", "packet_ends", "feature"]
                 )
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
         decode,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
-        " media_sha256 string, feature string",
+        "doc_id long, n_bytes long, media binary, payload binary, rate int, packet_ends array<double>, feature string",
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,19 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ogg import media_column
-
-    return media_column(_table(spark, sf_dir, "documents"))
+    from .ogg import BLOCK, media_column
+
+    read = media_column(_table(spark, sf_dir, "documents"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -BLOCK, BLOCK)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
 
 
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,14 +49,30 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive
 
-    return archive(_table(spark, sf_dir, "pages"))
+    read = archive(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_fst import decode_column, encode_column
 
     model = vocabulary("piece_bpe_32k.model")
-    return decode_column(encode_column(_table(spark, sf_dir, "documents"), model), model)
+    encoded = encode_column(_table(spark, sf_dir, "documents"), model).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha1(F.col("text").cast("binary")).alias("digest"),
+        "ids",
+    )
+    utf8 = F.col("decoded").cast("binary")
+    return decode_column(encoded, model).select(
+        "doc_id",
+        "n_tokens",
+        "ids_crc32",
+        F.octet_length("decoded").cast("long").alias("decoded_bytes"),
+        F.crc32(utf8).alias("decoded_crc32"),
+        (F.sha1(utf8) == F.col("digest")).alias("round_trip"),
+    )
 
 
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

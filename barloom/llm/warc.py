@@ -5,7 +5,8 @@ per record follows. Equal payloads are stored once: the record with the smallest
 others are ``revisit`` records that refer to it.
 
 Null html counts as empty; a null ``page_id`` sorts after all others; rows that repeat the smallest ``page_id`` are all
-responses; an empty table gives no file.
+responses; very long payloads are records as others; other columns of the input are ignored, whatever their names; an
+empty table gives no file.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ DICTIONARY_BYTES = 64 << 10
 TRAIN_BYTES = 4 << 20
 TRAIN_RECORDS = 1000
 FILE_BYTES = 256 << 20
+#: Payloads handed on at once when an archive is read.
+READ_BYTES = 8 << 20
 LEVEL = 3
 SALTS = 16
 _DATE = "2000-01-01T00:00:00Z"
@@ -79,14 +82,15 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
 
 
 def train(records: list[bytes]) -> bytes:
-    """A dictionary of the records, empty if they are too few or too alike for one."""
-    if len(records) < 8:
-        return b""
+    """A dictionary of the records; the ends of the records themselves where they are too few or too alike to train on."""
     size = min(DICTIONARY_BYTES, max(1024, sum(map(len, records)) // 16))
-    try:
-        return zstandard.train_dictionary(size, records).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    if len(records) >= 8:
+        try:
+            return zstandard.train_dictionary(size, records).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    share = max(256, DICTIONARY_BYTES // len(records))
+    return b"".join(r[:share] for r in records)[-DICTIONARY_BYTES:]
 
 
 def write_archives(marked: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -112,9 +116,7 @@ def write_archives(marked: DataFrame, folder: str, *, file_bytes: int = FILE_BYT
             if not held:
                 return
             dictionary = train(held)
-            pack = zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-            ).compress
+            pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)).compress
             frames = [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary, *map(pack, held)]
             n, size, held = len(held), sum(map(len, frames)), []
             for record in records:
@@ -139,8 +141,7 @@ def records(raw: bytes) -> Iterator[bytes]:
     if magic != DICTIONARY_MAGIC:
         raise ValueError("no dictionary frame")
     view, at = memoryview(raw), 8 + size
-    dictionary = zstandard.ZstdCompressionDict(raw[8:at]) if size else None
-    opener = zstandard.ZstdDecompressor(dict_data=dictionary)
+    opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8:at]))
     while at < len(raw):
         frame, parts = opener.decompressobj(), []
         while not frame.eof:
@@ -173,31 +174,45 @@ def parse(record: bytes) -> dict:
 
 
 def read_archives(manifest: DataFrame, n_files: int) -> DataFrame:
-    """Every record of the files in ``manifest``."""
+    """Every record of the files in ``manifest``; ``payload`` is null for revisits, which do not hold it."""
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: None if x in (None, _NONE) else int(x)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+
+        def made(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names
+            )
+
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                found = []
+                found, size = [], 0
                 for f in map(parse, records(store.get_file(path))):
+                    revisit = f["WARC-Type"] == "revisit"
                     found.append(
                         (
                             number(f["X-Page-ID"]),
+                            f["WARC-Target-URI"],
                             f["payload_bytes"],
                             f["WARC-Payload-Digest"].removeprefix("sha1:"),
                             f["WARC-Type"],
                             number(f.get("X-Refers-To-Page")),
+                            None if revisit else f["payload"],
                         )
                     )
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)],
-                    ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-                )
+                    size += len(f["payload"])
+                    if size >= READ_BYTES:
+                        yield made(found)
+                        found, size = [], 0
+                if found:
+                    yield made(found)
 
     return manifest.select("path").repartition(max(1, n_files), "path").mapInArrow(
-        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+        read,
+        "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long,"
+        " payload binary",
     )
 
 

@@ -101,33 +101,70 @@ def test_transducer_agrees_with_the_library():
         assert machine.decode(ids) == library.decode(ids.tolist())
 
 
-def test_unigram_takes_the_cheapest_path():
-    def field(number, raw):
-        return bytes([number << 3 | 2, len(raw)]) + raw
+def field(number, raw):
+    size, out = len(raw), b""
+    while size > 127:
+        out, size = out + bytes([size & 127 | 128]), size >> 7
+    return bytes([number << 3 | 2]) + out + bytes([size]) + raw
+
+
+def model_bytes(pieces, kind, normaliser):
+    """A model file of (piece, score, type)."""
+    raw = b"".join(
+        field(1, field(1, p.encode()) + b"\x15" + np.float32(s).tobytes() + b"\x18" + bytes([k])) for p, s, k in pieces
+    )
+    return raw + field(2, b"\x18" + bytes([kind])) + field(3, normaliser)
 
-    def piece(text, score):
-        return field(1, field(1, text.encode()) + b"\x15" + np.float32(score).tobytes())
 
-    raw = b"".join(piece(*p) for p in [("▁", -2), ("a", -3), ("b", -3), ("ab", -4), ("▁a", -3.5), ("bb", -9)])
-    raw += field(2, b"\x18\x01") + field(3, b"\x18\x01\x20\x00")
-    machine = piece_fst.Transducer(raw)
+def test_unigram_takes_the_cheapest_path():
+    pieces = [("▁", -2, 1), ("a", -3, 1), ("b", -3, 1), ("ab", -4, 1), ("▁a", -3.5, 1), ("bb", -9, 1)]
+    machine = piece_fst.Transducer(model_bytes(pieces, 1, b"\x18\x01\x20\x00"))
     assert np.frombuffer(machine.encode("ab"), "<u2").tolist() == [0, 3]
     assert np.frombuffer(machine.encode("abb"), "<u2").tolist() == [0, 3, 2]
 
 
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram_with_a_normaliser_agrees_with_the_library(byte_fallback):
+    import random
+
+    import sentencepiece
+
+    rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    spec = dict(piece_fst._fields(dict(piece_fst._fields(rule))[3]))
+    assert len(piece_fst.character_map(spec[2])) > 5000
+    rng = random.Random(7)
+    some = sorted({"".join(rng.choices("▁abcdeé", k=rng.randrange(1, 5))) for _ in range(150)} | set("▁abc1"))
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("<sep>", 0, 4)]
+    pieces += [(f"<0x{b:02X}>", -9, 6) for b in range(256)] if byte_fallback else []
+    pieces += [(p, -rng.randrange(8, 72) / 8, 1) for p in some] + [("unused", -1, 5)]
+    for prefix, squeeze in ((1, 1), (0, 0), (1, 0), (0, 1)):
+        raw = model_bytes(pieces, 1, field(2, spec[2]) + bytes([0x18, prefix, 0x20, squeeze, 0x28, 1]))
+        if byte_fallback:
+            raw = raw.replace(field(2, b"\x18\x01"), field(2, b"\x18\x01\x98\x02\x01"))
+        library, machine = sentencepiece.SentencePieceProcessor(model_proto=raw), piece_fst.Transducer(raw)
+        texts = ODD + ["".join(rng.choices("abcdeé ﬁ①ｱ　\n\u0301▁unsd", k=rng.randrange(30))) for _ in range(300)]
+        texts += ["a<sep>b  <sep> c", "unused"]
+        for text in texts:
+            ids = np.frombuffer(machine.encode(text), "<u2").tolist()
+            assert ids == library.encode(text), text
+
+
 def test_op2_on_documents(spark):
     import sentencepiece
 
-    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
     got = {r.doc_id: r for r in QUERIES["op2_piece_transducer"](spark, SF).collect()}
     for doc_id, text, _ in documents(spark):
         ids = library.encode(text)
         r = got[doc_id]
         assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        assert r.round_trip and r.decoded_crc32 == zlib.crc32(text.encode())
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = piece_fst.decode_column(piece_fst.encode_column(odd_docs(spark), model), model).collect()
-    assert len(rows) == 14 and all(r.round_trip for r in rows)
+        assert r.round_trip and (r.decoded_bytes, r.decoded_crc32) == (len(text.encode()), zlib.crc32(text.encode()))
+    docs = odd_docs(spark).selectExpr("*", "1 ids", "2 decoded")
+    assert piece_fst.decode_column(piece_fst.encode_column(docs, model), model).columns == ["doc_id", "text", "decoded"]
+    rows = piece_fst.decode_column(piece_fst.encode_column(docs, model), model).collect()
+    assert len(rows) == 14 and all(r.decoded == r.text for r in rows)
+    assert piece_fst.decode_column(piece_fst.encode_column(docs.limit(0), model), model).collect() == []
 
 
 # packing ---------------------------------------------------------------------------------------------------------
@@ -138,7 +175,6 @@ def test_packing_places_every_token_once(spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     docs = spark.createDataFrame(
         [(i, x) for i, (_, x, _) in enumerate(documents(spark)[:60])] + [(3, None), (3, None), (99, "long words " * 5000)],
         "doc_id long, text string",
