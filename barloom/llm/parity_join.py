@@ -10,8 +10,12 @@ only, the one that shares most blocks with others, which is nearest to the text
 components of the links found join most, and then only pairs across components remain. Links are counted over all pairs:
 documents that link stand with one hub, and what each differs in from it tells what they differ in from each other.
 
+Whole texts are dealt by ``doc_id`` once; every later join on an id moves ids to the texts, not texts to the ids.
+
 Texts without words are empty and linked with nothing; so are rows with a null ``doc_id``, whose component is null. Rows
-that share a ``doc_id`` are one document. An empty table gives no row.
+that share a ``doc_id`` are one document. Very long texts are compared whole. Of hubs that share as many blocks the
+smallest id is taken; ties change no result. Other columns of the input are ignored, whatever their names (``keep_one``
+gives them back). An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -36,8 +40,9 @@ BITS_PER_BLOCK = 1 << 30
 #: Blocks beyond those that empty ones may take, and the documents from which a shared block is hot.
 SPARE = 2
 HOT = 12
-#: Documents of one hub that are compared with as many others at once.
+#: Documents of one hub that are compared with as many others at once, and with the hub in one run of rows.
 TILE = 128
+RUN = 512
 MEMO_WORDS = 300_000
 
 _U = np.uint64
@@ -135,8 +140,8 @@ def block_keys(members: np.ndarray, space: Space) -> tuple[np.ndarray, int]:
 
 
 def _rows(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, rep, n): a row for each block of each text, and one with ``n``, the size of its set. For blocks ``n`` is
-    negative and holds the band and the blocks that the set can do without."""
+    """(key, rep, n): a row for each block of each text, and one with ``n``, the size of its set, whose key is the text's
+    ``number``. For blocks ``n`` is negative and holds the band and the blocks that the set can do without."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -144,11 +149,11 @@ def _rows(texts: DataFrame, width: int, percent: int) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 keys, reps, marks, counts = [], [], [], []
-                for rep, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for rep, text, number in zip(*(x.to_pylist() for x in part.columns), strict=True):
                     members = shingles(text, width)
                     if not len(members):
                         continue
-                    keys.append(np.array([xxhash.xxh3_64_intdigest(rep.to_bytes(8, "little", signed=True))], _U))
+                    keys.append(np.array([number], _U))
                     marks.append(np.array([len(members)]))
                     for space in bands.of(len(members)):
                         found, slack = block_keys(members, space)
@@ -167,7 +172,7 @@ def _rows(texts: DataFrame, width: int, percent: int) -> DataFrame:
                     ["key", "rep", "n"],
                 )
 
-    return texts.select("rep", "text").mapInArrow(emit, "key long, rep long, n long")
+    return texts.select("rep", "text", "number").mapInArrow(emit, "key long, rep long, n long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -239,32 +244,42 @@ def _differences(stars: DataFrame, docs: DataFrame, width: int, percent: int) ->
     """Every star pair on whole texts: whether it links, the sizes, and the first n-grams of the symmetric difference.
 
     The difference is in an order that all documents of a hub share: first what the hub lacks, then what only it has. A
-    hub's ``hub_key`` is its text's, as rows of one id may have several.
+    hub's ``hub_key`` is its text's, as rows of one id may have several. A hub's text goes once to each run of its
+    documents; those follow it in order and are compared as they come.
     """
-    a = docs.select(F.col("doc_id").alias("hub"), F.col("text").alias("text_hub"))
-    b = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("text_rep"))
+    runs = stars.groupBy("hub").agg(F.ceil(F.count("*") / RUN).cast("int").alias("n_runs"))
+    runs = store.materialize(runs, "join-runs")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    hubs = runs.select("hub", F.explode(F.sequence(F.lit(0), F.col("n_runs") - 1)).alias("run"))
+    hubs = hubs.join(texts, hubs.hub == texts.id).select("hub", "run", F.lit(None).cast("long").alias("rep"), "text")
+    reps = stars.join(runs, "hub").select("hub", F.pmod(F.xxhash64("rep"), "n_runs").cast("int").alias("run"), "rep")
+    reps = reps.join(texts, reps.rep == texts.id).select("hub", "run", "rep", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_text, c = None, None
+        at_hub, centers = None, []  # (key, n-grams) of each text of the hub
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 found = []
-                for hub, rep, text_hub, text_rep in zip(*(x.to_pylist() for x in batch.slice(at, 200).columns), strict=True):
-                    if c is None or text_hub != last_text:
-                        last_text, c = text_hub, shingles(text_hub, width)
-                    x = shingles(text_rep, width)
-                    where = np.minimum(np.searchsorted(c, x), len(c) - 1)
-                    both = c[where] == x
-                    shared = int(both.sum())
-                    joint = len(c) + len(x) - shared
-                    lost = np.ones(len(c), bool)
-                    lost[where[both]] = False
-                    order = np.concatenate((x[~both], c[lost]))[: len(x) * (100 - percent) // percent + 1]
-                    key = xxhash.xxh3_64_intdigest(hub.to_bytes(8, "little", signed=True) + (text_hub or "").encode())
-                    found.append(
-                        (hub, rep, 100 * shared >= percent * joint, len(x), joint - shared, order.view(np.int64))
-                        + (key - (1 << 63), len(c))
-                    )
+                for hub, run, rep, text in zip(*(x.to_pylist() for x in batch.slice(at, 200).columns), strict=True):
+                    if at_hub != (hub, run):
+                        at_hub, centers = (hub, run), []
+                    members = shingles(text, width)
+                    if rep is None:
+                        key = xxhash.xxh3_64_intdigest(hub.to_bytes(8, "little", signed=True) + (text or "").encode())
+                        if len(members) and all(key != k for k, _ in centers):
+                            centers.append((key, members))
+                        continue
+                    for key, c in centers:
+                        where = np.minimum(np.searchsorted(c, members), len(c) - 1)
+                        both = c[where] == members
+                        shared = int(both.sum())
+                        joint = len(c) + len(members) - shared
+                        lost = np.ones(len(c), bool)
+                        lost[where[both]] = False
+                        order = np.concatenate((members[~both], c[lost]))
+                        order = order[: len(members) * (100 - percent) // percent + 1].view(np.int64)
+                        linked = 100 * shared >= percent * joint
+                        found.append((hub, rep, linked, len(members), joint - shared, order, key - (1 << 63), len(c)))
                 if found:
                     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                     kinds += (pa.int64(), pa.int64())
@@ -273,35 +288,51 @@ def _differences(stars: DataFrame, docs: DataFrame, width: int, percent: int) ->
                         ["hub", "rep", "linked", "size", "differ", "first", "hub_key", "hub_size"],
                     )
 
-    texts = stars.join(b, "rep").join(a, "hub").select("hub", "rep", "text_hub", "text_rep")
+    n = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hubs.unionByName(reps).repartition(n, "hub", "run").sortWithinPartitions("hub", "run", F.col("rep").asc_nulls_first())
     kinds = "hub long, rep long, linked boolean, size long, differ long, first array<long>, hub_key long, hub_size long"
-    return texts.mapInArrow(compare, kinds)
+    return dealt.mapInArrow(compare, kinds)
 
 
-def _across(diffs: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """(a, b): documents of one hub that no link joins yet and that may link all the same.
+def _across(diffs: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents of one hub, not both linked with it, with different homes, that may link all the same.
+    ``homes`` (rep, home); a document that is not there is its own home.
 
-    With the hub's difference sets X and Y, theirs is X xor Y. To link it must be small, so X and Y share at least ``o``
-    members, unless both link with the hub. Then the first member they share stands among the first ``|X| - o + 1`` of X
-    and ``|Y| - o + 1`` of Y.
+    With the hub's difference sets X and Y, theirs is X xor Y. To link it must be no more than ``most``, so X and Y share
+    at least ``o = (|X| + |Y| - most) / 2`` members, which is positive unless both link with the hub. Then the first member
+    they share stands among the first ``|X| - o + 1`` of X and ``|Y| - o + 1`` of Y. For the smaller set that is no more
+    than ``most / 2 + 1``, so only so many of it are looked up. Texts of one frame with own names share what the hub has
+    in the names' places, but behind their own names, which alone are more; so they meet nowhere.
     """
-    homes = joined.withColumnRenamed("node", "rep")
-    open_hubs = diffs.groupBy("hub").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).where("n > 1 and not all")
-    open_hubs = store.materialize(open_hubs.select("hub"), "join-open")
-    rows = diffs.join(open_hubs, "hub").join(homes, "rep", "left")
-    rows = rows.select("hub", "rep", "size", "differ", F.coalesce("component", "rep").alias("c"), F.posexplode("first").alias("i", "e"))
+    wide = diffs.groupBy("hub_key").agg(F.max("size").alias("widest"), F.count("*").alias("n"), F.bool_and("linked").alias("all"))
+    open_hubs = store.materialize(wide.where("n > 1 and not all").select("hub_key", "widest"), "join-open")
+    rows = diffs.join(open_hubs, "hub_key").join(homes, "rep", "left")
+    partner = F.least("widest", F.floor(F.col("size") * 100 / percent))
+    reach = F.floor(F.floor((F.col("size") + partner) * (100 - percent) / (100 + percent)) / 2)
+    rows = rows.select(
+        "hub_key", "rep", "size", "differ", "linked", F.coalesce("home", "rep").alias("home"), reach.alias("reach"),
+        F.posexplode("first").alias("i", "e"),
+    )
     rows = store.materialize(rows, "join-firsts")
-    side = lambda n: rows.select("hub", "e", *[F.col(x).alias(f"{x}{n}") for x in ("rep", "size", "differ", "c", "i")])
+    low = F.col("i") <= F.col("reach")
+    keys = rows.groupBy("hub_key", "e").agg(
+        F.min("home").alias("h1"), F.max("home").alias("h2"), F.bool_or(low).alias("low"), F.bool_and("linked").alias("all")
+    )
+    keys = store.materialize(keys.where("h1 < h2 and low and not all").select("hub_key", "e"), "join-meeting")
+    rows = store.materialize(rows.join(keys, ["hub_key", "e"]), "join-met")
+    side = lambda n, df: df.select("hub_key", "e", *[F.col(x).alias(f"{x}{n}") for x in ("rep", "size", "differ", "home", "linked", "i")])
     most = F.floor((F.col("size1") + F.col("size2")) * (100 - percent) / (100 + percent))
     o = F.ceil((F.col("differ1") + F.col("differ2") - most) / 2)
     near = (
-        (F.col("rep1") < F.col("rep2"))
-        & (F.col("c1") != F.col("c2"))
+        (F.struct("differ1", "rep1") < F.struct("differ2", "rep2"))
+        & (F.col("home1") != F.col("home2"))
+        & ~(F.col("linked1") & F.col("linked2"))
         & (100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2"))
         & (F.col("i1") <= F.col("differ1") - o)
         & (F.col("i2") <= F.col("differ2") - o)
     )
-    return side(1).join(side(2), ["hub", "e"]).where(near).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
+    pairs = side(1, rows.where(low)).join(side(2, rows), ["hub_key", "e"]).where(near)
+    return pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).where("a < b").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -364,58 +395,49 @@ def _overlap(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
 
 
 def _compare_tiles(a: pa.StructArray, b: pa.StructArray, same: bool, percent: int) -> Iterator[tuple]:
-    """(a, b, n) of two tiles of a hub: n links of ``a`` where ``b`` is null, else a link (n = 1) or a pair to verify
-    (n is null)."""
+    """(a, b, n) of two tiles of a hub: n links of ``a`` where ``b`` is null, else one link."""
     (rep1, size1, differ1, odd1), (rep2, size2, differ2, odd2) = (
         [x.field(n).to_numpy(zero_copy_only=False) for n in ("rep", "size", "differ", "odd")] for x in (a, b)
     )
-    first1, first2 = a.field("first"), b.field("first")
     sizes, differs = size1[:, None] + size2, differ1[:, None] + differ2
     most = sizes * (100 - percent) // (100 + percent)
-    open_ = (rep1[:, None] < rep2) if same else np.ones((len(rep1), len(rep2)), bool)
-    open_ &= 100 * np.minimum(size1[:, None], size2) >= percent * np.maximum(size1[:, None], size2)
-    open_ &= abs(differ1[:, None] - differ2) <= most
-    if not open_.any():
+    linked = (rep1[:, None] < rep2) if same else np.ones((len(rep1), len(rep2)), bool)
+    linked &= abs(differ1[:, None] - differ2) <= most
+    if not linked.any():
         return
     odd = odd1[:, None] | odd2
-    open_ &= odd | (_overlap(a.field("earlier"), b.field("earlier")) == 0)
-    common = _overlap(first1, first2)
-    whole1, whole2 = (x.value_lengths().to_numpy() == d for x, d in ((first1, differ1), (first2, differ2)))
-    whole = whole1[:, None] & whole2
-    unlike = differs - 2 * common
-    linked = open_ & whole & (100 * (sizes - unlike) >= percent * (sizes + unlike))
+    linked &= odd | (_overlap(a.field("earlier"), b.field("earlier")) == 0)
+    unlike = differs - 2 * _overlap(a.field("first"), b.field("first"))
+    linked &= 100 * (sizes - unlike) >= percent * (sizes + unlike)
     counted = linked & ~odd
     for reps, ns in ((rep1, counted.sum(1)), (rep2, counted.sum(0))):
         for i in np.flatnonzero(ns):
             yield int(reps[i]), None, int(ns[i])
     for i, j in np.argwhere(linked & odd):
         yield (*sorted((int(rep1[i]), int(rep2[j]))), 1)
-    o = (differs - most + 1) // 2
-    for i, j in np.argwhere(open_ & ~whole & (common > 0)):
-        x, y = first1[i].values.to_numpy(), first2[j].values.to_numpy()
-        _, at1, at2 = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        if at1.min() <= differ1[i] - o[i, j] and at2.min() <= differ2[j] - o[i, j]:
-            yield (*sorted((int(rep1[i]), int(rep2[j]))), None)
-
 
-def _degrees(diffs: DataFrame, hashed: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
-    """(rep, n_links): with how many others each document links, over all pairs.
 
-    Documents that link share a block that neither leaves out, so both stand with its hub, which stands there too, with no
-    difference. A hub's documents are cut into tiles and compared tile by tile: two differ in X xor Y. Sets that link with
-    the hub are whole; where one is cut short, the prefixes must meet as in ``_across`` and the pair is verified on texts.
-    A pair is counted with the first hub that both have. Ids with several texts give pairs, made distinct at the end.
-    """
-    odd = hashed.where("doc_id is not null").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    odd = store.materialize(odd.select(F.col("doc_id").alias("rep"), F.lit(True).alias("odd")), "join-odd")
+def _stands(diffs: DataFrame) -> DataFrame:
+    """Every document with each hub that it links with, the hub itself too, which differs in nothing."""
     own = diffs.select(
         "hub_key", F.col("hub").alias("rep"), F.col("hub_size").alias("size"), F.lit(0).cast("long").alias("differ"),
         F.array().cast("array<bigint>").alias("first"),
     ).dropDuplicates(["hub_key"])
-    rows = diffs.select("hub_key", "rep", "size", "differ", "first").unionByName(own)
-    hubs = rows.groupBy("rep").agg(F.collect_set("hub_key").alias("hubs"))
+    return diffs.where("linked").select("hub_key", "rep", "size", "differ", "first").unionByName(own)
+
+
+def _degrees(diffs: DataFrame, hubs: DataFrame, more: DataFrame, hashed: DataFrame, percent: int) -> DataFrame:
+    """(rep, n_links): with how many others each document links, over all pairs. ``hubs``: (rep, hubs) of ``_stands``.
+
+    Two documents that link either both link with some hub, or ``more`` (a, b) has them. A hub's documents are cut into
+    tiles and compared tile by tile: sets that link with the hub are whole, and two differ in X xor Y. A pair is counted
+    with the first hub that both link with. Ids with several texts give pairs, made distinct at the end.
+    """
+    odd = hashed.where("doc_id is not null").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    odd = store.materialize(odd.select(F.col("doc_id").alias("rep"), F.lit(True).alias("odd")), "join-odd")
+    rows = _stands(diffs)
     counts = rows.groupBy("hub_key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_tiles"))
-    hubs, counts = store.materialize(hubs, "join-rep-hubs"), store.materialize(counts, "join-tile-counts")
+    counts = store.materialize(counts, "join-tile-counts")
     rows = rows.join(counts, "hub_key").join(hubs, "rep").join(odd, "rep", "left").select(
         "hub_key", "n_tiles", F.pmod(F.xxhash64("rep"), "n_tiles").cast("int").alias("tile"),
         F.struct(
@@ -445,8 +467,7 @@ def _degrees(diffs: DataFrame, hashed: DataFrame, known: DataFrame, width: int,
     crossed = big.join(others, ["hub_key", "tile"]).select("one", "other").repartition(n)
     found = tiles.select("one").mapInArrow(compare, kinds).union(crossed.mapInArrow(compare, kinds))
     found = store.materialize(found, "join-found")
-    pairs = store.materialize(found.where("n is null").select("a", "b").distinct(), "join-pairs")
-    links = verify(pairs, known, width, percent).select("a", "b").union(found.where("b is not null and n = 1").select("a", "b"))
+    links = more.union(found.where("b is not null").select("a", "b"))
     ends = links.distinct().select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n"))
     ends = ends.union(found.where("b is null").select("a", "n"))
     return ends.groupBy("rep").agg(F.sum("n").alias("n_links"))
@@ -454,32 +475,41 @@ def _degrees(diffs: DataFrame, hashed: DataFrame, known: DataFrame, width: int,
 
 def _link(docs: DataFrame, width: int, percent: int, counted: bool) -> DataFrame:
     """doc_id, n_shingles, component_id and, where ``counted``, n_links."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digest = F.sha1(F.coalesce("text", F.lit("")).cast("binary"))
-    hashed = store.materialize(texts.select("doc_id", digest.alias("h")), "join-hashes")
-    classes = store.materialize(
-        hashed.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("rep")), "join-classes"
-    )
-    known = texts.where("doc_id is not null")
-    reps = known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    shared = store.materialize(_shared(_rows(reps.withColumnRenamed("doc_id", "rep"), width, percent)), "join-shared")
-    sizes = shared.where("n > 0").groupBy("rep").agg(F.max("n").alias("n_shingles"))
+    digest = F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("h")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest)
+    known = store.bucketed(texts.where("doc_id is not null"), "doc_id", "join-texts")
+    ids = known.select("doc_id", "h")
+    classes = store.materialize(ids.groupBy("h").agg(F.min("doc_id").alias("rep")), "join-classes")
+    first = classes.select("rep").distinct()
+    number = F.conv(F.substring("h", 1, 15), 16, 10).cast("long").alias("number")
+    reps = known.join(first, known.doc_id == first.rep).select("rep", "text", number)
+    shared = store.materialize(_shared(_rows(reps, width, percent)), "join-shared")
+    sizes = shared.where("n > 0").groupBy("rep", F.col("key").alias("number")).agg(F.max("n").alias("n_shingles"))
     rows = store.materialize(_needed(shared.where("n < 0")), "join-rows")
-    diffs = store.materialize(_differences(_stars(rows), known, width, percent), "join-differences")
-    pair = [F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")]
-    links = diffs.where("linked").select(*pair).distinct()
-    joined = store.materialize(components(links, "a", "b"), "join-components")
-    across = _across(diffs, joined, percent).join(diffs.select(*pair), ["a", "b"], "left_anti")
-    more = store.materialize(verify(store.materialize(across, "join-across"), known, width, percent), "join-more")
-    links = links.union(more.select("a", "b"))
-    if not more.isEmpty():
+    stars = store.materialize(_stars(rows), "join-stars")
+    diffs = store.materialize(_differences(stars, known, width, percent), "join-differences")
+    links = diffs.where("linked").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    if counted:
+        hubs = _stands(diffs).groupBy("rep").agg(F.collect_set("hub_key").alias("hubs"))
+        hubs = store.materialize(hubs, "join-rep-hubs")
+        homes = hubs.select("rep", F.array_min("hubs").alias("home"))
+    else:
         joined = store.materialize(components(links, "a", "b"), "join-components")
+        homes = joined.select(F.col("node").alias("rep"), F.col("component").alias("home"))
+    across = store.materialize(_across(diffs, homes, percent), "join-across")
+    more = store.materialize(verify(across, known, width, percent).select("a", "b"), "join-more")
+    if counted or not more.isEmpty():
+        joined = store.materialize(components(links.union(more), "a", "b"), "join-components")
 
-    info = classes.join(sizes, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    info = classes.withColumn("number", number).join(sizes, ["rep", "number"], "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     if counted:
-        info = info.join(_degrees(diffs, hashed, known, width, percent), "rep", "left")
+        sides = [hubs.select(F.col("rep").alias(x), F.col("hubs").alias(f"hubs_{x}")) for x in ("a", "b")]
+        alone = more.join(sides[0], "a", "left").join(sides[1], "b", "left")
+        alone = alone.where(~F.coalesce(F.arrays_overlap("hubs_a", "hubs_b"), F.lit(False))).select("a", "b")
+        info = info.join(_degrees(diffs, hubs, alone, ids, percent), "rep", "left")
     info = store.materialize(info, "join-info")
     n = F.coalesce("n_shingles", F.lit(0))
+    hashed = ids.union(texts.where("doc_id is null").select("doc_id", "h"))
     return hashed.join(info, "h", "left").select(
         "doc_id",
         n.cast("long").alias("n_shingles"),

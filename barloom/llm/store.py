@@ -35,6 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt by ``key`` once: joins on ``key`` then move only their other side."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_folder(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    rows = df.repartition(n, key).write.format("parquet").option("path", path)
+    rows.bucketBy(n, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     scheme, sep, rest = uri.partition("://")
     if not sep:  # file:/path or /path

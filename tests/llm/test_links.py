@@ -145,6 +145,11 @@ def test_links_are_counted_over_all_pairs(spark):
     for _ in range(80):  # two near ones that share a passage with the others
         far = rng.choices(vocabulary, k=30)
         texts += [passage + " " + " ".join(far), passage + " " + " ".join(far[:-1]) + " x"]
+    frame = rng.choices(vocabulary, k=60)
+    for i in range(90):  # one frame, own names
+        for k in (5, 20, 35, 50):
+            frame[k] = f"n{i % 30}x{k}y{i % 45 if k == 50 else 0}"
+        texts.append(" ".join(frame))
     texts = sorted(set(texts) - {None}) + [None] + texts[:20]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for width, percent in ((3, 90), (2, 80)):
@@ -159,3 +164,31 @@ def test_links_are_counted_over_all_pairs(spark):
         got = {r.doc_id: r.n_links for r in parity_join.link(docs, width=width, percent=percent).collect()}
         assert got == {i: links[t] for i, t in enumerate(texts)}
         assert max(got.values()) > 30
+
+
+def test_very_long_texts_and_ids_with_several_texts(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    other = list(words)
+    for _ in range(200):
+        other[rng.randrange(len(other))] = "new"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:30_000]))]
+    rows += [(4, "one two three four five six"), (4, " ".join(words[:29_990])), (5, "one two three four five six")]
+    check(spark, rows, 3, 90)
+    check(spark, rows, 5, 80)
+
+
+def test_texts_of_one_frame_meet_nowhere(spark):
+    """Texts that share all but their own names give no pair to compare, however many they are."""
+    frame = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(400):
+        for k in (10, 30, 50, 70, 90):
+            frame[k] = f"n{i}x{k}"
+        texts.append(" ".join(frame))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stars = spark.createDataFrame([(0, i) for i in range(1, 400)], "hub long, rep long")
+    diffs = parity_join._differences(stars, docs, 3, 80).cache()
+    assert diffs.where("linked").count() == 0
+    homes = spark.createDataFrame([], "rep long, home long")
+    assert parity_join._across(diffs, homes, 80).count() == 0
