@@ -72,8 +72,29 @@ def test_op3_on_documents(spark):
 def test_rules_order_by_rejection_per_cost(spark):
     docs = spark.createDataFrame([(i, "### " * 20 + "w" * 3) for i in range(50)], "doc_id long, text string")
     ordered = quality.order_rules(docs)
-    assert ordered[0][0].name in ("symbols", "letters", "word_length") and ordered[0][2] == 1.0
+    assert ordered[0][0].name == "symbols" and ordered[0][2] == 1.0
     assert {r.name for r, _, _ in ordered} == {r.name for r in quality.RULES}
+    rates = [rejected / cost for _, cost, rejected in ordered]
+    assert rates == sorted(rates, reverse=True)
+    cheap = quality.Rule("cheap", lambda text, q: text.startswith("#"))
+    dear = quality.Rule("dear", lambda text, q: text.startswith("#"), 3)
+    never = quality.Rule("never", lambda text, q: q.n_words < 0)
+    assert [r.name for r, _, _ in quality.order_rules(docs, (never, dear, cheap))] == ["cheap", "dear", "never"]
+
+
+def test_good_documents_are_those_that_judge_keeps(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judged = {r.doc_id for r in quality.judge(docs).where("kept").select("row.doc_id").collect()}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == judged
+
+
+def test_samples_of_rules_stay_where_they_are(spark):
+    """No plan of the sample moves texts into one partition."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sample = quality.with_features(docs.select("text").sample(fraction=0.1, seed=1)).agg({"q.n_words": "max"})
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    exchanges = plan.split("Exchange SinglePartition")
+    assert len(exchanges) == 2 and "text" not in exchanges[0]
 
 
 # transducer ------------------------------------------------------------------------------------------------------
