@@ -1,12 +1,16 @@
 """Licence statements by a positional rare-token index, all in DataFrame functions.
 
-The index holds every content word of each licence template with its positions. Every licence word of a file is looked
-up, weighed by inverse document frequency over all files, and postings vote for a template at a relative position, so
-that several statements in a file do not take each other's place. A template whose votes reach the threshold adds its label if one of its mandatory key phrases stands in the
-file. Where a label names a version, one of its version phrases must stand there too; else the template's plain label is
-added. Base phrases are counted at every place and always label.
-
-Null texts have no words; repeated rows are scanned one by one; an empty table gives no row.
+The index is a table of postings: every content word of each licence template, where it stands and its inverse document
+frequency over all files. A file is first looked up by the rarest words of each template, taken so far that no template
+can be met without one of them. Of the templates found, all words vote for the place at which the statement would start;
+votes within ``SLACK`` words of each other add up, so that words may be put in or left out. Where the votes reach the
+threshold, one of the template's mandatory key phrases must stand near them, and its label is added; where a label names a
+version, one of its version phrases must, else the template's plain label is added. Base phrases are counted at every place
+and always label. Plans do not grow with the index.
+
+Null and empty texts have no words; repeated rows are scanned one by one; very long texts are scanned whole, their hits in
+many rows; templates that reach the same votes all label; other columns of the input are ignored, whatever their names; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -14,9 +18,8 @@ from __future__ import annotations
 import math
 import string
 from dataclasses import dataclass
-from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
@@ -24,6 +27,11 @@ from . import store
 WORD_CUT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The share of a template's weight that must agree.
 THRESHOLD = 0.6
+#: Words that may be put in or left out between words of a statement, and between it and its key phrase.
+SLACK, NEAR = 4, 20
+#: Rows of the index that are sent to every task; a larger one is joined by a shuffle.
+BROADCAST_POSTINGS = 200_000
+_WEIGHT = 1_000_000
 
 BASE = (
     ("cc by", "cc-by"),
@@ -109,10 +117,6 @@ def index_words(templates: tuple[Template, ...]) -> list[str]:
     return sorted({w for t in templates for w in t.text.split()} - COMMON)
 
 
-def _lookup(pairs: dict[str, Column], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), v) for k, v in pairs.items())), key)
-
-
 def _places(words: Column, phrase: str) -> Column:
     """Starts of a phrase, from 0; the array is walked only where it holds the phrase's longest word."""
     parts = phrase.split()
@@ -134,12 +138,15 @@ def _all(parts: list[Column]) -> Column:
 def find_words(
     files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``key``, n_words, starts (each base phrase's), hits (w, i of index words) and phrases (key and version phrases present)."""
+    """``row`` (a number for each file), ``key``, n_words, starts (each base phrase's), hits (w, i of index words) and phrases
+    (p, i of key and version phrases)."""
     lowered = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     words = files.select(
         F.col(key).alias("key"), F.filter(F.split(lowered, WORD_CUT), lambda w: w != "").alias("words")
     )
     index = index_words(templates)
+    phrases = sorted({p for t in templates for p in t.key_phrases + t.version_phrases})
+    firsts, lengths = sorted({p.split()[0] for p in phrases}), sorted({len(p.split()) for p in phrases})
     at = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     marked = words.select(
         "key",
@@ -148,104 +155,131 @@ def find_words(
         F.struct(*[_places(F.col("words"), p).alias(f"p{n}") for n, (p, _) in enumerate(BASE)]).alias("starts"),
         F.arrays_overlap("words", F.array(*map(F.lit, index))).alias("some"),
     )
-    phrases = sorted({p for t in templates for p in t.key_phrases + t.version_phrases})
-    present = F.array_compact(
-        F.array(*[F.when(F.size(_places(F.col("words"), p)) > 0, p) for p in phrases])
-    )
-    none_hit, none_phrase = F.array().cast("array<struct<w:string,i:int>>"), F.array().cast("array<string>")
+
+    def said(x: Column) -> Column:
+        runs = [F.struct(F.concat_ws(" ", F.slice("words", x.i + 1, n)).alias("p"), x.i.alias("i")) for n in lengths]
+        return F.filter(F.array(*runs), lambda y: y.p.isin(phrases))
+
+    none_hit, none_phrase = (F.array().cast(f"array<struct<{x}:string,i:int>>") for x in "wp")
+    starting = F.filter(at, lambda x: x.w.isin(firsts))
     return marked.select(
+        F.monotonically_increasing_id().alias("row"),
         "key",
         "n_words",
         "starts",
         F.when(F.col("some"), F.filter(at, lambda x: x.w.isin(index))).otherwise(none_hit).alias("hits"),
-        F.when(F.col("some"), present).otherwise(none_phrase).alias("phrases"),
+        F.when(F.col("some"), F.flatten(F.transform(starting, said))).otherwise(none_phrase).alias("phrases"),
     )
 
 
-def inverse_frequencies(found: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:
-    """log((1 + files) / (1 + files with the word)) of every index word, over all files."""
+def inverse_frequencies(found: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
+    """log((1 + files) / (1 + files with the word)) in millionths, at least one, of every index word, over all files."""
     words = found.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").count()
     seen = {r.w: r["count"] for r in words.collect()}  # no more rows than the index has words
     n = found.count()
-    return {w: math.log((1 + n) / (1 + seen.get(w, 0))) + 1e-9 for w in index_words(templates)}
-
-
-def _scores(templates: tuple[Template, ...], idf: dict[str, float]) -> list[Column]:
-    """Each template's best share of agreeing weight at one relative position."""
-    weights = {w: F.lit(v) for w, v in idf.items()}
-    out = []
-    for t in templates:
-        postings: dict[str, list[int]] = {}
-        for i, w in enumerate(t.text.split()):
-            if w not in COMMON:
-                postings.setdefault(w, []).append(i)
-        total = sum(idf[w] * len(at) for w, at in postings.items())
-        lists = {w: F.array(*map(F.lit, at)) for w, at in postings.items()}
-        votes = F.flatten(
-            F.transform(
-                F.filter("hits", lambda h: h.w.isin(list(postings))),
-                lambda h: F.transform(
-                    _lookup(lists, h.w), lambda p: F.struct((h.i - p).alias("at"), _lookup(weights, h.w).alias("v"))
-                ),
-            )
-        )
-        start = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-
-        def add(state: Column, vote: Column) -> Column:
-            summed = F.when(vote.at.eqNullSafe(state.at), state["sum"] + vote.v).otherwise(vote.v)
-            return F.struct(vote.at.alias("at"), summed.alias("sum"), F.greatest(state.best, summed).alias("best"))
-
-        best = F.aggregate(F.sort_array(votes), start, add, lambda s: s.best)
-        out.append(F.least(F.lit(1.0), best / total))
-    return out
+    return {w: max(1, round(_WEIGHT * math.log((1 + n) / (1 + seen.get(w, 0))))) for w in index_words(templates)}
 
 
-def _label(t: Template) -> Column:
-    """The template's label; the plain one where a version is named but none of its phrases stands in the file."""
-    if not t.version_phrases:
-        return F.lit(t.label)
-    return F.when(F.arrays_overlap("phrases", F.array(*map(F.lit, t.version_phrases))), t.label).otherwise(F.lit(t.plain))
+@dataclass(frozen=True)
+class Index:
+    """Tables of the templates: where words stand, which are rare, and which phrases each asks for."""
+
+    postings: DataFrame
+    anchors: DataFrame
+    phrases: DataFrame
+    templates: DataFrame
+    longest: int
+
+
+def build_index(spark: SparkSession, templates: tuple[Template, ...], idf: dict[str, int]) -> Index:
+    postings, anchors, phrases, rows = [], [], [], []
+    for t, template in enumerate(templates):
+        places = [(w, p) for p, w in enumerate(template.text.split()) if w not in COMMON]
+        total = sum(idf[w] for w, _ in places)
+        postings += [(w, t, p, idf[w]) for w, p in places]
+        rest = total
+        for w in sorted({w for w, _ in places}, key=lambda w: (-idf[w], w)):
+            anchors.append((w, t))  # without these words no file reaches the threshold
+            rest -= idf[w] * sum(x == w for x, _ in places)
+            if rest < THRESHOLD * total:
+                break
+        phrases += [(p, t, False) for p in template.key_phrases] + [(p, t, True) for p in template.version_phrases]
+        rows.append((t, template.label, template.plain or template.label, bool(template.version_phrases), total))
+    small = len(postings) <= BROADCAST_POSTINGS
+    return Index(
+        _table(spark, postings, "w string, t int, p int, v long", small),
+        _table(spark, anchors, "w string, t int", small),
+        _table(spark, phrases, "p string, t int, version boolean", small),
+        _table(spark, rows, "t int, label string, plain string, versioned boolean, total long", small),
+        max((len(x.text.split()) for x in templates), default=1),
+    )
+
+
+def _table(spark: SparkSession, rows: list[tuple], schema: str, small: bool) -> DataFrame:
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if small else made
+
+
+def statements(found: DataFrame, index: Index) -> DataFrame:
+    """(row, t, at, first, last, votes): the votes for template ``t`` about each place, and the words that gave them."""
+    rare = found.select("row", F.explode(F.array_distinct("hits.w")).alias("w")).join(index.anchors, "w")
+    wanted = rare.groupBy("row").agg(F.collect_set("t").alias("wanted"))
+    hits = found.select("row", "hits").join(wanted, "row").select("row", "wanted", F.explode("hits").alias("h"))
+    votes = hits.select("row", "wanted", F.col("h.w").alias("w"), F.col("h.i").alias("i")).join(index.postings, "w")
+    votes = votes.where(F.array_contains("wanted", F.col("t")))
+    near = F.floor((F.col("i") - F.col("p")) / SLACK)
+    votes = votes.select("row", "t", "p", "i", "v", F.explode(F.array(near - 1, near)).alias("at"))
+    each = votes.groupBy("row", "t", "at", "p").agg(F.min("i").alias("i"), F.max("v").alias("v"))
+    return each.groupBy("row", "t", "at").agg(
+        F.min("i").alias("first"), F.max("i").alias("last"), F.sum("v").alias("votes")
+    )
+
+
+def verified(found: DataFrame, met: DataFrame, index: Index) -> DataFrame:
+    """(row, label) of the statements in ``met`` that have a key phrase near them; both are dealt by place, so a file of many
+    statements never compares each with every phrase."""
+    wide = NEAR + index.longest
+    low, high = F.col("first") - NEAR, F.col("last") + NEAR
+    met = met.withColumn("part", F.explode(F.sequence(F.floor(low / wide), F.floor(high / wide))))
+    phrases = found.select("row", F.explode("phrases").alias("x")).select("row", F.col("x.p").alias("p"), F.col("x.i").alias("i"))
+    phrases = phrases.join(index.phrases, "p").withColumn("part", F.floor(F.col("i") / wide))
+    both = met.join(phrases, ["row", "t", "part"]).where(F.col("i").between(low, high))
+    said = both.groupBy("row", "t", "at").agg(
+        F.bool_or(~F.col("version")).alias("key"), F.bool_or("version").alias("version")
+    )
+    named = said.where("key").join(index.templates, "t")
+    label = F.when(F.col("versioned") & ~F.col("version"), F.col("plain")).otherwise(F.col("label"))
+    return named.select("row", label.alias("label")).distinct()
 
 
 def scan(
     files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``key``, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """``key``, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest share of a template's weight
+    that agrees; 1 with a base phrase)."""
     found = store.materialize(find_words(files, templates, key, text), "licence-words")
-    idf = inverse_frequencies(found, templates)
-    starts = F.concat(*[F.col(f"starts.p{n}") for n in range(len(BASE))])
+    index = build_index(files.sparkSession, templates, inverse_frequencies(found, templates))
+    some = found.where(F.size("hits") > 0)
+    shares = statements(some, index).join(index.templates.select("t", "total"), "t")
+    shares = store.materialize(shares.withColumn("share", F.col("votes") / F.col("total")), "licence-votes")
+    labels = verified(some, shares.where(F.col("share") >= THRESHOLD), index)
+    labels = labels.groupBy("row").agg(F.collect_set("label").alias("more"))
+    best = shares.groupBy("row").agg(F.max("share").alias("share"))
     base = F.array_compact(
         F.array(*[F.when(F.size(f"starts.p{n}") > 0, label) for n, (_, label) in enumerate(BASE)])
     )
-    none = F.array(*[F.lit(0.0)] * len(templates))
-    scored = found.select(
-        "key",
-        "n_words",
-        starts.alias("places"),
-        base.alias("base"),
-        "phrases",
-        F.when(F.size("hits") > 0, F.array(*_scores(templates, idf))).otherwise(none).alias("scores"),
-    )
-    verified = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    (F.get("scores", n) >= THRESHOLD)
-                    & F.arrays_overlap("phrases", F.array(*map(F.lit, t.key_phrases))),
-                    _label(t),
-                )
-                for n, t in enumerate(templates)
-            ]
-        )
-    )
+    places = F.concat(*[F.col(f"starts.p{n}") for n in range(len(BASE))])
+    judged = found.select("row", "key", "n_words", places.alias("places"), base.alias("base"))
+    judged = judged.join(best, "row", "left").join(labels, "row", "left")
     joined = lambda a: F.array_join(F.sort_array(F.array_distinct(a)), ",")
-    return scored.select(
+    share = F.least(F.lit(1.0), F.coalesce("share", F.lit(0.0)))
+    return judged.select(
         F.col("key").alias(key),
         "n_words",
         F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"),
         F.array_max("places").cast("long").alias("last_word"),
         joined("base").alias("base_labels"),
-        joined(F.concat("base", verified)).alias("labels"),
-        F.greatest(F.array_max("scores"), F.when(F.size("base") > 0, 1.0).otherwise(0.0)).alias("score"),
+        joined(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(share).alias("score"),
     )
