@@ -4,8 +4,13 @@ A rule names a host, with its subdomains, and a path prefix; the longest that fi
 aliases do: connected components over redirect and canonical-link edges take an explicit allow of any member first, then
 a block; with neither the url is allowed.
 
+Urls are the same node when they differ in the case of scheme and host, a default port, dot segments, an empty path and
+``/``, or the fragment. Links count outside comments and scripts only; all canonical links of a page do; entities are
+resolved, and ``<base href>`` is what relative links stand on.
+
 Null urls and urls without ``://`` have empty host and path and are allowed; repeated rows are judged one by one; pages
-without html give no edge; an empty table gives no row.
+without html, or with empty one, give no edge; very long html is read whole; rules of equal length go by their pattern;
+other columns of the input are ignored, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -23,7 +28,10 @@ from .components import components
 #: Rules become one CASE expression in every task.
 MOST_RULES = 1000
 _TAG = r"(?is)<{}\b[^>]*>"
-_ATTRIBUTE = r"(?is)\b{}\s*=\s*[\"']?\s*([^\"'\s>]+)"
+_ATTRIBUTE = r"(?is)(?<![\w-]){}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+_UNSEEN = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)"
+# Entities that urls need.
+_ENTITIES = ((r"&quot;|&#34;|&#[xX]22;", '"'), (r"&apos;|&#39;|&#[xX]27;", "'"), (r"&#47;|&#[xX]2[fF];", "/"), (r"&amp;|&#38;|&#[xX]26;", "&"))
 
 
 @dataclass(frozen=True)
@@ -59,49 +67,79 @@ def decide(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Column, Co
     return chain(lambda r: r.pattern), chain(lambda r: r.verdict)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved; others are not looked at."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+
+    def add(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), add)
+    folder = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    resolved = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+    return F.when(path.startswith("/") & path.contains("/."), resolved).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A url without fragment, its scheme and host lower-cased."""
-    part = r"(?s)^(.*?://[^/?#]*)([^#]*)"
-    return F.nullif(
-        F.concat(lower_ascii(F.regexp_extract(url, part, 1)), F.regexp_extract(url, part, 2)), F.lit("")
+    """A url without fragment, default port and dot segments, its scheme and host lower-cased, its path ``/`` at least."""
+    part = r"(?s)^(.*?://)([^/?#]*)([^?#]*)(\?[^#]*)?"
+    scheme, host, path = (F.regexp_extract(url, part, n) for n in (1, 2, 3))
+    scheme, host = lower_ascii(scheme), lower_ascii(host)
+    host = (
+        F.when(scheme == "http://", F.regexp_replace(host, ":(80)?$", ""))
+        .when(scheme == "https://", F.regexp_replace(host, ":(443)?$", ""))
+        .otherwise(host)
     )
+    path = F.when(path == "", "/").otherwise(_without_dots(path))
+    return F.when(scheme != "", F.concat(scheme, host, path, F.regexp_extract(url, part, 4)))
 
 
 def absolute(link: Column, base: Column) -> Column:
-    """A link as it stands on page ``base``: whole, without scheme, from the root, or beside the page."""
+    """A link as it stands on page ``base``: whole, without scheme, from the root, of the same path, or beside the page."""
     scheme, root = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    page = F.regexp_extract(base, r"(?s)^(.*?://[^?#]*)", 1)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(root, link))
-        .when(link != "", F.concat(F.rtrim(folder), F.when(folder.endswith("/"), "").otherwise("/"), link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .when(link.startswith("#"), base)
+        .when(link != "", F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), link))
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, trimmed and with its entities resolved; empty where it is missing."""
+    value = F.concat(*[F.regexp_extract(tag, _ATTRIBUTE.format(name), n) for n in (1, 2, 3)])
+    for entity, char in _ENTITIES:
+        value = F.regexp_replace(value, entity, char)
+    return F.trim(F.regexp_replace(value, r"^\s+|\s+$", ""))
+
+
+def _tags(html: Column, name: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(_TAG.format(name)), F.lit(0))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) of each page's canonical link and of its refresh redirect."""
-    head = F.coalesce("html", F.lit(""))
-    tags = F.concat(F.regexp_extract_all(head, F.lit(_TAG.format("link")), F.lit(0)))
-    canonical = F.get(F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")), 0)
-    refresh = F.get(
-        F.filter(
-            F.regexp_extract_all(head, F.lit(_TAG.format("meta")), F.lit(0)),
-            lambda t: t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh"),
-        ),
-        0,
+    """(src, dst) of each page's canonical links and of its refresh redirects."""
+    html = F.lower(F.coalesce("html", F.lit("")))
+    some = pages.where(F.col("url").isNotNull() & (F.contains(html, F.lit("canonical")) | F.contains(html, F.lit("http-equiv"))))
+    seen = some.select("url", F.regexp_replace("html", _UNSEEN, " ").alias("seen"))
+    canonical = F.filter(
+        _tags(F.col("seen"), "link"), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical")
     )
-    links = F.array(
-        F.when(F.contains(F.lower(head), F.lit("canonical")), F.regexp_extract(canonical, _ATTRIBUTE.format("href"), 1)),
-        F.when(
-            F.contains(F.lower(head), F.lit("http-equiv")),
-            F.regexp_extract(refresh, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1),
-        ),
+    refresh = F.filter(_tags(F.col("seen"), "meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+    target = lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is)^[\s\d.]*[;,]?\s*url\s*=\s*[\"']?([^\"']*)", 1)
+    links = F.concat(F.transform(canonical, lambda t: _attribute(t, "href")), F.transform(refresh, target))
+    bases = F.filter(F.transform(_tags(F.col("seen"), "base"), lambda t: _attribute(t, "href")), lambda x: x != "")
+    found = seen.select("url", links.alias("links"), F.get(bases, 0).alias("base")).where(F.size("links") > 0)
+    found = found.select("url", F.coalesce(absolute(F.col("base"), F.col("url")), "url").alias("base"), F.explode("links").alias("link"))
+    found = found.select(
+        node_of(F.col("url")).alias("src"), node_of(absolute(F.trim("link"), F.col("base"))).alias("dst")
     )
-    found = pages.where(F.col("url").isNotNull()).select("url", F.explode(links).alias("link")).where("link <> ''")
-    return found.select(
-        node_of(F.col("url")).alias("src"), node_of(absolute(F.col("link"), F.col("url"))).alias("dst")
-    ).where("src is not null and dst is not null and src <> dst")
+    return found.where("src is not null and dst is not null and src <> dst")
 
 
 def alias_verdicts(edges: DataFrame, rules: list[UrlRule]) -> DataFrame:

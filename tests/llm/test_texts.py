@@ -449,6 +449,65 @@ def test_url_aliases(spark):
     assert url_alias.filter_urls(pages.limit(0), rules).collect() == []
 
 
+def test_links_of_pages(spark):
+    canonical = '<link rel="canonical" href="{}">'
+    cases = [
+        ("http://c.com", "", []),
+        ("http://C.com:80", canonical.format("http://c.com/"), []),
+        ("HTTPS://c.com:443/a/./b/../c?q#f", canonical.format("https://c.com/a/c?q"), []),
+        ("http://c.com/a/b", canonical.format("../z"), ["http://c.com/z"]),
+        ("http://c.com/a/b/", canonical.format("../z/.."), ["http://c.com/a/"]),
+        ("http://c.com/a/b?x", canonical.format("?y=1&amp;z=2#f"), ["http://c.com/a/b?y=1&z=2"]),
+        ("http://c.com/a", canonical.format("#top"), []),
+        ("http://c.com/a", "<!-- " + canonical.format("http://no.com/") + " -->", []),
+        ("http://c.com/a", "<script>'" + canonical.format("http://no.com/") + "'</script>", []),
+        ("http://c.com/a", "<link href='http://no.com/' rel='noncanonical'><link data-href=x rel=canonical>", []),
+        ("http://c.com/a", "<LINK HREF=http://d.com/x REL='alternate canonical'>", ["http://d.com/x"]),
+        ("http://c.com/a", canonical.format("http://d.com") + canonical.format("/e"), ["http://c.com/e", "http://d.com/"]),
+        ("http://c.com/a", '<base href="//d.com/x/y">' + canonical.format("z"), ["http://d.com/x/z"]),
+        ("http://c.com/a", "<meta content='5; URL=\"b c\"' http-equiv=Refresh>", ["http://c.com/b c"]),
+        ("http://c.com/a", '<meta http-equiv="refresh" content="30"><p>canonical', []),
+        ("c.com/a", canonical.format("http://d.com/"), []),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases)], "page_id int, url string, html string")
+    for i, (url, html, want) in enumerate(cases):
+        got = sorted(r.dst for r in url_alias.page_edges(pages.where(f"page_id = {i}")).collect())
+        assert got == want, (url, html)
+
+
+def test_aliases_of_random_graphs(spark):
+    import random
+
+    rng = random.Random(8)
+    hosts = ["bad.com", "x.bad.com", "free.org", "ok.net", "other.io"]
+    rules = [url_alias.UrlRule(p, v) for p, v in (("bad.com/", "block"), ("bad.com/1", "allow"), ("io/2", "block"))]
+    urls = sorted({f"http://{rng.choice(hosts)}/{rng.randrange(40)}" for _ in range(150)})
+    edges = [(rng.choice(urls), rng.choice(urls)) for _ in range(90)]
+    pages = [(i, u, "".join(f'<link rel=canonical href="{b}">' for a, b in edges[:60] if a == u)) for i, u in enumerate(urls)]
+
+    def ruled(url):
+        host, path = url[7:].split("/")
+        fit = [
+            (len(r.pattern), r.verdict) for r in rules
+            if (host == r.pattern.split("/")[0] or host.endswith("." + r.pattern.split("/")[0]))
+            and path.startswith(r.pattern.split("/")[1])
+        ]
+        return max(fit)[1] if fit else None
+
+    group = {u: {u} for u in urls}
+    for a, b in edges:
+        both = group[a] | group[b]
+        for u in both:
+            group[u] = both
+    found = spark.createDataFrame(pages, "page_id int, url string, html string")
+    moved = spark.createDataFrame(edges[60:], "src string, dst string")
+    for r in url_alias.filter_urls(found, rules, moved).collect():
+        url = urls[r.page_id]
+        verdicts = {ruled(u) for u in group[url]}
+        want = ruled(url) or next((v for v in ("allow", "block") if v in verdicts), "allow")
+        assert r.verdict == want, url
+
+
 # pipeline --------------------------------------------------------------------------------------------------------
 
 
