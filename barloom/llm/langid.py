@@ -5,8 +5,9 @@ document goes to the language whose profile its own most frequent n-grams disagr
 sums the differences of ranks, and the profile size where an n-gram is missing. Counts cover whole texts of all training
 documents. Equal counts rank by n-gram, equal distances by language.
 
-Texts that are null or without a letter, and all texts where nothing could be learned, are ``und`` with score 0. A null
-``doc_id`` is held out. Rows that repeat count each time.
+Texts that are null, empty or without a letter, and all texts where nothing could be learned, are ``und`` with score 0. A
+null ``doc_id`` is held out. Rows that repeat count each time. Very long texts are counted whole. ``keep_known`` gives the
+input's other columns back, whatever their names. An empty table gives no row.
 """
 
 from __future__ import annotations

@@ -3,9 +3,11 @@
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt to groups of bounded size; each group is packed
 by best-fit decreasing, and dual feasible functions give a bound that no packing of the group can beat. Groups above
 their bound give up the pieces of their unfilled sequences, which are dealt anew among those groups and packed again,
-for as long as that saves sequences.
+for as long as a round saves more than ``least_gain`` of them. ``certificate`` tells how far the result is from the bound.
 
-Null texts are one piece with the end id; repeated rows are documents of their own; an empty table gives no row.
+Null and empty texts are one piece with the end id; repeated rows are documents of their own; very long texts become as many
+pieces as they need; pieces of equal length are packed in order of id; other columns of the input are ignored, whatever
+their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from . import store, tokens
 CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 10_000
-ROUNDS = 6
+#: A further round must save this share of the sequences that it packs again.
+LEAST_GAIN = 0.0005
 
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECE + ", grp long, bin long, offset long, filled long, n_bins long, bound long"
 
 
@@ -54,7 +57,9 @@ def pieces(docs: DataFrame, vocabulary: str, *, kind: str = "word", capacity: in
                     ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _PIECE + ", ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+    )
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -115,67 +120,78 @@ def _pack_groups(rows: DataFrame, capacity: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    group = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(seed)), F.lit(n))
+    """``rows`` in ``n`` random groups; ``row`` parts those that are equal in all else."""
+    group = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "row", F.lit(seed)), F.lit(n))
     return rows.select(*[c.split()[0] for c in _PIECE.split(", ")], (group + F.lit(seed << 32)).alias("grp"))
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    return found.withColumn("row", F.monotonically_increasing_id())
+
+
 def pack_pieces(
-    found: DataFrame, *, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS
+    found: DataFrame,
+    *,
+    capacity: int = CAPACITY,
+    group_pieces: int = GROUP_PIECES,
+    rounds: int | None = None,
+    least_gain: float = LEAST_GAIN,
 ) -> DataFrame:
-    """The pieces with their ``sequence_id`` and ``offset``."""
-    n = found.count()
-    placed = store.materialize(
-        _pack_groups(_dealt(found, -(-n // group_pieces) or 1, 0), capacity), "packed"
-    )
-    settled: list[DataFrame] = []
-    for seed in range(1, rounds + 1):
+    """The pieces with their ``sequence_id`` and ``offset``; ``rounds`` bounds the rounds after the first."""
+    placed, seed, settled = _packed(found, capacity, group_pieces), 0, []
+    while rounds is None or seed < rounds:
+        seed += 1
         loose = (F.col("n_bins") > F.col("bound")) & (F.col("filled") < capacity)
         old = placed.where(loose).agg(F.count("*"), F.countDistinct("grp", "bin")).first()
-        if not old[0] or old[1] < 2:
+        if old[1] < 2:
             break
         dealt = _dealt(placed.where(loose), -(-old[0] // group_pieces), seed)
         again = store.materialize(_pack_groups(dealt, capacity), "repacked")
-        if again.agg(F.countDistinct("grp", "bin")).first()[0] >= old[1]:
+        saved = old[1] - again.agg(F.countDistinct("grp", "bin")).first()[0]
+        if saved <= 0:
             break
         settled.append(placed.where(~loose))
         placed = again
+        if saved < least_gain * old[1]:
+            break
     for more in settled:
         placed = placed.union(more)
     return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
+        "row", "doc_id", "piece", "start", "length", "ids_crc32",
         (F.shiftleft("grp", 24) + F.col("bin")).alias("sequence_id"), "offset",
     )
 
 
+def _packed(found: DataFrame, capacity: int, group_pieces: int) -> DataFrame:
+    found = found if "row" in found.columns else _numbered(found)
+    dealt = _dealt(found, -(-found.count() // group_pieces) or 1, 0)
+    return store.materialize(_pack_groups(dealt, capacity), "packed")
+
+
 def bound_of(found: DataFrame, capacity: int = CAPACITY) -> int:
     """Sequences that any packing of all pieces needs, from the counts of their lengths."""
     rows = found.groupBy("length").count().collect()  # at most ``capacity`` rows
     return lower_bound(np.array([r[0] for r in rows], np.int64), capacity, np.array([r[1] for r in rows], np.int64))
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """Sequences used and those that any packing of the same pieces needs."""
+    return packed.select("sequence_id").distinct().count(), bound_of(packed, capacity)
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY) -> DataFrame:
     """Where each piece of each document stands."""
-    found = store.materialize(pieces(docs, vocabulary, capacity=capacity).drop("ids"), "pieces")
-    return pack_pieces(found, capacity=capacity)
+    found = store.materialize(_numbered(pieces(docs, vocabulary, capacity=capacity).drop("ids")), "pieces")
+    return pack_pieces(found, capacity=capacity).drop("row")
 
 
 def sequences(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences themselves: sequence_id, n_tokens and ids (the encoder's ``dtype``)."""
-    found = store.materialize(pieces(docs, vocabulary, capacity=capacity), "pieces")
-    keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    number = F.row_number().over(_each(keys))
-    placed = pack_pieces(found.drop("ids"), capacity=capacity).withColumn("copy", number)
-    texts = found.withColumn("copy", number)
-    same = [placed[c].eqNullSafe(texts[c]) for c in (*keys, "copy")]
-    joined = placed.join(texts, same).select("sequence_id", placed["offset"], placed["length"], texts["ids"])
+    found = store.materialize(_numbered(pieces(docs, vocabulary, capacity=capacity)), "pieces")
+    placed = pack_pieces(found.drop("ids"), capacity=capacity).select("row", "sequence_id", "offset")
+    joined = placed.join(found.select("row", "length", "ids"), "row")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda x: x.ids)
     return joined.groupBy("sequence_id").agg(
         F.sum("length").alias("n_tokens"),
         F.aggregate(ordered, F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"),
     )
-
-
-def _each(keys: list[str]):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(*keys).orderBy(F.lit(0))

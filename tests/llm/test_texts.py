@@ -220,9 +220,45 @@ def test_repacking_reaches_the_bound(spark):
     rng = np.random.default_rng(2)
     rows = [(i, 0, 0, int(x), i) for i, x in enumerate(rng.integers(1, 1300, 900))]
     found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    once = packing.pack_pieces(found, group_pieces=50, rounds=0).select("sequence_id").distinct().count()
-    more = packing.pack_pieces(found, group_pieces=50).select("sequence_id").distinct().count()
-    assert packing.bound_of(found) <= more <= once
+    once, bound = packing.certificate(packing.pack_pieces(found, group_pieces=50, rounds=0))
+    more, same = packing.certificate(packing.pack_pieces(found, group_pieces=50))
+    assert packing.bound_of(found) == bound == same <= more < once
+    assert more <= 1.05 * bound
+
+
+def test_equal_rows_are_dealt_to_many_groups(spark):
+    found = packing._numbered(spark.range(4000).selectExpr("cast(null as long) doc_id", "0 piece", "0L start", "1L length", "7L ids_crc32"))
+    groups = packing._dealt(found, 8, 0).groupBy("grp").count().collect()
+    assert len(groups) == 8 and max(r["count"] for r in groups) < 700
+
+
+def check_packed(rows, docs, capacity=2048):
+    from tokenizers import Tokenizer
+
+    t, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for doc_id, text in docs:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        for n, a in enumerate(range(0, len(ids), capacity)):
+            part = np.array(ids[a : a + capacity], "<u4")
+            want[doc_id, n, a, len(part), zlib.crc32(part.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for at in places.values():
+        at.sort()
+        assert at[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(at, at[1:])) and sum(at[-1]) <= capacity
+
+
+def test_op4_on_documents(spark):
+    docs = [(doc_id, text) for doc_id, text, _ in documents(spark)]
+    check_packed(QUERIES["op4_best_fit_packing"](spark, SF).collect(), docs)
+
+
+def test_packing_of_odd_documents(spark):
+    docs = odd_docs(spark).selectExpr("*", "1 piece", "2 length", "3 grp", "4 offset")
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    check_packed(packed, [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
 def test_bounds_hold_and_best_fit_fits():
@@ -250,6 +286,54 @@ def test_languages_held_out_accuracy(spark):
     assert right / total > 0.95
 
 
+def brute_languages(train, docs, size=langid.PROFILE):
+    """(lang, score) by plain counting; train: (text, lang)."""
+
+    def counted(text):
+        low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        out = Counter()
+        for word in low.split():
+            out.update(word)
+        padded = " " + " ".join(low.split()) + " "
+        for n in (2, 3):
+            for i in range(len(padded) - n + 1):
+                gram = padded[i : i + n]
+                if gram.strip() and (n == 2 or gram[1] != " "):
+                    out[gram] += 1
+        return out if low.strip() else Counter()
+
+    key = lambda g: [ord(c) for c in g.rjust(3, "\0")]
+    top = lambda c: sorted(c, key=lambda g: (-c[g], key(g)))[:size]
+    totals = {}
+    for text, lang in train:
+        totals.setdefault(lang, Counter()).update(counted(text))
+    profiles = {lang: {g: r for r, g in enumerate(top(c))} for lang, c in totals.items()}
+    out = []
+    for text in docs:
+        mine = top(counted(text))
+        if not mine:
+            out.append(("und", 0.0))
+            continue
+        far = {lang: sum(abs(p[g] - r) if g in p else size for r, g in enumerate(mine)) for lang, p in profiles.items()}
+        lang = min(far, key=lambda x: (far[x], x))
+        out.append((lang, 1 - far[lang] / (size * len(mine))))
+    return out
+
+
+def test_op7_on_documents_by_plain_counting(spark):
+    rows = documents(spark)
+    train = [(t, lang) for i, t, lang in rows if lang is not None and zlib.crc32(str(i).encode()) % 5]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op7_rank_order_language"](spark, SF).collect()}
+    for (doc_id, text, _), (lang, score) in zip(rows, brute_languages(train, [t for _, t, _ in rows]), strict=True):
+        assert got[doc_id] == (lang, pytest.approx(score)), text[:60]
+
+
+def test_languages_of_very_long_texts(spark):
+    docs = [(1, "alpha beta " * 200_000, "aa"), (2, "alpha beta", "aa"), (3, "zyx wvu " * 150_000, "bb"), (4, "zyx", "bb")]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: "aa", 2: "aa", 3: "bb", 4: "bb"}
+
+
 def test_language_corner_cases(spark):
     docs = spark.createDataFrame(
         [(1, None, "aa"), (2, "", "aa"), (3, "123 !?", "bb"), (4, "hello hello", "aa"), (5, "xyz zyx", "bb"), (None, "hello", "aa")],
@@ -531,6 +615,23 @@ def test_pipeline_stages(spark):
     assert packed.sequence_id.nunique() >= math.ceil(packed.length.sum() / 2048)
 
 
+def test_pipeline_of_odd_documents(spark):
+    good = "alpha beta gamma delta epsilon zeta eta theta iota kappa number {} of many"
+    rows = [(i, good.format(i), "en", "s", 1) for i in range(30)] + [(1, good.format(1), "en", "s", 1)] * 2
+    rows += [(40, None, "en", "s", 1), (41, "", "en", "s", 1), (None, good.format("none"), None, None, None)] * 2
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows += [(42, " ".join(map(letters, range(60_000))), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 row", "'h' h", "2 rep", "3 score", "4 part")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns[-5:] == ["row", "h", "rep", "score", "part"], name
+    ids = Counter(r.doc_id for r in docs.collect())
+    assert ids[None] == 2 and ids[42] == ids[0] == ids[1] == 1 and 40 not in ids and 41 not in ids
+    packed = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == set(ids)
+
+
 def test_pipeline_of_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
