@@ -1,7 +1,10 @@
 """From documents to packed training sequences: quality rules, language, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and is written as Parquet in the shared
-folder before the next reads it. All stages but the last return the columns of ``documents``.
+folder before the next reads it. All stages but the last return the columns of ``documents``; columns beyond those stay,
+whatever their names. Null and empty texts have too few words for the first stage; rows with a null ``doc_id`` are judged as
+others and are no copies of each other; repeated rows pass or fail alike, and one of those that share an id stays; very long
+texts are judged whole and cut only into pieces of the last stage; an empty table gives no row at any stage.
 """
 
 from __future__ import annotations
