@@ -216,7 +216,7 @@ def build_index(spark: SparkSession, templates: tuple[Template, ...], idf: dict[
 
 
 def _table(spark: SparkSession, rows: list[tuple], schema: str, small: bool) -> DataFrame:
-    made = spark.createDataFrame(rows, schema)
+    made = store.materialize(spark.createDataFrame(rows, schema), "licence-index")
     return F.broadcast(made) if small else made
 
 

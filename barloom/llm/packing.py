@@ -26,6 +26,8 @@ from . import store, tokens
 CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 10_000
+#: Words whose ids a worker remembers; workers that pack may serve other stages later.
+MEMO_WORDS = 400_000
 #: A further round must save this share of the sequences that it packs again.
 LEAST_GAIN = 0.0005
 
@@ -37,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str, *, kind: str = "word", capacity: in
     """Every document's pieces with their ids (``ids``: the encoder's ``dtype``) and checksum."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(vocabulary, kind)
+        encoder = tokens.encoder(vocabulary, kind, memo_words=MEMO_WORDS)
         encode, width = encoder.encode, encoder.dtype.itemsize
         end = END_ID.to_bytes(width, "little")
         for batch in batches:

@@ -304,23 +304,26 @@ def _across(diffs: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
     than ``most / 2 + 1``, so only so many of it are looked up. Texts of one frame with own names share what the hub has
     in the names' places, but behind their own names, which alone are more; so they meet nowhere.
     """
-    wide = diffs.groupBy("hub_key").agg(F.max("size").alias("widest"), F.count("*").alias("n"), F.bool_and("linked").alias("all"))
-    open_hubs = store.materialize(wide.where("n > 1 and not all").select("hub_key", "widest"), "join-open")
-    rows = diffs.join(open_hubs, "hub_key").join(homes, "rep", "left")
+    diffs = diffs.join(homes, "rep", "left").withColumn("home", F.coalesce("home", "rep"))
+    wide = diffs.groupBy("hub_key").agg(
+        F.max("size").alias("widest"), F.min("home").alias("h1"), F.max("home").alias("h2"), F.bool_and("linked").alias("all")
+    )
+    open_hubs = store.materialize(wide.where("h1 < h2 and not all").select("hub_key", "widest"), "join-open")
     partner = F.least("widest", F.floor(F.col("size") * 100 / percent))
-    reach = F.floor(F.floor((F.col("size") + partner) * (100 - percent) / (100 + percent)) / 2)
-    rows = rows.select(
-        "hub_key", "rep", "size", "differ", "linked", F.coalesce("home", "rep").alias("home"), reach.alias("reach"),
-        F.posexplode("first").alias("i", "e"),
-    )
-    rows = store.materialize(rows, "join-firsts")
-    low = F.col("i") <= F.col("reach")
-    keys = rows.groupBy("hub_key", "e").agg(
-        F.min("home").alias("h1"), F.max("home").alias("h2"), F.bool_or(low).alias("low"), F.bool_and("linked").alias("all")
+    reach = F.floor((F.col("size") + partner) * (100 - percent) / (100 + percent))
+    info = diffs.join(open_hubs, "hub_key").select("hub_key", "rep", "size", "differ", "linked", "home", "first", reach.alias("reach"))
+    info = store.materialize(info, "join-open-rows")
+    rows = info.select("hub_key", "rep", "home", F.floor(F.col("reach") / 2).alias("half"), "linked", "reach", F.posexplode("first").alias("i", "e"))
+    rows = rows.where(F.col("i") <= F.col("reach"))
+    meet = rows.select(F.xxhash64("hub_key", "e").alias("meet"), "hub_key", "rep", "home", "linked", (F.col("i") <= F.col("half")).alias("low"), "i")
+    keys = meet.groupBy("meet").agg(
+        F.min("home").alias("h1"), F.max("home").alias("h2"), F.bool_or("low").alias("some"), F.bool_and("linked").alias("all")
     )
-    keys = store.materialize(keys.where("h1 < h2 and low and not all").select("hub_key", "e"), "join-meeting")
-    rows = store.materialize(rows.join(keys, ["hub_key", "e"]), "join-met")
-    side = lambda n, df: df.select("hub_key", "e", *[F.col(x).alias(f"{x}{n}") for x in ("rep", "size", "differ", "home", "linked", "i")])
+    keys = store.materialize(keys.where("h1 < h2 and some and not all").select("meet"), "join-meeting")
+    met = store.materialize(meet.drop("home", "linked").join(keys, "meet"), "join-met")
+    met = met.join(info.select("hub_key", "rep", "size", "differ", "linked", "home"), ["hub_key", "rep"])
+    met = store.materialize(met, "join-met-rows")
+    side = lambda n, df: df.select("hub_key", "meet", *[F.col(x).alias(f"{x}{n}") for x in ("rep", "size", "differ", "home", "linked", "i")])
     most = F.floor((F.col("size1") + F.col("size2")) * (100 - percent) / (100 + percent))
     o = F.ceil((F.col("differ1") + F.col("differ2") - most) / 2)
     near = (
@@ -331,7 +334,7 @@ def _across(diffs: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
         & (F.col("i1") <= F.col("differ1") - o)
         & (F.col("i2") <= F.col("differ2") - o)
     )
-    pairs = side(1, rows.where(low)).join(side(2, rows), ["hub_key", "e"]).where(near)
+    pairs = side(1, met.where("low")).join(side(2, met), ["hub_key", "meet"]).where(near)
     return pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).where("a < b").distinct()
 
 

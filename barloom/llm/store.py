@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss"}
 
 
@@ -27,11 +31,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of fewer rows while a table is written: batches of whole texts are what workers hold most of."""
+    before = int(spark.conf.get(_BATCH))
+    spark.conf.set(_BATCH, min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

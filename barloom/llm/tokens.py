@@ -55,12 +55,13 @@ class WordEncoder:
     ``dtype`` is the little-endian integer in which ids are given: two bytes, or four where the vocabulary needs them.
     """
 
-    def __init__(self, path: str, kind: str, special_as_text: bool = False):
+    def __init__(self, path: str, kind: str, special_as_text: bool = False, memo_words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         if kind not in ("byte", "word"):
             raise ValueError(kind)
+        self.memo_words = memo_words
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         added = self.tokenizer.get_added_tokens_decoder().values()
@@ -81,7 +82,7 @@ class WordEncoder:
         """Ids of each text, in ``dtype``."""
         out = []
         for text in texts:
-            if len(self.whole) + len(self.spaced) + len(self.letters) > MEMO_WORDS:
+            if len(self.whole) + len(self.spaced) + len(self.letters) > self.memo_words:
                 for memo in (self.whole, self.spaced, self.letters):
                     memo.clear()
             if len(self.tails) > 10_000:
@@ -143,12 +144,12 @@ class WordEncoder:
         return found + self.tails[word[len(core) :]] if len(core) < len(word) else found
 
 
-_encoders: dict[tuple[str, str, bool], WordEncoder] = {}
+_encoders: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str, kind: str, special_as_text: bool = False) -> WordEncoder:
+def encoder(path: str, kind: str, special_as_text: bool = False, memo_words: int = MEMO_WORDS) -> WordEncoder:
     """The worker's encoder of a vocabulary file."""
-    key = path, kind, special_as_text
+    key = path, kind, special_as_text, memo_words
     if key not in _encoders:
         _encoders[key] = WordEncoder(*key)
     return _encoders[key]
