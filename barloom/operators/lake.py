@@ -1,17 +1,22 @@
 """A keyed Parquet table with versions: upsert, time travel, compaction, vacuum.
 
-A version is a folder of date partitions; ``_versions`` names, for each version, the folder that holds each partition. An
-upsert rewrites only the partitions it touches into a new folder, and the version counts once its small manifest is
-there, so a job that dies leaves the last version whole.
+Rows live under ``data/v=<folder>/<partition>=<value>``. ``_versions`` names, for each version, the folder that holds each
+partition. An upsert rewrites only the partitions it touches into a new folder, and the version counts once its small
+manifest is there, so a job that dies leaves the last version whole. Reading is one scan joined with the manifest, however
+many upserts there were. Null partition values and null keys are values like others; of source rows that share a key one is
+taken.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+NULL_PART = "__null__"
+
 
 def scratch(spark: SparkSession) -> str:
     """The folder that the cluster shares; a temporary one in local mode where none is set."""
@@ -46,48 +51,64 @@ class LakeTable:
         return max(done, default=None)
 
     def _manifest(self, version: int) -> DataFrame:
-        return self.spark.read.schema("part string, folder string").parquet(f"{self.path}/_versions/{version}")
+        return self.spark.read.schema("part string, v int").parquet(f"{self.path}/_versions/{version}")
+
+    def _schema(self, version: int) -> str:
+        return self.spark.read.schema("schema string").json(f"{self.path}/_schema/{version}").first()[0]
+
+    def _part(self) -> Column:
+        return F.coalesce(F.col(self.partition).cast("string"), F.lit(NULL_PART))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The table, or an older version of it. Each folder is read once, for the partitions that still live there."""
+        """The table, or an older version of it, in one scan of the folders in which its partitions live."""
         version = self.version() if version is None else version
         if version is None:
             raise FileNotFoundError(self.path)
-        schema = self.spark.read.schema("schema string").json(f"{self.path}/_schema/{version}").first()[0]
-        out = None
-        for folder, parts in self._manifest(version).groupBy("folder").agg(F.collect_list("part")).collect():
-            one = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
-            one = one.where(F.col(self.partition).cast("string").isin(parts))
-            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-        return out if out is not None else self.spark.createDataFrame([], schema)
-
-    def _commit(self, rows: DataFrame, keep: DataFrame | None, version: int) -> int:
-        folder = f"v{version}"
-        rows.repartition(self.partition).write.mode("overwrite").partitionBy(self.partition).parquet(f"{self.path}/{folder}")
+        schema, manifest = self._schema(version), self._manifest(version)
+        if manifest.isEmpty():
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, `v` int").parquet(f"{self.path}/data")
+        live = rows.withColumn("part", self._part()).join(F.broadcast(manifest), ["v", "part"], "left_semi")
+        return live.select(*[F.col(f"`{f.name}`") for f in live.schema.fields if f.name not in ("v", "part")])
+
+    def _commit(self, rows: DataFrame, keep: DataFrame | None, version: int, spread: int = 1) -> int:
+        """``spread``: files into which the rows of each partition are dealt."""
+        deal = [self.partition] if spread == 1 else [F.col(self.partition), F.pmod(F.xxhash64(*self.keys), F.lit(spread))]
+        folder = f"{self.path}/data/v={version}"
+        rows.repartition(*deal).write.mode("overwrite").partitionBy(self.partition).parquet(folder)
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
         self.spark.createDataFrame([(ddl,)], "schema string").coalesce(1).write.mode("overwrite").json(f"{self.path}/_schema/{version}")
-        written = self.spark.read.schema(ddl).parquet(f"{self.path}/{folder}")
-        manifest = written.select(F.col(self.partition).cast("string").alias("part")).distinct().withColumn("folder", F.lit(folder))
+        written = self.spark.read.schema(ddl).parquet(folder)
+        manifest = written.select(self._part().alias("part")).distinct().withColumn("v", F.lit(version))
         if keep is not None:
             manifest = manifest.unionByName(keep)
         manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_versions/{version}")
         return version
 
-    def overwrite(self, rows: DataFrame) -> int:
+    def overwrite(self, rows: DataFrame, spread: int = 1) -> int:
         version = self.version()
-        return self._commit(rows, None, 0 if version is None else version + 1)
+        return self._commit(rows, None, 0 if version is None else version + 1, spread)
 
-    def upsert(self, rows: DataFrame) -> int:
-        """Replace rows of the same keys, add the others; columns may be new. Only partitions in ``rows`` are rewritten."""
+    def upsert(self, rows: DataFrame, spread: int = 1) -> int:
+        """Replace rows of the same keys, add the others; columns may be new. Only partitions in ``rows`` are rewritten.
+        ``rows`` is evaluated once, into a staging folder that is removed in the end."""
         version = self.version()
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        rows.dropDuplicates(self.keys).write.parquet(staged)
+        rows = self.spark.read.schema(rows.schema).parquet(staged)
         if version is None:
-            return self._commit(rows, None, 0)
-        parts = rows.select(F.col(self.partition).cast("string").alias("part")).distinct()
-        touched = [r.part for r in parts.collect()]  # partitions, not rows
-        old = self.read(version).where(F.col(self.partition).cast("string").isin(touched))
-        merged = rows.unionByName(old.join(rows.select(*self.keys), self.keys, "left_anti"), allowMissingColumns=True)
-        keep = self._manifest(version).where(~F.col("part").isin(touched))
-        return self._commit(merged, keep, version + 1)
+            done = self._commit(rows, None, 0, spread)
+        else:
+            touched = rows.select(self._part().alias("part")).distinct()
+            old = self.read(version).withColumn("part", self._part()).join(F.broadcast(touched), "part", "left_semi").drop("part")
+            keys = rows.select(*[F.col(k).alias(f"_{k}") for k in self.keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys]
+            merged = rows.unionByName(old.join(keys, same, "left_anti"), allowMissingColumns=True)
+            keep = self._manifest(version).join(touched, "part", "left_anti").select("part", "v")
+            done = self._commit(merged, keep, version + 1, spread)
+        fs, p = self._fs(staged)
+        fs.delete(p, True)
+        return done
 
     def compact(self) -> int:
         """One folder again, one file a partition."""
@@ -95,18 +116,18 @@ class LakeTable:
         return self._commit(self.read(version), None, version + 1)
 
     def vacuum(self, keep_versions: int = 1, dry_run: bool = True) -> list[str]:
-        """Folders that none of the last versions uses; deleted unless ``dry_run``."""
+        """Folders that none of the last versions uses; deleted, with the older versions' manifests, unless ``dry_run``."""
         last = self.version()
-        live = range(max(0, last - keep_versions + 1), last + 1)
-        used = {r.folder for v in live for r in self._manifest(v).select("folder").distinct().collect()}
-        fs, p = self._fs(self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        dead = sorted(n for n in names if n.startswith("v") and n not in used)
+        first = max(0, last - keep_versions + 1)
+        used = {f"v={r.v}" for v in range(first, last + 1) for r in self._manifest(v).select("v").distinct().collect()}
+        fs, p = self._fs(f"{self.path}/data")
+        dead = sorted(n for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("v=") and n not in used)
         if not dry_run:
             for n in dead:
-                fs.delete(self._fs(f"{self.path}/{n}")[1], True)
-            for v in range(max(0, last - keep_versions + 1)):
-                fs.delete(self._fs(f"{self.path}/_versions/{v}")[1], True)
+                fs.delete(self._fs(f"{self.path}/data/{n}")[1], True)
+            for v in range(first):
+                for kind in ("_versions", "_schema"):
+                    fs.delete(self._fs(f"{self.path}/{kind}/{v}")[1], True)
         return dead
 
 

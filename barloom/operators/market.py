@@ -1,4 +1,5 @@
-"""The named market queries on bars (market, ticker, date, open, high, low, close, volume)."""
+"""The named market queries on bars (market, ticker, date, open, high, low, close, volume). Those over the last days take
+bars of these days only (``sources.bars.bars`` with ``days``)."""
 
 from __future__ import annotations
 
@@ -12,12 +13,6 @@ def pct(now: Column, before: Column) -> Column:
     return (now - before) / F.nullif(before, F.lit(0.0)) * 100
 
 
-def since(bars: DataFrame, days: int) -> DataFrame:
-    """Bars of the last ``days`` days before the latest date; the one-row aggregate is broadcast."""
-    latest = bars.agg(F.date_sub(F.max("date"), days).alias("since"))
-    return bars.join(F.broadcast(latest), F.col("date") >= F.col("since")).drop("since")
-
-
 def latest_summary(bars: DataFrame) -> DataFrame:
     """Each market's latest date with its tickers, rows and volume. One pass: partial sums for each (market, date)."""
     daily = bars.groupBy("market", "date").agg(
@@ -27,9 +22,9 @@ def latest_summary(bars: DataFrame) -> DataFrame:
     return last.select("x.market", F.col("x.date").alias("latest_date"), "x.tickers", "x.n_rows", "x.total_volume")
 
 
-def top_volume(bars: DataFrame, days: int, k: int = 20) -> DataFrame:
+def top_volume(bars: DataFrame, k: int = 20) -> DataFrame:
     return (
-        since(bars, days)
+        bars
         .groupBy("ticker", "market")
         .agg(
             F.sum("volume").alias("total_volume"),
@@ -41,9 +36,9 @@ def top_volume(bars: DataFrame, days: int, k: int = 20) -> DataFrame:
     )
 
 
-def gainers_losers(bars: DataFrame, days: int, least_days: int, k: int = 30) -> DataFrame:
+def gainers_losers(bars: DataFrame, least_days: int, k: int = 30) -> DataFrame:
     moved = (
-        since(bars, days)
+        bars
         .groupBy("ticker", "market")
         .agg(
             F.min_by("close", "date").alias("start_price"),
@@ -74,9 +69,9 @@ def moving_average(bars: DataFrame, ticker: str, n: int = 20) -> DataFrame:
     return rows.where("ma is not null").withColumn("pct_diff_from_ma", pct(F.col("close"), F.col("ma")))
 
 
-def volatility(bars: DataFrame, days: int, least_days: int, k: int = 20) -> DataFrame:
+def volatility(bars: DataFrame, least_days: int, k: int = 20) -> DataFrame:
     before = F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))
-    returns = since(bars, days).withColumn("r", pct(F.col("close"), before) / 100).where("r is not null")
+    returns = bars.withColumn("r", pct(F.col("close"), before) / 100).where("r is not null")
     return (
         returns.groupBy("ticker", "market")
         .agg(
@@ -108,9 +103,9 @@ def market_stats(bars: DataFrame) -> DataFrame:
     )
 
 
-def price_range(bars: DataFrame, days: int, least_days: int, k: int = 30) -> DataFrame:
+def price_range(bars: DataFrame, least_days: int, k: int = 30) -> DataFrame:
     ranges = (
-        since(bars, days)
+        bars
         .groupBy("ticker", "market")
         .agg(
             F.min("close").alias("period_low"),

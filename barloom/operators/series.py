@@ -81,3 +81,16 @@ def freshness(bars: DataFrame, markets: DataFrame, as_of: str) -> DataFrame:
         .select("market", "latest_date", F.coalesce("n_dates", F.lit(0)).alias("n_dates"), age.alias("age_days"))
         .withColumn("status", F.when(F.col("age_days") <= 7, "ok").when(F.col("age_days").isNull(), "missing").otherwise("stale"))
     )
+
+
+def macro_derived(long: DataFrame, dates: DataFrame, names: list[str]) -> DataFrame:
+    """Macro values on ``dates``, filled forward, with five-row changes and the slope of yields; unknown ones are 0. Values of
+    other dates are left out before filling. Rows are dates."""
+    wide = long.groupBy("date").pivot("indicator", names).agg(F.first("value"))
+    by = Window.orderBy("date")  # one row a date, whatever the tickers
+    full = dates.join(wide, "date", "left")
+    full = full.select("date", *[F.last(n, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names])
+    derived = {f"{n}_change_5d": F.col(n) - F.lag(n, 5).over(by) for n in ("vix", "dxy") if n in names}
+    if {"treasury_10y", "tips_yield"} <= set(names):
+        derived["yield_curve_slope"] = F.col("treasury_10y") - F.col("tips_yield")
+    return full.withColumns(derived).fillna(0.0)

@@ -51,7 +51,8 @@ class BandReversion(Strategy):
 
 
 class Momentum(Strategy):
-    """Equal weights on the best share of tickers by lagged return, set on every ``every``-th date and held."""
+    """Equal weights on the best share of tickers, one at least, by lagged return, set on every ``every``-th date and held.
+    Dates with fewer than ``least`` returns set nothing, nor do dates without a ticker's return: weights carry on."""
 
     def __init__(self, lookback: int = 252, skip: int = 21, every: int = 21, share: float = 0.3, least: int = 10):
         self.lookback, self.skip, self.every, self.share, self.least = lookback, skip, every, share, least
@@ -59,15 +60,14 @@ class Momentum(Strategy):
     def weights(self, bars: DataFrame) -> DataFrame:
         old = F.lag("close", self.lookback + self.skip).over(by_ticker())
         rows = bars.withColumn("_r", F.lag("close", self.skip).over(by_ticker()) / F.nullif(old, F.lit(0.0)) - 1)
-        dates = bars.select("date").distinct()
+        dates = rows.groupBy("date").agg(F.count("_r").alias("_n"))
         n = F.row_number().over(Window.orderBy("date")) - 1  # one row a date, whatever the tickers
-        rows = rows.join(dates.withColumn("_set", n % self.every == 0), "date")
+        rows = rows.join(dates.withColumn("_set", (n % self.every == 0) & (F.col("_n") >= self.least)), "date")
         day = Window.partitionBy("date")
         best = day.orderBy(F.col("_r").desc_nulls_last(), "ticker")
-        rows = rows.withColumns({"_n": F.count("_r").over(day), "_k": F.row_number().over(best)})
-        top = F.floor(F.col("_n") * self.share)
-        held = (F.col("_r").isNotNull()) & (F.col("_k") <= top) & (F.col("_n") >= self.least)
-        fixed = F.when(F.col("_set"), F.when(held, 1 / F.nullif(top.cast("double"), F.lit(0.0))).otherwise(0.0))
+        rows = rows.withColumn("_k", F.row_number().over(best))
+        top = F.greatest(F.floor(F.col("_n") * self.share), F.lit(1))
+        fixed = F.when(F.col("_set") & F.col("_r").isNotNull(), F.when(F.col("_k") <= top, 1 / top.cast("double")).otherwise(0.0))
         filled = F.last("_w", ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
         rows = rows.withColumn("_w", fixed)
         return rows.withColumn("weight", F.coalesce(filled, F.lit(0.0))).drop("_r", "_set", "_n", "_k", "_w")

@@ -76,10 +76,12 @@ def profile(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(profiled: DataFrame) -> DataFrame:
-    return profiled.select(
-        "column",
-        F.try_divide(F.col("n") - F.col("nulls"), F.col("n")).alias("completeness"),
-        F.try_divide(F.col("n_unique"), F.col("n")).alias("uniqueness"),
+    """A profile with the shares of values that are there and that are distinct."""
+    return profiled.withColumns(
+        {
+            "completeness": F.try_divide(F.col("n") - F.col("nulls"), F.col("n")),
+            "uniqueness": F.try_divide(F.col("n_unique"), F.col("n")),
+        }
     )
 
 
@@ -119,3 +121,31 @@ def null_quality(bars: DataFrame, markets: DataFrame, since: Column, columns: li
         F.count("*").alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns]
     )
     return markets.select("market").distinct().join(seen, "market", "left").na.fill(0)
+
+
+def missing_columns(frame: DataFrame, required: list[str]) -> list[str]:
+    return [c for c in required if c not in frame.columns]
+
+
+def column_status(frame: DataFrame, optional: tuple[str, ...] = (), sparse: float = 0.5) -> DataFrame:
+    """(column, n_nulls, share, status): empty where all values are null, sparse above a share, unless the column may be."""
+    counts = frame.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in frame.columns])
+    long = counts.unpivot(["_n"], frame.columns, "column", "there")
+    nulls = F.col("_n") - F.col("there")
+    bad = ~F.col("column").isin(*optional) if optional else F.lit(True)
+    status = F.when(bad & (nulls == F.col("_n")), "empty").when(bad & (nulls > F.col("_n") * sparse), "sparse").otherwise("ok")
+    return long.select("column", nulls.alias("n_nulls"), F.try_divide(nulls, F.col("_n")).alias("share"), status.alias("status"))
+
+
+def article_metrics(frame: DataFrame, text: str, key: str) -> DataFrame:
+    """One row: articles, missing texts, repeated keys, date range and label counts."""
+    label = F.col("sentiment_label")
+    return frame.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col(text).isNull() | (F.trim(F.col(text)) == "")).alias("missing_text"),
+        (F.count(key) - F.countDistinct(key)).alias("duplicate_types"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.count_if(label == "positive").alias("positive"),
+        F.count_if(label == "negative").alias("negative"),
+    )

@@ -54,7 +54,7 @@ def triple_barrier(spark, sf_dir):
 
 
 _WINDOWS = f"""{WITH}, w AS (SELECT ticker, i AS id, i AS start_idx, i + CAST(volume AS BIGINT) % 12 - 1 AS end_idx
-  FROM (SELECT *, row_number() {W} - 1 AS i FROM bars) WHERE i % 3 = 0)"""
+  FROM (SELECT *, row_number() {W} - 1 AS i FROM bars))"""
 
 
 @register(
@@ -67,7 +67,7 @@ _WINDOWS = f"""{WITH}, w AS (SELECT ticker, i AS id, i AS start_idx, i + CAST(vo
 )
 def uniqueness(spark, sf_dir):
     i = (F.row_number().over(indicators.by_ticker()) - 1).cast("long")
-    rows = bars(spark, sf_dir).withColumn("id", i).where("id % 3 = 0")
+    rows = bars(spark, sf_dir).withColumn("id", i)
     end = F.col("id") + F.col("volume").cast("long") % 12 - 1
     windows = rows.select("ticker", "id", F.col("id").alias("start_idx"), end.alias("end_idx"))
     return rounded(learning.uniqueness(windows), "uniqueness")
@@ -155,8 +155,8 @@ def bb_reversion(spark, sf_dir):
     d AS (SELECT date, (row_number() OVER (ORDER BY date) - 1) % 21 = 0 AS st FROM (SELECT DISTINCT date FROM bars)),
     k AS (SELECT r.ticker, r.date, r, st, count(r) OVER (PARTITION BY r.date) AS n,
       row_number() OVER (PARTITION BY r.date ORDER BY r DESC NULLS LAST, ticker) AS k FROM r JOIN d ON r.date = d.date),
-    x AS (SELECT ticker, date, CASE WHEN st THEN CASE WHEN r IS NOT NULL AND k <= floor(n * 0.3) AND n >= 3
-      THEN 1 / nullif(floor(n * 0.3), 0) ELSE 0 END END AS w FROM k)
+    x AS (SELECT ticker, date, CASE WHEN st AND n >= 3 AND r IS NOT NULL THEN
+      CASE WHEN k <= greatest(floor(n * 0.3), 1) THEN 1 / greatest(floor(n * 0.3), 1) ELSE 0 END END AS w FROM k)
     SELECT ticker, date, round(coalesce(last_value(w IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), 0), 6)
       AS weight FROM x""",
 )

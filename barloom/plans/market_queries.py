@@ -34,7 +34,7 @@ def latest_summary(spark, sf_dir):
     GROUP BY ticker, market ORDER BY total_volume DESC, ticker, market LIMIT 20""",
 )
 def top_volume(spark, sf_dir):
-    return rounded(market.top_volume(bars(spark, sf_dir), 700), "avg_volume")
+    return rounded(market.top_volume(bars(spark, sf_dir, 700)), "avg_volume")
 
 
 @register(
@@ -46,7 +46,7 @@ def top_volume(spark, sf_dir):
     FROM p ORDER BY (b - a) / a DESC, ticker, market LIMIT 30""",
 )
 def gainers_losers(spark, sf_dir):
-    return rounded(market.gainers_losers(bars(spark, sf_dir), 700, 50), "start_price", "end_price", "pct_change")
+    return rounded(market.gainers_losers(bars(spark, sf_dir, 700), 50), "start_price", "end_price", "pct_change")
 
 
 @register(
@@ -79,7 +79,7 @@ def moving_avg(spark, sf_dir):
     ORDER BY stddev(r) DESC, ticker, market LIMIT 20""",
 )
 def volatility(spark, sf_dir):
-    return rounded(market.volatility(bars(spark, sf_dir), 900, 30), "avg_daily_move_pct", "volatility_pct")
+    return rounded(market.volatility(bars(spark, sf_dir, 900), 30), "avg_daily_move_pct", "volatility_pct")
 
 
 @register(
@@ -103,6 +103,6 @@ def market_stats(spark, sf_dir):
 )
 def price_range(spark, sf_dir):
     return rounded(
-        market.price_range(bars(spark, sf_dir), 700, 50),
+        market.price_range(bars(spark, sf_dir, 700), 50),
         "period_low", "period_high", "current_price", "pct_from_low", "pct_from_high",
     )

@@ -139,8 +139,7 @@ _PROFILE_SQL = " UNION ALL ".join(
     round(n_unique / n, 6) AS uniqueness FROM p""",
 )
 def profile(spark, sf_dir):
-    p = validation.profile(bars(spark, sf_dir), _PROFILE)
-    out = p.join(validation.quality(p), "column")
+    out = validation.quality(validation.profile(bars(spark, sf_dir), _PROFILE))
     return rounded(out, "mean", "std", "min", "max", "completeness", "uniqueness")
 
 
@@ -182,16 +181,17 @@ def clean_bars(spark, sf_dir):
 
 @register(
     "upsert_merge",
-    f"""{WITH}, a AS (SELECT ticker, date, close FROM bars WHERE date < DATE '1995-02-01'),
-    s AS (SELECT ticker, date, close + 1000 AS close FROM bars WHERE date >= DATE '1995-01-20' AND date < DATE '1995-02-10')
+    f"""{WITH}, a AS (SELECT ticker, date, close FROM bars WHERE date < DATE '1998-06-01'),
+    s AS (SELECT ticker, date, close + 1000 AS close FROM bars WHERE date >= DATE '1998-01-20')
     SELECT ticker, date, close FROM s UNION ALL
     SELECT ticker, date, close FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.ticker = a.ticker AND s.date = a.date)""",
 )
 def upsert_merge(spark, sf_dir):
-    """A table written, then merged with later rows by key, then compacted and read."""
-    b = bars(spark, sf_dir).select("ticker", "date", "close").where("date < date'1995-02-10'")
-    t = lake.LakeTable(spark, f"{lake.scratch(spark)}/upsert-{uuid.uuid4().hex}", ["ticker", "date"])
-    t.upsert(b.where("date < date'1995-02-01'"))
-    t.upsert(b.where("date >= date'1995-01-20'").withColumn("close", F.col("close") + 1000))
+    """All bars: a table written, then merged with later and re-priced rows by key, then compacted and read."""
+    b = bars(spark, sf_dir).select("ticker", "date", "close", F.date_format("date", "yyyy-MM").alias("month"))
+    path = f"{lake.scratch(spark)}/upsert-{uuid.uuid4().hex}"
+    t = lake.LakeTable(spark, path, ["ticker", "date", "month"], "month")
+    t.upsert(b.where("date < date'1998-06-01'"))
+    t.upsert(b.where("date >= date'1998-01-20'").withColumn("close", F.col("close") + 1000))
     t.compact()
-    return t.read()
+    return t.read().drop("month")

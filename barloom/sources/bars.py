@@ -17,10 +17,19 @@ def ticker_of(key: str) -> F.Column:
     return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 4, "0"))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
     """market, ticker, date, open, high, low, close, volume. One shuffle, on (supplier, date); open and close are the
-    prices of the first and last trade by ``min_by``/``max_by``, so the trades of a day are never sorted or collected."""
-    trades = table(spark, sf_dir, "lineitem").select(
+    prices of the first and last trade by ``min_by``/``max_by``, so the trades of a day are never sorted or collected.
+
+    ``days``: only bars of so many days before the latest one. The latest day is asked for first, so that the date is a
+    literal in the scan's pushed filters and row groups are left out."""
+    rows = table(spark, sf_dir, "lineitem")
+    if days is not None:
+        latest = rows.agg(F.max("l_shipdate")).first()[0]
+        if latest is not None:
+            start = str(latest)[:10]
+            rows = rows.where(F.col("l_shipdate") >= F.date_sub(F.lit(start).cast("date"), days).cast(rows.schema["l_shipdate"].dataType))
+    trades = rows.select(
         "l_suppkey",
         F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0.0))).alias("price"),

@@ -110,7 +110,7 @@ def test_upsert_versions_and_vacuum(spark, tmp_path):
     assert sorted(r.close for r in t.read(0).collect()) == [1, 2, 3] and again == 2
     assert {r.note for r in t.read().collect()} == {None, "n"}
     t.compact()
-    assert t.vacuum() == ["v0", "v1", "v2"] and t.vacuum(dry_run=False) and t.read().count() == 3
+    assert t.vacuum() == ["v=0", "v=1", "v=2"] and t.vacuum(dry_run=False) and t.read().count() == 3
 
 
 def test_texts(spark):
@@ -127,3 +127,45 @@ def test_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(str, spark.table("weekly_test").collect())) == sorted(map(str, events.weekly(source).collect()))
+
+
+def test_lake_table_keeps_null_partitions_and_one_row_a_key(spark, tmp_path):
+    t = lake.LakeTable(spark, f"file://{tmp_path}/t", ["k", "p"], "p")
+    schema = "k int, p string, x int"
+    t.upsert(spark.createDataFrame([(1, "a", 1), (2, None, 2), (None, None, 3)], schema))
+    t.upsert(spark.createDataFrame([(2, None, 20), (2, None, 20), (None, None, 30), (3, "b", 4), (3, "b", 4)], schema), spread=2)
+    got = {(r.k, r.p, r.x) for r in t.read().collect()}
+    assert got == {(1, "a", 1), (2, None, 20), (None, None, 30), (3, "b", 4)} and t.read().count() == 4
+    assert {(r.k, r.x) for r in t.read(0).collect()} == {(1, 1), (2, 2), (None, 3)}
+    for i in range(3):
+        t.upsert(spark.createDataFrame([(9, "a", i, "new")], f"{schema}, y string"))
+    plan = t.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 2  # one scan and the manifest, however many upserts
+    assert {(r.k, r.x, r.y) for r in t.read().where("p = 'a'").collect()} == {(1, 1, None), (9, 2, "new")}
+    t.compact()
+    assert t.vacuum(dry_run=False) and t.read().count() == 5
+
+
+def test_market_queries_push_the_date_to_one_scan(spark):
+    from barloom.operators import market
+    from barloom.sources.bars import bars
+
+    plan = market.top_volume(bars(spark, "/root/testdata/sf0.001", 700))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem") <= 2 and "GreaterThanOrEqual(l_shipdate" in plan
+    assert "NestedLoop" not in plan
+
+
+def test_validation_columns_and_empty_views(spark):
+    from barloom.operators import columns, loading
+
+    frame = spark.createDataFrame([(1, None, None), (2, "x", None)], "a int, b string, c string")
+    assert validation.missing_columns(frame, ["a", "z"]) == ["z"]
+    found = {r.column: r.status for r in validation.column_status(frame, optional=("c",)).collect()}
+    assert found == {"a": "ok", "b": "ok", "c": "ok"}
+    assert {r.column: r.status for r in validation.column_status(frame).collect()}["c"] == "empty"
+    empty = loading.unified_view(spark, {"US": None})
+    assert empty.count() == 0 and empty.columns[:3] == ["market", "ticker", "date"]
+    texts = spark.createDataFrame([("Tue, 05 Mar 2024 10:20:30 GMT",), ("2024-03-05T10:20:30.123Z",), ("03/05/2024",), ("no",)], "t string")
+    days = [str(r[0])[:10] for r in texts.select(columns.any_timestamp(texts.t)).collect()]
+    assert days == ["2024-03-05"] * 3 + ["None"]
+    assert texts.limit(1).select(columns.one_line(F.lit(" a\n\n b\tc "))).first()[0] == "a b c"
