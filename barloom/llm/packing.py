@@ -27,7 +27,7 @@ CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 10_000
 #: Words whose ids a worker remembers; workers that pack may serve other stages later.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 #: A further round must save this share of the sequences that it packs again.
 LEAST_GAIN = 0.0005
 
