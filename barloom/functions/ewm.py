@@ -50,6 +50,11 @@ def decayed(frame: DataFrame, column: str, lives: tuple[float, ...] = (3, 7, 30)
     return _per_ticker(frame, list(names), lambda g: g.assign(**{n: half_life(g[column], h) for n, h in names.items()}))
 
 
+def spans(frame: DataFrame, column: str, names: dict[str, int]) -> DataFrame:
+    """Means weighted by spans of bars, one column for each name."""
+    return _per_ticker(frame, list(names), lambda g: g.assign(**{n: g[column].ewm(span=s).mean() for n, s in names.items()}))
+
+
 def features(bars: DataFrame, least_rows: int = 60) -> DataFrame:
     """All indicators of tickers with enough bars: one shuffle by ticker, then windows on the same partitioning."""
     from . import indicators as ind

@@ -146,7 +146,7 @@ def sma_cross(spark, sf_dir):
     SELECT ticker, date, CASE WHEN close < lo AND pc >= plo THEN 0.95 ELSE 0.0 END AS weight FROM p""",
 )
 def bb_reversion(spark, sf_dir):
-    return trading.BandReversion().weights(bars(spark, sf_dir)).select("ticker", "date", "weight")
+    return trading.BandReversion(trend=None).weights(bars(spark, sf_dir)).select("ticker", "date", "weight")
 
 
 @register(

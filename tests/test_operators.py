@@ -169,3 +169,42 @@ def test_validation_columns_and_empty_views(spark):
     days = [str(r[0])[:10] for r in texts.select(columns.any_timestamp(texts.t)).collect()]
     assert days == ["2024-03-05"] * 3 + ["None"]
     assert texts.limit(1).select(columns.one_line(F.lit(" a\n\n b\tc "))).first()[0] == "a b c"
+
+
+def _weighted(spark, closes, weights=None):
+    rows = [("A", f"2024-01-{i + 1:02d}", float(c), 1.0 if weights is None else float(weights[i])) for i, c in enumerate(closes)]
+    return spark.createDataFrame(rows, "ticker string, date string, close double, weight double").withColumn("date", F.col("date").cast("date"))
+
+
+def _weights(frame):
+    return [r.weight for r in frame.orderBy("date").collect()]
+
+
+def test_stops_leave_a_run_and_wait_for_the_next(spark):
+    closes, on = [10, 9.5, 8.9, 12.1, 12, 10, 12.5, 13], [1, 1, 1, 1, 0, 1, 1, 1]
+    assert _weights(trading.stopped(_weighted(spark, closes, on), stop_loss=0.1)) == [1, 1, 0, 0, 0, 1, 1, 1]
+    assert _weights(trading.stopped(_weighted(spark, closes, on), take_profit=0.2)) == [1, 1, 1, 0, 0, 1, 0, 0]
+    assert _weights(trading.stopped(_weighted(spark, closes, on))) == on
+    short = [-w for w in on]
+    assert _weights(trading.stopped(_weighted(spark, closes, short), stop_loss=0.1)) == [-1, -1, -1, 0, 0, -1, 0, 0]
+    assert trading.stopped(_weighted(spark, []), 0.1).count() == 0
+
+
+def test_resampled_weights_change_at_the_ends_of_weeks(spark):
+    # 2024-01-01 is a Monday: weeks end at rows 6 and 13 and with the last row
+    on = [1, 0, 1, 0, 1, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1]
+    assert _weights(trading.resampled(_weighted(spark, range(1, 16), on), "week")) == [0] * 6 + [1] * 7 + [0] + [1]
+
+
+def test_grid_puts_the_best_strategy_first(spark):
+    class Always(trading.Strategy):
+        def __init__(self, w):
+            self.w = w
+
+        def weights(self, bars):
+            return bars.withColumn("weight", F.lit(self.w))
+
+    found = trading.grid(_weighted(spark, [10, 11, 11.5, 13, 13.1]).drop("weight"), {"none": Always(0.0), "long": Always(1.0), "short": Always(-1.0)})
+    rows = found.orderBy("place").collect()
+    assert [r.strategy for r in rows] == ["long", "short", "none"]  # never traded: no Sharpe ratio, so last
+    assert abs(rows[0].total_return - (13.1 / 10 * (1 - trading.FEE) - 1)) < 1e-3
