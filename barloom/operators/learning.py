@@ -101,9 +101,9 @@ def scores(counts: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(frame: DataFrame, actual: str, probability: str, low: int = 10, high: int = 90) -> DataFrame:
+def thresholds(frame: DataFrame, actual: str, probability: str, low: int = 10, high: int = 90, best: str = "f1") -> DataFrame:
     """Metrics at each threshold from ``low`` to ``high`` percent. Scores fall into percent bins first, so all thresholds
-    share one aggregate of at most 102 rows; best first."""
+    share one aggregate of at most 102 rows; the ``best`` score first, then the lowest threshold."""
     bin_ = F.floor(F.least(F.greatest(F.col(probability), F.lit(0.0)), F.lit(1.0)) * 100).cast("int")
     bins = frame.groupBy(bin_.alias("b")).agg(
         F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) == 0).alias("neg")
@@ -114,7 +114,7 @@ def thresholds(frame: DataFrame, actual: str, probability: str, low: int = 10, h
         F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(~above, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(~above, F.col("neg")).otherwise(0)).alias("tn"),
     )
-    return scores(counts).withColumn("threshold", F.col("t") / 100.0).drop("t").orderBy(F.desc("f1"), "threshold")
+    return scores(counts).withColumn("threshold", F.col("t") / 100.0).drop("t").orderBy(F.desc(best), "threshold")
 
 
 def class_weight(frame: DataFrame, actual: str) -> DataFrame:
@@ -132,13 +132,27 @@ def time_split(frame: DataFrame, embargo: int = 5, share: float = 0.8, key: str
     return rows.withColumn("part", part).drop("_i", "_n")
 
 
-def train_classifier(frame: DataFrame, features: list[str], label: str, weight: str | None = None, depth: int = 3, rounds: int = 10):
-    """A gradient-boosted pipeline model: vector, trees."""
+def overlaps(windows: DataFrame, key: str = "ticker") -> DataFrame:
+    """(``key``, id, other): each pair of windows (``key``, id, start_idx, end_idx) that share an index, once, and each window
+    with itself. The later start lies in the other window, so places are joined with starts and not windows with windows."""
+    valid = windows.where("end_idx >= start_idx")
+    points = valid.select(key, "id", "start_idx", F.explode(F.sequence("start_idx", "end_idx")).alias("at"))
+    starts = valid.select(key, F.col("id").alias("other"), F.col("start_idx").alias("at"))
+    later = (F.col("at") > F.col("start_idx")) | (F.col("id") <= F.col("other"))
+    pairs = points.join(starts, [key, "at"]).where(later).select(key, "id", "other")
+    return pairs.unionByName(windows.where("end_idx < start_idx").select(key, "id", F.col("id").alias("other")))
+
+
+def train_classifier(
+    frame: DataFrame, features: list[str], label: str, weight: str | None = None, depth: int = 3, rounds: int = 10,
+    rate: float = 0.1, share: float = 1.0,
+):
+    """A gradient-boosted pipeline model: vector, trees. ``share`` of the rows makes each tree."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    trees = GBTClassifier(labelCol=label, featuresCol="features", maxDepth=depth, maxIter=rounds, seed=42)
+    trees = GBTClassifier(labelCol=label, featuresCol="features", maxDepth=depth, maxIter=rounds, stepSize=rate, subsamplingRate=share, seed=42)
     if weight:
         trees = trees.setWeightCol(weight)
     vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")

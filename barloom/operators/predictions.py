@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators import validation
+from barloom.operators.lake import LakeTable
+
 
 def direction_signals(
     predictions: DataFrame, buy: float = 0.6, sell: float = 0.4, least_confidence: float = 60.0
@@ -48,3 +51,9 @@ def model_as_of(dates: DataFrame, models: DataFrame) -> DataFrame:
     spans = models.withColumn("_until", until)
     inside = (F.col("date") >= F.col("trained_on")) & (F.col("_until").isNull() | (F.col("date") < F.col("_until")))
     return dates.join(F.broadcast(spans), inside, "left").drop("_until")
+
+
+def store(table: LakeTable, made: DataFrame) -> int:
+    """Merges predictions (ticker, date, probability, direction) into their table; an error, and no write, where any breaks a
+    rule or a key repeats."""
+    return table.upsert(validation.require(made, validation.PREDICTION_RULES, table.keys))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import ewm, indicators
-from barloom.operators import lake, learning, series, texts, trading, validation
+from barloom.operators import lake, learning, predictions, series, texts, trading, validation, walkforward
 from barloom.streaming import events
 
 DAY = dt.date(2024, 1, 1)
@@ -208,3 +208,70 @@ def test_grid_puts_the_best_strategy_first(spark):
     rows = found.orderBy("place").collect()
     assert [r.strategy for r in rows] == ["long", "short", "none"]  # never traded: no Sharpe ratio, so last
     assert abs(rows[0].total_return - (13.1 / 10 * (1 - trading.FEE) - 1)) < 1e-3
+
+
+def _planted(spark, days=60):
+    """Two tickers whose label follows from x; the label of each row is settled two days later."""
+    rows = [
+        (t, DAY + dt.timedelta(i), float((i * 7 + k) % 10), int((i * 7 + k) % 10 >= 5), DAY + dt.timedelta(i + 2))
+        for i in range(days) for k, t in enumerate("AB")
+    ]
+    return spark.createDataFrame(rows, "ticker string, date date, x double, y int, settled date")
+
+
+def test_walk_forward_learns_a_planted_rule_from_the_past(spark):
+    numbered = walkforward.by_date(_planted(spark))
+    folds = walkforward.purged_folds(numbered, train=20, test=10, embargo=5, horizon=5)
+    assert folds == [(0, 16, 20, 30), (15, 31, 35, 45), (30, 46, 50, 60)]
+    answers = walkforward.predicted(numbered, ["x"], "y", folds, "settled", depth=1, rounds=1).cache()
+    assert answers.count() == 2 * 30
+    assert all(r.actual == r.prediction for r in answers.collect())
+    row = walkforward.summary(walkforward.fold_metrics(answers)).first()
+    assert (row.folds, row.mean_accuracy, row.std_accuracy, row.mean_precision, row.mean_recall) == (3, 1.0, 0.0, 1.0, 1.0)
+    grid = walkforward.grid_search(numbered, ["x"], "y", folds[:1], {"depth": [1], "rounds": [1, 2]}).collect()
+    assert sorted((r.params, r.mean_accuracy) for r in grid) == [("depth=1, rounds=1", 1.0), ("depth=1, rounds=2", 1.0)]
+
+
+def test_retraining_covers_every_later_date_once(spark):
+    numbered = walkforward.by_date(_planted(spark, 50))
+    assert walkforward.retraining_folds(numbered, train=20, every=12) == [(0, 20, 20, 32), (12, 32, 32, 44), (24, 44, 44, 50)]
+    answers = walkforward.predicted(numbered, ["x"], "y", walkforward.retraining_folds(numbered, 20, 12), depth=1, rounds=1)
+    assert sorted((r.ticker, r.date) for r in answers.collect()) == [(t, DAY + dt.timedelta(i)) for t in "AB" for i in range(20, 50)]
+
+
+def test_labels_settled_after_the_fold_opens_are_not_trained_on(spark):
+    late = _planted(spark, 40).withColumn("settled", F.lit(DAY + dt.timedelta(99)))
+    numbered = walkforward.by_date(late)
+    assert walkforward.predicted(numbered, ["x"], "y", [(0, 20, 20, 30)], "settled", depth=1, rounds=1).count() == 0
+
+
+def test_folds_of_an_empty_frame(spark):
+    numbered = walkforward.by_date(_planted(spark, 0))
+    assert walkforward.purged_folds(numbered) == [] and walkforward.retraining_folds(numbered) == []
+    row = walkforward.summary(walkforward.fold_metrics(walkforward.predicted(numbered, ["x"], "y", []))).first()
+    assert (row.folds, row.mean_accuracy) == (0, 0.0)
+
+
+def test_importances_name_the_planted_feature(spark):
+    frame = _planted(spark).withColumn("noise", F.lit(1.0))
+    model = learning.train_classifier(frame, ["noise", "x"], "y", depth=1, rounds=1)
+    assert [(r.place, r.feature) for r in walkforward.importances(model, ["noise", "x"], k=1).collect()] == [(1, "x")]
+
+
+def test_overlaps_equal_brute_force(spark):
+    spans = [(k, s, s + n) for k, (s, n) in enumerate([(0, 4), (0, 4), (2, 0), (4, 3), (5, -1), (7, 9), (30, 1)])]
+    frame = spark.createDataFrame([("A", *s) for s in spans] + [("B", *s) for s in spans], "ticker string, id int, start_idx int, end_idx int")
+    wanted = {(t, a[0], b[0]) for t in "AB" for a in spans for b in spans if a[0] == b[0] or a[1] <= b[2] and b[1] <= a[2] and a[1] <= a[2] and b[1] <= b[2]}
+    rows = learning.overlaps(frame).collect()
+    found = {(r.ticker, r.id, r.other) for r in rows}
+    assert len(found) == len(rows) and found | {(t, b, a) for t, a, b in found} == wanted
+
+
+def test_predictions_that_break_a_rule_are_not_stored(spark, tmp_path):
+    table = lake.LakeTable(spark, f"file://{tmp_path}/p", ["ticker", "date"])
+    good = spark.createDataFrame([("A", DAY, 0.7, "up")], "ticker string, date date, probability double, direction string")
+    assert predictions.store(table, good) == 0
+    for bad in (good.withColumn("probability", F.lit(1.0)), good.withColumn("direction", F.lit("flat")), good.unionAll(good)):
+        with pytest.raises(validation.ValidationError):
+            predictions.store(table, bad)
+    assert table.version() == 0
