@@ -59,3 +59,40 @@ def yahoo_symbol(code: Column) -> Column:
 def one_line(text: Column) -> Column:
     """Runs of line breaks and blanks as one blank."""
     return F.trim(F.regexp_replace(text, r"[\r\n\t ]+", " "))
+
+
+#: Fixed value: the name space of addresses.
+URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def name_uuid(name: Column, space: str = URL_SPACE) -> Column:
+    """The version 5 identifier of a name: SHA-1 of name space and name, with version and variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(space)), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("long").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat_ws(
+        "-",
+        F.substring(h, 1, 8),
+        F.substring(h, 9, 4),
+        F.concat(F.lit("5"), F.substring(h, 14, 3)),
+        F.concat(variant, F.substring(h, 18, 3)),
+        F.substring(h, 21, 12),
+    )
+
+
+def transcripts(sections: DataFrame, key: str, order: str, speaker: str, text: str) -> DataFrame:
+    """One row a transcript: its sections' texts in order with a blank line between, speakers in order of first words, and an
+    identifier. Sections without a text add none; transcripts without any are left out."""
+    parts = F.sort_array(F.collect_list(F.struct(order, speaker, text)))
+    rows = sections.where(F.col(key).isNotNull()).groupBy(key).agg(parts.alias("_s"))
+    rows = rows.withColumn("body", F.concat_ws("\n\n", F.col(f"_s.{text}"))).where(F.trim("body") != "")
+    named = F.filter(F.array_distinct(F.col(f"_s.{speaker}")), lambda x: x.isNotNull() & (x != ""))
+    identifier = name_uuid(F.concat(F.lit("transcript_"), F.col(key).cast("string")))
+    return rows.select(key, identifier.alias("article_id"), "body", named.alias("participants"))
+
+
+def frame_hash(frame: DataFrame, digits: int = 12) -> DataFrame:
+    """One row, ``hash``: the rows' digests added up and hashed, the same in any order of rows; repeated rows count."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(frame.columns)])
+    digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    total = F.coalesce(F.sum(digest), F.lit(0).cast("decimal(38,0)")).cast("string")
+    return frame.agg(F.substring(F.sha2(total, 256), 1, digits).alias("hash"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -93,3 +94,33 @@ def present_on(bars: DataFrame, dates: DataFrame) -> DataFrame:
     n = F.coalesce("n_rows", F.lit(0))
     counts = bars.groupBy("date").agg(F.count("*").alias("n_rows"))
     return dates.join(counts, "date", "left").select("date", n.alias("n_rows"), (n > 0).alias("present"))
+
+
+def newest(history: DataFrame, on: str, *ties: str, k: int = 20) -> DataFrame:
+    """The last ``k`` entries of a history."""
+    return history.orderBy(F.desc(on), *ties).limit(k)
+
+
+def synthetic_bars(spark: SparkSession, tickers: int, days: int, start: str = "2020-01-01", seed: int = 42) -> DataFrame:
+    """Bars of geometric random walks on weekdays: drift, overnight gaps, log-normal volumes. A ticker has its own seed's
+    numbers, each row's from its hash, so they do not change with partitions."""
+    length = F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("d")
+    grid = spark.range(tickers).select("id", length).withColumn("date", F.date_add(F.lit(start).cast("date"), F.col("d")))
+    rows = grid.where(F.weekday("date") < 5)
+
+    def uniform(k: int) -> Column:
+        return (F.pmod(F.xxhash64("id", "d", F.lit(seed), F.lit(k)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+    def normal(k: int) -> Column:
+        return F.sqrt(-2 * F.log(uniform(k))) * F.cos(2 * math.pi * uniform(k + 1))
+
+    rows = rows.withColumns({"_gap": normal(0) * 0.005, "_step": F.lit(0.0003) + normal(2) * 0.015, "_wick": F.abs(normal(4)) * 0.004})
+    by = Window.partitionBy("id").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.lit(20.0) + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(180))
+    rows = rows.withColumn("close", first * F.exp(F.sum(F.col("_gap") + F.col("_step")).over(by)))
+    rows = rows.withColumn("open", F.col("close") / F.exp("_step"))
+    return rows.select(
+        F.lit("us").alias("market"), F.concat(F.lit("T"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("ticker"), "date", "open",
+        (F.greatest("open", "close") * (1 + F.col("_wick"))).alias("high"), (F.least("open", "close") * (1 - F.col("_wick"))).alias("low"),
+        "close", F.floor(F.exp(13 + normal(6) * 0.5)).cast("double").alias("volume"),
+    )

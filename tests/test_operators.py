@@ -2,12 +2,13 @@
 
 import datetime as dt
 import math
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import ewm, indicators
-from barloom.operators import lake, learning, predictions, series, texts, trading, validation, walkforward
+from barloom.operators import calendar, columns, lake, learning, loading, predictions, series, texts, trading, validation, walkforward, writing
 from barloom.streaming import events
 
 DAY = dt.date(2024, 1, 1)
@@ -275,3 +276,82 @@ def test_predictions_that_break_a_rule_are_not_stored(spark, tmp_path):
         with pytest.raises(validation.ValidationError):
             predictions.store(table, bad)
     assert table.version() == 0
+
+
+def test_sessions_leave_out_weekends_and_holidays(spark):
+    market = spark.createDataFrame([("us", DAY, DAY + dt.timedelta(8))], "market string, a date, b date")
+    off = spark.createDataFrame([("us", DAY), ("us", DAY), ("jp", DAY + dt.timedelta(1))], "market string, date date")
+    days = calendar.sessions(market, F.col("a"), F.col("b"), off).cache()  # 2024-01-01 is a Monday
+    assert days.count() == 9
+    assert [r.date.day for r in days.where("is_session").orderBy("date").collect()] == [2, 3, 4, 5, 8, 9]
+    assert calendar.between(days, "2024-01-03", "2024-01-08").first().sessions == 4
+    assert calendar.last_session(days, "2024-01-07").first().last_session == dt.date(2024, 1, 5)
+    assert calendar.last_session(days, "2024-01-01").first().last_session is None
+    after = {r.date.day: r.next_session and r.next_session.day for r in calendar.next_session(days).collect()}
+    assert after == {1: 2, 2: 3, 3: 4, 4: 5, 5: 8, 6: 8, 7: 8, 8: 9, 9: None}
+    b = spark.createDataFrame([("us", "A", dt.date(2024, 1, d)) for d in (2, 4, 5)], "market string, ticker string, date date")
+    assert sorted(r.date.day for r in calendar.missing_sessions(b, days).collect()) == [3, 8, 9]
+    row = calendar.session_age(b, days, "2024-01-08").first()
+    assert (row.last_session.day, row.sessions_behind) == (8, 1)
+    assert calendar.session_age(b.limit(0), days, "2024-01-08").first().sessions_behind == 5
+
+
+def test_name_uuid_is_version_five(spark):
+    names = ["", "a", "https://news.example/1", "été"] + [f"transcript_{i}" for i in range(40)]
+    frame = spark.createDataFrame([(n,) for n in [*names, None]], "n string")
+    found = {r.n: r.u for r in frame.select("n", columns.name_uuid(F.col("n")).alias("u")).collect()}
+    for n in names:
+        assert found[n] == str(uuid.uuid5(uuid.NAMESPACE_URL, n))
+
+
+def test_transcripts_keep_order_and_distinct_speakers(spark):
+    rows = [(1, 2, "B", "two"), (1, 1, "A", "one"), (1, 3, "A", None), (1, 4, "", "four"), (2, 1, "A", " "), (None, 1, "A", "x")]
+    out = columns.transcripts(spark.createDataFrame(rows, "k int, o int, s string, t string"), "k", "o", "s", "t").collect()
+    assert [(r.k, r.body, r.participants) for r in out] == [(1, "one\n\ntwo\n\nfour", ["A", "B"])]
+
+
+def test_frame_hash_forgets_order_but_not_repeats(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "k int, s string")
+    h = lambda f: columns.frame_hash(f).first().hash
+    assert h(a) == h(a.orderBy(F.desc("k"))) == h(a.select("s", "k")) and len(h(a)) == 12
+    assert len({h(a), h(a.unionAll(a)), h(a.limit(0)), h(a.fillna("y"))}) == 4
+
+
+def test_gates_refuse_what_may_not_be_written(spark, tmp_path):
+    good = spark.createDataFrame([("A", DAY, 1.0), ("B", DAY, 2.0)], "ticker string, date date, close double")
+    t = lake.LakeTable(spark, f"file://{tmp_path}/t", writing.keys_of("bronze/us"))
+    gate = lambda f, **k: writing.gated_upsert(t, f, ["ticker", "close"], {"positive": "close > 0"}, ["ticker", "date"], **k)
+    assert gate(good, dry_run=True) and t.version() is None
+    bad = [good.limit(0), good.drop("close"), good.withColumn("close", F.lit(None).cast("double")), good.withColumn("close", -F.col("close")), good.unionAll(good)]
+    assert not any(gate(f) for f in bad) and t.version() is None
+    assert gate(good) and t.read().count() == 2
+    assert writing.refusals(good.drop("close"), ["close"]) == ["missing column close"]
+    assert writing.keys_of("02_silver/news_sentiment") == ["url"] and writing.keys_of("us") == ["ticker", "date"]
+
+
+def test_new_dates_are_added_and_old_ones_stay(spark, tmp_path):
+    path = f"file://{tmp_path}/d"
+    rows = spark.createDataFrame([(DAY, 1), (DAY + dt.timedelta(1), 2)], "date date, x int")
+    assert writing.write_new_dates(spark, rows.limit(1), path) == 1
+    assert writing.write_new_dates(spark, rows.withColumn("x", F.col("x") * 10), path) == 1
+    assert writing.write_new_dates(spark, rows, path) == 0
+    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [1, 20]
+
+
+def test_typed_columns_and_metadata(spark):
+    frame = spark.createDataFrame([("A", "3", 0.5, None)], "Ticker string, n string, score double, note string")
+    out = writing.typed(frame, "ticker string, n int, gone date")
+    assert out.dtypes == [("ticker", "string"), ("n", "int"), ("gone", "date")] and tuple(out.first()) == ("A", 3, None)
+    assert writing.lower_names(frame).columns == ["ticker", "n", "score", "note"]
+    assert writing.with_metadata(frame, ["Ticker"]).first().metadata == {"n": "3", "score": "0.5"}
+    assert writing.with_metadata(frame.select("n"), ["n"]).first().metadata == {}
+
+
+def test_synthetic_bars_are_sound_and_repeatable(spark):
+    made = loading.synthetic_bars(spark, 3, 400).cache()
+    again = loading.synthetic_bars(spark, 3, 400).repartition(5)
+    assert made.exceptAll(again).count() == 0 and made.select("ticker", "date").distinct().count() == made.count()
+    assert all(r.failed == 0 for r in validation.violations(made, validation.PRICE_RULES, ["ticker", "date"]).collect())
+    assert made.where("weekday(date) >= 5").count() == 0 and made.groupBy("ticker").count().count() == 3
+    steps = made.select(F.log(F.col("close") / F.col("open")).alias("s")).agg(F.stddev("s").alias("sd")).first().sd
+    assert 0.013 < steps < 0.017
