@@ -112,11 +112,11 @@ def frame_hash(spark, sf_dir):
 
 @register(
     "gated_upsert",
-    f"""{WITH} SELECT ticker, date, CASE WHEN year(date) >= 1998 THEN 2 ELSE 1 END * round(close, 6) AS close, volume FROM bars""",
+    f"""{WITH} SELECT ticker, date, round(CASE WHEN year(date) >= 1998 THEN 2 ELSE 1 END * close, 4) AS close, volume FROM bars""",
 )
 def gated_upsert(spark, sf_dir):
     """Bars written, newer ones doubled and merged; a batch that breaks a rule and one without closes are refused."""
-    b = rounded(bars(spark, sf_dir).select("ticker", "date", "close", "volume", F.year("date").alias("year")), "close")
+    b = bars(spark, sf_dir).select("ticker", "date", "close", "volume", F.year("date").alias("year"))
     keys = [*writing.keys_of("bronze/us"), "year"]
     t = lake.LakeTable(spark, f"{lake.scratch(spark)}/gated/{uuid.uuid4().hex}", keys, "year")
     rules = {n: r for n, r in validation.PRICE_RULES.items() if n in ("close_positive", "volume_not_negative")}
@@ -125,7 +125,7 @@ def gated_upsert(spark, sf_dir):
         b.withColumn("close", F.lit(None).cast("double")),
     ):
         writing.gated_upsert(t, rows, ["ticker", "date", "close"], rules, ["ticker", "date"])
-    return t.read().drop("year")
+    return rounded(t.read().drop("year"), "close", digits=4)
 
 
 @register(
