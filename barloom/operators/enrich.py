@@ -34,38 +34,47 @@ def with_news(bars: DataFrame, news: DataFrame) -> DataFrame:
 
 
 def with_social(bars: DataFrame, posts: DataFrame) -> DataFrame:
-    """Posts (ticker, date, source, mention_count, score) by day, with five-row momentum and change."""
+    """Posts (ticker, date, source, mention_count, score, positive_score, negative_score) by day, zeros where there are none, with
+    five-row momentum and change, 0 where unknown, and the score's decayed means."""
     of = lambda s: F.sum(F.when(F.col("source") == s, F.col("mention_count")).otherwise(0))
     daily = posts.groupBy(*KEYS).agg(
         F.sum("mention_count").alias("mentions"), F.avg("score").alias("social_score"),
+        F.avg("positive_score").alias("social_positive"), F.avg("negative_score").alias("social_negative"),
         of("reddit").alias("reddit_mentions"), of("twitter").alias("twitter_mentions"),
     )
-    joined = bars.join(daily, KEYS, "left").na.fill(
-        0, ["mentions", "social_score", "reddit_mentions", "twitter_mentions"]
-    )
+    joined = bars.join(daily, KEYS, "left").na.fill(0, [c for c in daily.columns if c not in KEYS])
     w = Window.partitionBy("ticker").orderBy("date")
     before = F.lag("mentions", 5).over(w)
-    return joined.withColumns(
+    joined = joined.withColumns(
         {
-            "mention_momentum": F.try_divide(F.col("mentions"), before) - 1,
-            "social_score_change": F.col("social_score") - F.lag("social_score", 5).over(w),
+            "mention_momentum": F.coalesce(F.try_divide(F.col("mentions"), before) - 1, F.lit(0.0)),
+            "social_score_change": F.coalesce(F.col("social_score") - F.lag("social_score", 5).over(w), F.lit(0.0)),
         }
     )
+    return decayed(joined, "social_score", prefix="social")
 
 
 def with_ratings(bars: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Ratings (ticker, date, consensus_score, price_target_mean), one row a day, and the target's upside."""
+    """Ratings (ticker, date, consensus_score, price_target_mean, coverage_count), one row a day, with the consensus' decayed mean
+    over days with ratings and the target's upside; zeros where there are none."""
     upside = (F.col("price_target_mean") - F.col("close")) / F.greatest("close", F.lit(1e-8))
-    return bars.join(ratings, KEYS, "left").withColumn("target_upside", upside)
+    known = decayed(ratings, "consensus_score", (7,), prefix="consensus")
+    joined = bars.join(known, KEYS, "left").withColumn("target_upside", upside)
+    return joined.na.fill(0, ["consensus_score", "consensus_ewma_7d", "price_target_mean", "coverage_count", "target_upside"])
 
 
 def with_filings(bars: DataFrame, filings: DataFrame) -> DataFrame:
-    """The means of the last filing date at or before each bar (filings: ticker, filing_date, risk, tone)."""
+    """The last filing date at or before each bar (filings: ticker, filing_date, risk, tone, guidance, novelty): mean risk and tone,
+    whether any guidance is positive, whether any risk is new or modified; zeros before the first."""
+    changed = F.col("novelty").isin("new", "modified")
     daily = filings.groupBy("ticker", F.col("filing_date").alias("date")).agg(
-        F.avg("risk").alias("filing_risk"), F.avg("tone").alias("filing_tone")
-    )
+        F.avg("risk").alias("filing_risk"), F.avg("tone").alias("filing_tone"),
+        F.max(F.when(F.col("guidance") == "positive", 1).otherwise(0)).alias("guidance_positive"),
+        F.max(F.when(changed, 1).otherwise(0)).alias("risk_change_flag"),
+    )
     daily = daily.withColumn("filing_date", F.col("date"))
-    return asof(bars, daily, "ticker", "date", ["filing_date", "filing_risk", "filing_tone"])
+    values = ["filing_risk", "filing_tone", "guidance_positive", "risk_change_flag"]
+    return asof(bars, daily, "ticker", "date", ["filing_date", *values]).na.fill(0, values)
 
 
 def cross_modal(frame: DataFrame) -> DataFrame:

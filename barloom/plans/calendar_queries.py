@@ -112,7 +112,7 @@ def frame_hash(spark, sf_dir):
 
 @register(
     "gated_upsert",
-    f"""{WITH} SELECT ticker, date, round(CASE WHEN year(date) >= 1998 THEN 2 ELSE 1 END * close, 4) AS close, volume FROM bars""",
+    f"""{WITH} SELECT ticker, date, round(CASE WHEN year(date) >= 1998 THEN 2 ELSE 1 END * close, 6) AS close, volume FROM bars""",
 )
 def gated_upsert(spark, sf_dir):
     """Bars written, newer ones doubled and merged; a batch that breaks a rule and one without closes are refused."""
@@ -125,7 +125,7 @@ def gated_upsert(spark, sf_dir):
         b.withColumn("close", F.lit(None).cast("double")),
     ):
         writing.gated_upsert(t, rows, ["ticker", "date", "close"], rules, ["ticker", "date"])
-    return rounded(t.read().drop("year"), "close", digits=4)
+    return rounded(t.read().drop("year"), "close")
 
 
 @register(

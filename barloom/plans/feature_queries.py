@@ -164,76 +164,103 @@ N = f"{WITH}, {proxies.NEWS_SQL}"
 _NEWS = ["avg_daily_sentiment", "sentiment_std"]
 
 
+def _decayed(x: str, life: int) -> str:
+    """A decayed mean as a quotient of growing sums; a row's weight doubles in ``life`` rows."""
+    over = "OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    return f"sum({x} * pow(2, i / {life}.0)) {over} / sum(pow(2, i / {life}.0)) {over}"
+
+
+def _lives(x: str, name: str) -> str:
+    return ", ".join(f"round({_decayed(x, h)}, 4) AS {name}_ewma_{h}d" for h in (3, 7, 30))
+
+
+def _life_names(name: str) -> list[str]:
+    return [f"{name}_ewma_{h}d" for h in (3, 7, 30)]
+
+
 @register(
     "news_enrich",
     f"""{N}, d AS (SELECT ticker, date, avg(sentiment_score) AS a, count(*) AS n,
       count(*) FILTER (sentiment_label = 'positive') AS p, count(*) FILTER (sentiment_label = 'negative') AS g,
-      count(*) FILTER (sentiment_label = 'neutral') AS u, stddev_samp(sentiment_score) AS s FROM news GROUP BY ticker, date)
-    SELECT b.ticker, b.date, round(coalesce(a, 0), 6) AS avg_daily_sentiment, coalesce(n, 0) AS news_count,
-      coalesce(p, 0) AS positive_count, coalesce(g, 0) AS negative_count, coalesce(u, 0) AS neutral_count,
-      round(coalesce(s, 0), 6) AS sentiment_std FROM bars b LEFT JOIN d ON b.ticker = d.ticker AND b.date = d.date""",
+      count(*) FILTER (sentiment_label = 'neutral') AS u, stddev_samp(sentiment_score) AS s FROM news GROUP BY ticker, date),
+    j AS (SELECT b.ticker, b.date, coalesce(a, 0) AS a, coalesce(n, 0) AS n, coalesce(p, 0) AS p, coalesce(g, 0) AS g, coalesce(u, 0) AS u,
+      coalesce(s, 0) AS s, row_number() OVER (PARTITION BY b.ticker ORDER BY b.date) - 1 AS i
+      FROM bars b LEFT JOIN d ON b.ticker = d.ticker AND b.date = d.date)
+    SELECT ticker, date, round(a, 6) AS avg_daily_sentiment, n AS news_count, p AS positive_count, g AS negative_count, u AS neutral_count,
+      round(s, 6) AS sentiment_std, {_lives("a", "sentiment")} FROM j""",
 )
 def news_enrich(spark, sf_dir):
     out = enrich.with_news(bars(spark, sf_dir), proxies.news(spark, sf_dir))
-    counts = ["news_count", "positive_count", "negative_count", "neutral_count"]
-    return rounded(out.select("ticker", "date", *_NEWS, *counts), *_NEWS)
+    counts, lives = ["news_count", "positive_count", "negative_count", "neutral_count"], _life_names("sentiment")
+    return rounded(rounded(out.select("ticker", "date", *_NEWS, *counts, *lives), *_NEWS), *lives, digits=4)
 
 
 @register(
     "social_enrich",
-    f"""{N}, d AS (SELECT ticker, date, count(*) AS m, avg(sentiment_score) AS s,
-      count(*) FILTER (event_type IN ('click', 'view')) AS r FROM news GROUP BY ticker, date),
-    j AS (SELECT b.ticker, b.date, coalesce(m, 0) AS mentions, coalesce(s, 0) AS social_score,
-      coalesce(r, 0) AS reddit_mentions, coalesce(m - r, 0) AS twitter_mentions
+    f"""{N}, {proxies.SOCIAL_SQL}, d AS (SELECT ticker, date, count(*) AS m, avg(score) AS s, avg(greatest(score, 0)) AS sp,
+      avg(greatest(-score, 0)) AS sn, count(*) FILTER (reddit) AS r FROM social GROUP BY ticker, date),
+    j AS (SELECT b.ticker, b.date, coalesce(m, 0) AS mentions, coalesce(s, 0) AS social_score, coalesce(sp, 0) AS sp, coalesce(sn, 0) AS sn,
+      coalesce(r, 0) AS reddit_mentions, coalesce(m - r, 0) AS twitter_mentions,
+      row_number() OVER (PARTITION BY b.ticker ORDER BY b.date) - 1 AS i
       FROM bars b LEFT JOIN d ON b.ticker = d.ticker AND b.date = d.date)
-    SELECT ticker, date, mentions, round(social_score, 6) AS social_score, reddit_mentions, twitter_mentions,
-      round(mentions / nullif(lag(mentions, 5) {W}, 0) - 1, 6) AS mention_momentum,
-      round(social_score - lag(social_score, 5) {W}, 6) AS social_score_change FROM j""",
+    SELECT ticker, date, mentions, round(social_score, 6) AS social_score, round(sp, 6) AS social_positive, round(sn, 6) AS social_negative,
+      reddit_mentions, twitter_mentions, round(coalesce(mentions / nullif(lag(mentions, 5) {W}, 0) - 1, 0), 6) AS mention_momentum,
+      round(coalesce(social_score - lag(social_score, 5) {W}, 0), 6) AS social_score_change, {_lives("social_score", "social")} FROM j""",
 )
 def social_enrich(spark, sf_dir):
     out = enrich.with_social(bars(spark, sf_dir), proxies.social(spark, sf_dir))
-    cols = ["mentions", "social_score", "reddit_mentions", "twitter_mentions", "mention_momentum", "social_score_change"]
-    return rounded(out.select("ticker", "date", *cols), "social_score", "mention_momentum", "social_score_change")
+    scores, lives = ["social_score", "social_positive", "social_negative", "mention_momentum", "social_score_change"], _life_names("social")
+    out = out.select("ticker", "date", "mentions", "reddit_mentions", "twitter_mentions", *scores, *lives)
+    return rounded(rounded(out, *scores), *lives, digits=4)
 
 
 @register(
     "ratings_enrich",
-    f"""{N}, r AS (SELECT ticker, date, avg(sentiment_score) AS c, avg(value * 10) AS t FROM news GROUP BY ticker, date)
-    SELECT b.ticker, b.date, round(c, 6) AS consensus_score, round(t, 6) AS price_target_mean,
-      round((t - close) / greatest(close, 1e-8), 6) AS target_upside
-    FROM bars b LEFT JOIN r ON b.ticker = r.ticker AND b.date = r.date""",
+    f"""{N}, r AS (SELECT ticker, date, avg(sentiment_score) AS c, avg(value * 10) AS t, count(*) AS n FROM news GROUP BY ticker, date),
+    e AS (SELECT *, {_decayed("c", 7)} AS w FROM (SELECT *, row_number() {W} - 1 AS i FROM r))
+    SELECT b.ticker, b.date, round(coalesce(c, 0), 6) AS consensus_score, round(coalesce(w, 0), 4) AS consensus_ewma_7d,
+      coalesce(n, 0) AS coverage_count, round(coalesce(t, 0), 6) AS price_target_mean,
+      round(coalesce((t - close) / greatest(close, 1e-8), 0), 6) AS target_upside
+    FROM bars b LEFT JOIN e ON b.ticker = e.ticker AND b.date = e.date""",
 )
 def ratings_enrich(spark, sf_dir):
     cols = ["consensus_score", "price_target_mean", "target_upside"]
     out = enrich.with_ratings(bars(spark, sf_dir), proxies.ratings(spark, sf_dir))
-    return rounded(out.select("ticker", "date", *cols), *cols)
+    out = out.select("ticker", "date", *cols, "coverage_count", "consensus_ewma_7d")
+    return rounded(rounded(out, *cols), "consensus_ewma_7d", digits=4)
 
 
 @register(
     "asof_filings",
-    f"""{N}, f AS (SELECT ticker, date AS fd, avg(sentiment_score) AS risk, avg(value) AS tone FROM news
-      WHERE event_type = 'purchase' GROUP BY ticker, date)
-    SELECT b.ticker, b.date, f.fd AS filing_date, round(risk, 6) AS filing_risk, round(tone, 6) AS filing_tone
+    f"""{N}, f AS (SELECT ticker, date AS fd, avg(sentiment_score) AS risk, avg(value) AS tone,
+      max(CASE WHEN sentiment_label = 'positive' THEN 1 ELSE 0 END) AS gp, max(CASE WHEN event_id % 4 < 2 THEN 1 ELSE 0 END) AS rc
+      FROM news WHERE event_type = 'purchase' GROUP BY ticker, date)
+    SELECT b.ticker, b.date, f.fd AS filing_date, round(coalesce(risk, 0), 6) AS filing_risk, round(coalesce(tone, 0), 6) AS filing_tone,
+      coalesce(gp, 0) AS guidance_positive, coalesce(rc, 0) AS risk_change_flag
     FROM bars b ASOF LEFT JOIN f ON b.ticker = f.ticker AND b.date >= f.fd""",
 )
 def asof_filings(spark, sf_dir):
     out = enrich.with_filings(bars(spark, sf_dir), proxies.filings(spark, sf_dir))
-    out = out.select("ticker", "date", "filing_date", "filing_risk", "filing_tone")
+    out = out.select("ticker", "date", "filing_date", "filing_risk", "filing_tone", "guidance_positive", "risk_change_flag")
     return rounded(out, "filing_risk", "filing_tone")
 
 
 @register(
     "cross_modal",
-    f"""{N}, d AS (SELECT ticker, date, avg(sentiment_score) AS a FROM news GROUP BY ticker, date),
-    j AS (SELECT b.ticker, b.date, volume, coalesce(a, 0) AS a FROM bars b LEFT JOIN d ON b.ticker = d.ticker AND b.date = d.date)
+    f"""{N}, {proxies.SOCIAL_SQL}, d AS (SELECT ticker, date, avg(sentiment_score) AS a FROM news GROUP BY ticker, date),
+    s AS (SELECT ticker, date, avg(score) AS s FROM social GROUP BY ticker, date),
+    j AS (SELECT b.ticker, b.date, volume, coalesce(a, 0) AS a, coalesce(s, 0) AS s FROM bars b
+      LEFT JOIN d ON b.ticker = d.ticker AND b.date = d.date LEFT JOIN s ON b.ticker = s.ticker AND b.date = s.date)
     SELECT ticker, date, round(a * ln(1 + greatest(volume, 0)), 6) AS sentiment_volume,
-      round(a - lag(a, 5) {W}, 6) AS sentiment_momentum, round(a - a, 6) AS news_social_gap FROM j""",
+      round(a - lag(a, 5) {W}, 6) AS sentiment_momentum, round(a - s, 6) AS news_social_gap FROM j""",
 )
 def cross_modal(spark, sf_dir):
     cols = ["sentiment_volume", "sentiment_momentum", "news_social_gap"]
-    out = enrich.with_news(bars(spark, sf_dir), proxies.news(spark, sf_dir))
-    out = enrich.cross_modal(enrich.with_social(out, proxies.social(spark, sf_dir)))
-    return rounded(out.select("ticker", "date", *cols), *cols).withColumn("news_social_gap", F.abs("news_social_gap"))
+    b = bars(spark, sf_dir)
+    out = b.join(enrich.daily_news(proxies.news(spark, sf_dir)), enrich.KEYS, "left").na.fill(0, ["avg_daily_sentiment"])
+    social = proxies.social(spark, sf_dir).groupBy(*enrich.KEYS).agg(F.avg("score").alias("social_score"))
+    out = enrich.cross_modal(out.join(social, enrich.KEYS, "left").na.fill(0, ["social_score"]))
+    return rounded(out.select("ticker", "date", *cols), *cols)
 
 
 _M = [f"m{i}" for i in range(1, 6)]

@@ -38,11 +38,17 @@ NEWS_SQL = f"""news AS (
 
 
 def social(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, date, source, mention_count, score."""
+    """ticker, date, source, mention_count, score, positive_score, negative_score."""
     source = F.when(F.col("event_type").isin("click", "view"), "reddit").otherwise("twitter")
+    score = (F.pmod(F.col("event_id") * 53, F.lit(201)) - 100) / 128.0
     return news(spark, sf_dir).select(
-        "ticker", "date", source.alias("source"), F.lit(1).cast("long").alias("mention_count"), F.col("sentiment_score").alias("score")
-    )
+        "ticker", "date", source.alias("source"), F.lit(1).cast("long").alias("mention_count"), score.alias("score"),
+        F.greatest(score, F.lit(0.0)).alias("positive_score"), F.greatest(-score, F.lit(0.0)).alias("negative_score"),
+    )
+
+
+SOCIAL_SQL = """social AS (
+  SELECT ticker, date, event_type IN ('click', 'view') AS reddit, ((event_id * 53) % 201 - 100) / 128.0 AS score FROM news)"""
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,14 +58,17 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, filing_date, risk, tone: purchases stand for filings."""
+    """ticker, filing_date, risk, tone, guidance, novelty: purchases stand for filings."""
+    novelty = F.element_at(F.array(*map(F.lit, ("new", "modified", "repeated", "repeated"))), (F.col("event_id") % 4 + 1).cast("int"))
     return news(spark, sf_dir).where("event_type = 'purchase'").select(
-        "ticker", F.col("date").alias("filing_date"), F.col("sentiment_score").alias("risk"), F.col("value").alias("tone")
-    )
+        "ticker", F.col("date").alias("filing_date"), F.col("sentiment_score").alias("risk"), F.col("value").alias("tone"),
+        F.col("sentiment_label").alias("guidance"), novelty.alias("novelty"),
+    )
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, date, consensus_score, price_target_mean: one row a day."""
+    """ticker, date, consensus_score, price_target_mean, coverage_count: one row a day."""
     return news(spark, sf_dir).groupBy("ticker", "date").agg(
-        F.avg("sentiment_score").alias("consensus_score"), F.avg(F.col("value") * 10).alias("price_target_mean")
+        F.avg("sentiment_score").alias("consensus_score"), F.avg(F.col("value") * 10).alias("price_target_mean"),
+        F.count("*").alias("coverage_count"),
     )
