@@ -64,3 +64,21 @@ def features(bars: DataFrame, least_rows: int = 60) -> DataFrame:
     for step in (momentum, ind.returns, ind.bollinger, ind.ranges, ind.volumes, ind.calendar, ind.target):
         enough = step(enough)
     return enough.dropna(subset=["close", "volume", "rsi_14", "macd"]).withColumn("feature_schema_version", F.lit(3))
+
+
+def feature_job(
+    bars: DataFrame, start: str, end: str, tickers: DataFrame | None = None, names: list[str] | None = None, warm_up: int = 365
+) -> DataFrame:
+    """``names`` (default: all) of the indicators between two dates, computed on the bars from ``warm_up`` days before, so that
+    windows are full at the start. Dates and tickers are filters below the windows; an unknown name is an error."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    rows = bars.where(F.col("date").between(F.date_sub(first, warm_up), last))
+    if tickers is not None:
+        rows = rows.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
+    made = features(rows).where(F.col("date") >= first)
+    if names is None:
+        return made
+    unknown = [n for n in names if n not in made.columns]
+    if unknown:
+        raise ValueError(f"unknown features: {unknown}")
+    return made.select("ticker", "date", *names)

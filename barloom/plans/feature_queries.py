@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions import ewm, indicators
 from barloom.operators import enrich, series
 from barloom.plans.market_queries import WITH, rounded
-from barloom.plans.registry import register
+from barloom.plans.registry import register, twin
 from barloom.sources import proxies
 from barloom.sources.bars import bars
 
@@ -142,9 +142,42 @@ def ewm_halflife(spark, sf_dir):
     return rounded(ewm.decayed(bars(spark, sf_dir), "close", (7,)).select("ticker", "date", "close_ewma_7d"), "close_ewma_7d", digits=3)
 
 
-@register("feature_table")
+_ALL = ["macd", "rsi", "returns_roc", "bollinger", "atr_vol", "volume_features", "calendar_features", "next_day_return"]
+_FEATURES = f"""SELECT market, ticker, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume,
+  * EXCLUDE (market, ticker, date, open, high, low, close, volume), CAST(3 AS INTEGER) AS feature_schema_version
+FROM ({WITH} SELECT market, ticker, date, open, high, low, close, volume FROM bars) b
+{" ".join(f"JOIN {twin(n)} {n}_t USING (ticker, date)" for n in _ALL)}
+WHERE rsi_14 IS NOT NULL"""
+
+
+def _rounded_floats(frame):
+    return rounded(frame, *[f.name for f in frame.schema.fields if f.dataType.simpleString() == "double" and f.name != "volume"])
+
+
+@register("feature_table", _FEATURES)
 def feature_table(spark, sf_dir):
-    return ewm.features(bars(spark, sf_dir))
+    """All indicators of all bars, those without a full history left out."""
+    return _rounded_floats(ewm.features(bars(spark, sf_dir)))
+
+
+@register(
+    "feature_job",
+    f"""WITH RECURSIVE {WITH.removeprefix("WITH ")}, b AS (SELECT * FROM bars WHERE ticker IN (SELECT ticker FROM bars WHERE market <> 'ASIA')
+      AND date BETWEEN DATE '1997-01-01' - 365 AND DATE '1997-12-31'),
+    n AS (SELECT ticker, date, close, volume, close - lag(close) {W} AS d, row_number() {W} AS i, count(*) OVER (PARTITION BY ticker) AS c FROM b),
+    e AS (SELECT ticker, date, i, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS l FROM n WHERE i = 1 UNION ALL
+      SELECT n.ticker, n.date, n.i, CASE WHEN n.i = 2 THEN greatest(n.d, 0) ELSE e.g + (greatest(n.d, 0) - e.g) / 14 END,
+        CASE WHEN n.i = 2 THEN -least(n.d, 0) ELSE e.l + (-least(n.d, 0) - e.l) / 14 END FROM e JOIN n ON n.ticker = e.ticker AND n.i = e.i + 1),
+    r AS (SELECT ticker, date, close / lag(close, 20) {W} - 1 AS r FROM b)
+    SELECT n.ticker, n.date, round(100 - 100 / (1 + g / nullif(l, 0)), 6) AS rsi_14, round(r, 6) AS return_20d
+    FROM n JOIN e ON n.ticker = e.ticker AND n.i = e.i JOIN r ON n.ticker = r.ticker AND n.date = r.date
+    WHERE n.date >= DATE '1997-01-01' AND n.i > 14 AND l <> 0 AND c >= 60""",
+)
+def feature_job(spark, sf_dir):
+    """Chosen features of a ticker list for a year, from bars of a year before."""
+    b = bars(spark, sf_dir)
+    chosen = b.where("market <> 'ASIA'").select("ticker")
+    return _rounded_floats(ewm.feature_job(b, "1997-01-01", "1997-12-31", chosen, ["rsi_14", "return_20d"]))
 
 
 @register(

@@ -24,6 +24,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def twin(name: str) -> str:
+    """The SQL of a query that is registered already, in brackets."""
+    return f"({_SQL[name]})"
+
+
 def _load() -> None:
     from barloom.plans import catalogue  # noqa: F401
 

@@ -50,6 +50,6 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["feature_table", "gbt_predictions", "walk_forward_metrics", "parameter_grid", "retraining_backtest", "feature_importance", "synthetic_bars"])
+@pytest.mark.parametrize("name", ["gbt_predictions", "walk_forward_metrics", "parameter_grid", "retraining_backtest", "feature_importance", "synthetic_bars"])
 def test_queries_without_sql_run(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
