@@ -1,58 +1,110 @@
-"""Exponentially weighted means: recursive, so one Arrow-batched function for each ticker's series.
+"""Exponentially weighted means without a worker process, in one pass for any number of them.
 
-One pass makes all of them, so a feature job shuffles once. A series is as long as a ticker has days.
+A mean is a recursion ``y = keep * y + ...``, so what a stretch of rows does to it is one affine map. A series is cut into
+stretches of days that are dealt to tasks apart; sums over a stretch give its map, the maps of a series (a few numbers a stretch)
+are composed in order, and each row takes the state that its stretch began with. A row a key and day; keys are not null; nulls
+do not age a mean, which stays what it was.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+STRETCH_DAYS = 512
+#: Decimal places that weights may grow over within a stretch.
+_PLACES = 250
 
-def rsi(close: pd.Series, n: int = 14) -> pd.Series:
-    """Wilder's relative strength; null for the first ``n`` rows and where the average loss is 0."""
-    delta = close.diff()
-    mean = lambda x: x.ewm(alpha=1 / n, min_periods=n, adjust=False, ignore_na=True).mean()
-    gain, loss = mean(delta.clip(lower=0)), mean(-delta.clip(upper=0))
-    return 100 - 100 / (1 + gain / loss.where(loss != 0))
 
+class Mean(NamedTuple):
+    """``keep``: what a row's weight becomes with each further one. ``adjust``: weights are divided by their sum; otherwise the
+    first value starts the mean. Null before ``least`` values."""
 
-def macd(close: pd.Series, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[pd.Series, pd.Series]:
-    mean = lambda x, span: x.ewm(span=span, adjust=False).mean()
-    line = mean(close, fast) - mean(close, slow)
-    return line, mean(line, signal)
+    name: str
+    column: str
+    keep: float
+    adjust: bool = True
+    least: int = 1
 
 
-def half_life(x: pd.Series, h: float) -> pd.Series:
-    return x.ewm(halflife=h, ignore_na=True).mean()
+def by_span(name: str, column: str, span: int, adjust: bool = True) -> Mean:
+    return Mean(name, column, 1 - 2 / (span + 1), adjust)
 
 
-def _per_ticker(frame: DataFrame, names: list[str], add) -> DataFrame:
-    schema = T.StructType([*frame.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
-    return frame.groupBy("ticker").applyInPandas(lambda g: add(g.sort_values("date")), schema)
+def by_half_life(name: str, column: str, life: float) -> Mean:
+    return Mean(name, column, 0.5 ** (1 / life))
 
 
-def momentum(bars: DataFrame) -> DataFrame:
-    """rsi_14, macd, macd_signal, macd_histogram."""
+def means(frame: DataFrame, wanted: list[Mean], key: str = "ticker", on: str = "date") -> DataFrame:
+    """``frame`` with all of ``wanted``."""
+    days = min(STRETCH_DAYS, *(int(_PLACES / -math.log10(m.keep)) for m in wanted))
+    columns = list(dict.fromkeys(m.column for m in wanted))
+    at = {c: n for n, c in enumerate(columns)}
+    so_far = Window.partitionBy(key, "_stretch").orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
+    rows = frame.withColumn("_stretch", F.floor(F.datediff(on, F.lit("1970-01-01").cast("date")) / days))
+    rows = rows.withColumns({f"_k{n}": F.count(c).over(so_far) for c, n in at.items()})
+    share = lambda m: 1.0 if m.adjust else 1 - m.keep
+    grown = lambda m: F.col(m.column).cast("double") * share(m) * F.pow(F.lit(m.keep), -F.col(f"_k{at[m.column]}"))
+    rows = rows.withColumns({f"_s{i}": F.coalesce(F.sum(grown(m)).over(so_far), F.lit(0.0)) for i, m in enumerate(wanted)})
+    shrunk = lambda m, x: F.pow(F.lit(m.keep), F.col(f"_k{at[m.column]}")) * x
+
+    ends = rows.groupBy(key, "_stretch").agg(
+        *[F.max(f"_k{n}").alias(f"k{n}") for n in at.values()],
+        *[F.max_by(shrunk(m, F.col(f"_s{i}")), F.col(on)).alias(f"s{i}") for i, m in enumerate(wanted)],
+        *[F.min_by(F.col(c).cast("double"), F.when(F.col(c).isNotNull(), F.col(on))).alias(f"f{n}") for c, n in at.items()],
+    )
+    series = Window.partitionBy(key).orderBy("_stretch")  # as many rows as a series has stretches
+    before, up_to = series.rowsBetween(Window.unboundedPreceding, -1), series.rowsBetween(Window.unboundedPreceding, 0)
+    maps = F.collect_list(F.struct(*[f"k{n}" for n in at.values()], *[f"s{i}" for i in range(len(wanted))])).over(before)
+    ends = ends.withColumns({"_maps": maps} | {f"_f{n}": F.first(f"f{n}", ignorenulls=True).over(up_to) for n in at.values()})
+
+    def state(i: int, m: Mean) -> Column:
+        first = F.lit(0.0) if m.adjust else F.col(f"_f{at[m.column]}")
+        return F.aggregate("_maps", first, lambda y, x: F.pow(F.lit(m.keep), x[f"k{at[m.column]}"]) * y + x[f"s{i}"])
 
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        line, signal = macd(g["close"])
-        return g.assign(rsi_14=rsi(g["close"]), macd=line, macd_signal=signal, macd_histogram=line - signal)
+    known = lambda n: F.aggregate("_maps", F.lit(0).cast("long"), lambda a, x: a + x[f"k{n}"])
+    starts = ends.select(
+        key, "_stretch", *[state(i, m).alias(f"_y{i}") for i, m in enumerate(wanted)],
+        *[known(n).alias(f"_n{n}") for n in at.values()],
+        *[f"_f{n}" for n in at.values()],
+    )
 
-    return _per_ticker(bars, ["rsi_14", "macd", "macd_signal", "macd_histogram"], add)
+    def value(i: int, m: Mean) -> Column:
+        count = F.col(f"_k{at[m.column]}") + F.col(f"_n{at[m.column]}")
+        y = shrunk(m, F.col(f"_y{i}") + F.col(f"_s{i}"))
+        y = F.try_divide(y * (1 - m.keep), 1 - F.pow(F.lit(m.keep), count)) if m.adjust else y
+        return F.when(count >= m.least, F.when(count == 1, F.col(f"_f{at[m.column]}")).otherwise(y))
+
+    joined = rows.join(starts, [key, "_stretch"])
+    return joined.select(*[F.col(f"`{c}`") for c in frame.columns], *[value(i, m).alias(m.name) for i, m in enumerate(wanted)])
+
+
+def momentum(bars: DataFrame) -> DataFrame:
+    """rsi_14 (Wilder's means; null where the mean loss is 0), macd, macd_signal, macd_histogram."""
+    delta = F.col("close") - F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))
+    rows = bars.withColumn("_d", delta).withColumns({"_gain": F.greatest("_d", F.lit(0.0)), "_loss": -F.least("_d", F.lit(0.0))})
+    rows = rows.withColumns({c: F.when(F.col("_d").isNotNull(), F.col(c)) for c in ("_gain", "_loss")})
+    wilder = [Mean(f"{c}_mean", c, 13 / 14, adjust=False, least=14) for c in ("_gain", "_loss")]
+    rows = means(rows, [*wilder, by_span("_fast", "close", 12, False), by_span("_slow", "close", 26, False)])
+    rows = rows.withColumns(
+        {"rsi_14": 100 - 100 / (1 + F.try_divide("_gain_mean", "_loss_mean")), "macd": F.col("_fast") - F.col("_slow")}
+    )
+    rows = means(rows, [by_span("macd_signal", "macd", 9, False)]).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    return rows.select(*bars.columns, "rsi_14", "macd", "macd_signal", "macd_histogram")
 
 
 def decayed(frame: DataFrame, column: str, lives: tuple[float, ...] = (3, 7, 30), prefix: str | None = None) -> DataFrame:
     """``<prefix>_ewma_<h>d`` for each half life."""
-    names = {f"{prefix or column}_ewma_{h}d": h for h in lives}
-    return _per_ticker(frame, list(names), lambda g: g.assign(**{n: half_life(g[column], h) for n, h in names.items()}))
+    return means(frame, [by_half_life(f"{prefix or column}_ewma_{h}d", column, h) for h in lives])
 
 
 def spans(frame: DataFrame, column: str, names: dict[str, int]) -> DataFrame:
     """Means weighted by spans of bars, one column for each name."""
-    return _per_ticker(frame, list(names), lambda g: g.assign(**{n: g[column].ewm(span=s).mean() for n, s in names.items()}))
+    return means(frame, [by_span(n, column, s) for n, s in names.items()])
 
 
 def features(bars: DataFrame, least_rows: int = 60) -> DataFrame:

@@ -216,7 +216,7 @@ def speakers(spark, sf_dir):
     return out.select("conv_id", F.array_join(F.array_distinct("x.role"), ",").alias("speakers"), F.size("x").cast("long").alias("turns"))
 
 
-_ARTICLES = """a AS (SELECT ticker, date, sentiment_score AS s, (event_id % 100) / 128.0 AS relevance, event_type,
+_ARTICLES = """a AS (SELECT ticker, date, sentiment_score AS s, (event_id % 100) / 127.0 AS relevance, event_type,
   CASE WHEN sentiment_label = 'positive' THEN 'bullish' ELSE 'other' END AS label FROM news),
 g AS (SELECT ticker, date, count(*) AS enriched_article_count, avg(s) AS enriched_sentiment_mean, avg(relevance) AS enriched_relevance_mean,
   sum(CASE WHEN label = 'bullish' THEN 1.0 ELSE 0.0 END) / nullif(count(*), 0) AS bullish_ratio,
@@ -234,7 +234,7 @@ _MEANS = ["enriched_sentiment_mean", "enriched_relevance_mean", "bullish_ratio",
 )
 def enriched_articles(spark, sf_dir):
     """Articles by ticker and day onto the bars: counts, conditional means, ratio, flag; days without any are zero."""
-    n = proxies.news(spark, sf_dir).withColumn("relevance", (F.col("event_id") % 100) / 128.0)
+    n = proxies.news(spark, sf_dir).withColumn("relevance", (F.col("event_id") % 100) / 127.0)
     social = F.col("event_type").isin("click", "view")
     days = n.groupBy("ticker", "date").agg(
         F.count("*").alias("enriched_article_count"),

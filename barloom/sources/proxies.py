@@ -16,7 +16,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, date, sentiment_score, sentiment_label, url, event_type, props; every event is an article."""
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n_tickers"))
     e = table(spark, sf_dir, "events").crossJoin(F.broadcast(n))  # one row
-    score = (F.pmod(F.col("event_id") * 37, F.lit(201)) - 100) / 128.0
+    score = (F.pmod(F.col("event_id") * 37, F.lit(201)) - 100) / 127.0
     return e.select(
         F.pmod("user_id", "n_tickers").alias("k"), F.date_sub(F.col("ts").cast("date"), SHIFT).alias("date"),
         score.alias("sentiment_score"), "event_id", "event_type", "value", "props",
@@ -34,13 +34,13 @@ NEWS_SQL = f"""news AS (
          CAST(ts AS DATE) - {SHIFT} AS date, s AS sentiment_score,
          CASE WHEN s >= 0.05 THEN 'positive' WHEN s <= -0.05 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
          event_id, event_type, value, props
-  FROM (SELECT *, ((event_id * 37) % 201 - 100) / 128.0 AS s FROM events))"""
+  FROM (SELECT *, ((event_id * 37) % 201 - 100) / 127.0 AS s FROM events))"""
 
 
 def social(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, date, source, mention_count, score, positive_score, negative_score."""
     source = F.when(F.col("event_type").isin("click", "view"), "reddit").otherwise("twitter")
-    score = (F.pmod(F.col("event_id") * 53, F.lit(201)) - 100) / 128.0
+    score = (F.pmod(F.col("event_id") * 53, F.lit(201)) - 100) / 127.0
     return news(spark, sf_dir).select(
         "ticker", "date", source.alias("source"), F.lit(1).cast("long").alias("mention_count"), score.alias("score"),
         F.greatest(score, F.lit(0.0)).alias("positive_score"), F.greatest(-score, F.lit(0.0)).alias("negative_score"),
@@ -48,7 +48,7 @@ def social(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SOCIAL_SQL = """social AS (
-  SELECT ticker, date, event_type IN ('click', 'view') AS reddit, ((event_id * 53) % 201 - 100) / 128.0 AS score FROM news)"""
+  SELECT ticker, date, event_type IN ('click', 'view') AS reddit, ((event_id * 53) % 201 - 100) / 127.0 AS score FROM news)"""
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
