@@ -11,14 +11,43 @@ def strip_html(html: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), "[ \t\r\n]+", " "))
 
 
+# Named characters of pages; the ampersand comes last, so that nothing is read twice.
+ENTITIES: dict[str, str] = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
+    "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
+    "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "sect": "§", "para": "¶", "deg": "°", "plusmn": "±", "times": "×", "amp": "&",
+}
+
+
+def _numbered(text: Column) -> Column:
+    """Characters given by their decimal or hexadecimal number; numbers that are no character stay as they are."""
+    found = F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1))
+    parts = F.split(text, r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", -1)
+
+    def char(ref: Column) -> Column:
+        hexed = F.lower(ref).startswith("x")
+        code = F.when(hexed, F.conv(F.substring(ref, 2, 6), 16, 10)).otherwise(ref).cast("long")
+        sound = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&#"), ref, F.lit(";")))
+
+    tail = F.zip_with(F.transform(found, char), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.when(F.contains(text, F.lit("&#")), F.concat(F.get(parts, 0), F.array_join(tail, ""))).otherwise(text)
+
+
 def unescape(text: str | Column) -> Column:
-    """The five entities of XML and the no-break space; the ampersand last."""
-    out = F.col(text) if isinstance(text, str) else text
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    """Named and numbered characters of pages as themselves; unknown names stay."""
+    out = _numbered(F.col(text) if isinstance(text, str) else text)
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     return out
 
 
+def readable(html: Column) -> Column:
+    """Tags out, characters unescaped, white space collapsed."""
+    bare = unescape(F.regexp_replace(html, "<[^>]+>", " "))
+    return F.trim(F.regexp_replace(bare, "[ \\t\\r\\n\\f\\u00a0]+", " "))
+
+
 def explode_outer(frame: DataFrame, column: str, name: str) -> DataFrame:
     """A row for each element, one with null where the array is null or empty."""
     return frame.withColumn(name, F.explode_outer(column)).drop(column)
