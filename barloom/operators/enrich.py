@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.ewm import decayed
+from barloom.operators import articles
 from barloom.operators.series import asof, pivot_fill
 
 KEYS = ["ticker", "date"]
@@ -63,6 +64,13 @@ def with_ratings(bars: DataFrame, ratings: DataFrame) -> DataFrame:
     return joined.na.fill(0, ["consensus_score", "consensus_ewma_7d", "price_target_mean", "coverage_count", "target_upside"])
 
 
+def with_articles(bars: DataFrame, rows: DataFrame) -> DataFrame:
+    """Article rows by day (see ``articles.daily``) onto bars, with the sentiment's decayed means over the days that have articles, made
+    before the join; zeros on days without any."""
+    known = decayed(articles.daily(rows.where("ticker is not null")), "enriched_sentiment_mean", (3, 7), prefix="enriched_sentiment")
+    return bars.join(known, KEYS, "left").na.fill(0, [c for c in known.columns if c not in KEYS])
+
+
 def with_filings(bars: DataFrame, filings: DataFrame) -> DataFrame:
     """The last filing date at or before each bar (filings: ticker, filing_date, risk, tone, guidance, novelty): mean risk and tone,
     whether any guidance is positive, whether any risk is new or modified; zeros before the first."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import columns, loading, predictions, series, validation
+from barloom.operators import columns, enrich, loading, predictions, series, validation
 from barloom.plans.market_queries import WITH, rounded
 from barloom.plans.registry import register
 from barloom.sources import proxies
@@ -216,37 +216,43 @@ def speakers(spark, sf_dir):
     return out.select("conv_id", F.array_join(F.array_distinct("x.role"), ",").alias("speakers"), F.size("x").cast("long").alias("turns"))
 
 
-_ARTICLES = """a AS (SELECT ticker, date, sentiment_score AS s, (event_id % 100) / 127.0 AS relevance, event_type,
-  CASE WHEN sentiment_label = 'positive' THEN 'bullish' ELSE 'other' END AS label FROM news),
-g AS (SELECT ticker, date, count(*) AS enriched_article_count, avg(s) AS enriched_sentiment_mean, avg(relevance) AS enriched_relevance_mean,
-  sum(CASE WHEN label = 'bullish' THEN 1.0 ELSE 0.0 END) / nullif(count(*), 0) AS bullish_ratio,
-  sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END) AS social_volume,
-  avg(CASE WHEN event_type IN ('click', 'view') THEN s END) AS social_sentiment_mean,
-  max(CASE WHEN relevance > 0.7 AND event_type = 'purchase' THEN 1 ELSE 0 END) AS breaking_news_flag FROM a GROUP BY ticker, date)"""
-_MEANS = ["enriched_sentiment_mean", "enriched_relevance_mean", "bullish_ratio", "social_sentiment_mean"]
+_MEANS = ["enriched_sentiment_mean", "enriched_confidence_mean", "enriched_relevance_mean", "bullish_ratio", "social_sentiment_mean"]
+_ARTICLE_DECAY = ", ".join(
+    f"""sum(s * pow(2, i / {h}.0)) OVER o / sum(pow(2, i / {h}.0)) OVER o AS enriched_sentiment_ewma_{h}d""" for h in (3, 7)
+)
+
+
+def enriched_news(spark, sf_dir):
+    """Every event as an enriched article of its ticker."""
+    n = proxies.news(spark, sf_dir)
+    social, bullish = F.col("event_type").isin("click", "view"), F.col("sentiment_label") == "positive"
+    return n.select(
+        "ticker", "date", "sentiment_score", F.when(bullish, "bullish").otherwise("other").alias("sentiment_label"),
+        (F.col("event_id") % 83 / 89.0).alias("confidence"), (F.col("event_id") % 120 / 127.0).alias("market_relevance"),
+        F.when(social, "reddit").otherwise("rss").alias("source_type"),
+        F.when(F.col("event_type") == "purchase", "short").otherwise("long").alias("impact_horizon"),
+    )
 
 
 @register(
     "enriched_articles",
-    f"""{WITH}, {proxies.NEWS_SQL}, {_ARTICLES} SELECT b.ticker, b.date, coalesce(enriched_article_count, 0) AS enriched_article_count,
-    {", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in _MEANS)}, CAST(coalesce(social_volume, 0) AS BIGINT) AS social_volume,
-    coalesce(breaking_news_flag, 0) AS breaking_news_flag FROM bars b LEFT JOIN g ON b.ticker = g.ticker AND b.date = g.date""",
+    f"""{WITH}, {proxies.NEWS_SQL},
+    marked AS (SELECT *, event_type IN ('click', 'view') AS social, event_id % 120 / 127.0 AS relevance FROM news),
+    days AS (SELECT ticker, date, avg(sentiment_score) AS s, avg(event_id % 83 / 89.0) AS c, avg(relevance) AS r, avg(sentiment_score) FILTER (social) AS o,
+      count(*) FILTER (sentiment_label = 'positive') / count(*) AS u, count(*) AS n, count(*) FILTER (social) AS v,
+      count(*) FILTER (event_type = 'purchase' AND relevance > 0.8) AS urgent FROM marked GROUP BY ticker, date),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM days),
+    aged AS (SELECT *, {_ARTICLE_DECAY} FROM numbered WINDOW o AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING))
+    SELECT b.ticker, b.date, ifnull(n, 0) AS enriched_article_count, round(ifnull(s, 0), 6) AS enriched_sentiment_mean,
+      round(ifnull(c, 0), 6) AS enriched_confidence_mean, round(ifnull(r, 0), 6) AS enriched_relevance_mean, round(ifnull(u, 0), 6) AS bullish_ratio,
+      ifnull(v, 0) AS social_volume, round(ifnull(o, 0), 6) AS social_sentiment_mean, CAST(ifnull(urgent, 0) > 0 AS INTEGER) AS breaking_news_flag,
+      round(ifnull(enriched_sentiment_ewma_3d, 0), 4) AS enriched_sentiment_ewma_3d, round(ifnull(enriched_sentiment_ewma_7d, 0), 4) AS enriched_sentiment_ewma_7d
+    FROM bars b LEFT JOIN aged ON aged.ticker = b.ticker AND aged.date = b.date""",
 )
 def enriched_articles(spark, sf_dir):
-    """Articles by ticker and day onto the bars: counts, conditional means, ratio, flag; days without any are zero."""
-    n = proxies.news(spark, sf_dir).withColumn("relevance", (F.col("event_id") % 100) / 127.0)
-    social = F.col("event_type").isin("click", "view")
-    days = n.groupBy("ticker", "date").agg(
-        F.count("*").alias("enriched_article_count"),
-        F.avg("sentiment_score").alias("enriched_sentiment_mean"),
-        F.avg("relevance").alias("enriched_relevance_mean"),
-        (F.count_if(F.col("sentiment_label") == "positive") / F.nullif(F.count("*"), F.lit(0))).alias("bullish_ratio"),
-        F.count_if(social).alias("social_volume"),
-        F.avg(F.when(social, F.col("sentiment_score"))).alias("social_sentiment_mean"),
-        F.max(F.when((F.col("relevance") > 0.7) & (F.col("event_type") == "purchase"), 1).otherwise(0)).alias("breaking_news_flag"),
-    )
-    out = bars(spark, sf_dir).select("ticker", "date").join(days, ["ticker", "date"], "left")
-    return rounded(out.fillna(0), *_MEANS)
+    """Articles by ticker and day onto the bars, with decayed means; days without any are zero."""
+    out = enrich.with_articles(bars(spark, sf_dir).select("ticker", "date"), enriched_news(spark, sf_dir))
+    return rounded(rounded(out, *_MEANS), "enriched_sentiment_ewma_3d", "enriched_sentiment_ewma_7d", digits=4)
 
 
 @register(
