@@ -53,13 +53,48 @@ def triple_barrier(bars: DataFrame, vol: str, profit: float = 1.5, stop: float =
     ).drop("_path", "_first", "_end")
 
 
-def uniqueness(windows: DataFrame, key: str = "ticker") -> DataFrame:
-    """Mean of 1 / concurrency over each window (``key``, id, start_idx, end_idx); windows that end early get 0."""
+def concurrency(windows: DataFrame, key: str = "ticker") -> DataFrame:
+    """(``key``, at, until, c): how many windows (``key``, id, start_idx, end_idx) cover the places from ``at`` up to ``until``. One more at
+    each start, one less after each end, and a running sum: as many rows as windows, however long they are."""
     valid = windows.where("end_idx >= start_idx")
-    points = valid.select(key, "id", F.explode(F.sequence("start_idx", "end_idx")).alias("i"))
-    shared = points.groupBy(key, "i").agg(F.count("*").alias("c"))
-    weights = points.join(shared, [key, "i"]).groupBy(key, "id").agg(F.avg(1 / F.col("c")).alias("w"))
-    return windows.join(weights, [key, "id"], "left").withColumn("uniqueness", F.coalesce("w", F.lit(0.0))).drop("w")
+    steps = valid.select(key, F.explode(F.array(F.struct(F.col("start_idx").alias("at"), F.lit(1).alias("d")), F.struct((F.col("end_idx") + 1).alias("at"), F.lit(-1).alias("d")))).alias("s"))
+    w = Window.partitionBy(key).orderBy("at")
+    net = steps.groupBy(key, "s.at").agg(F.sum("s.d").alias("d"))
+    open_ = F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return net.select(key, "at", F.lead("at").over(w).alias("until"), open_.alias("c"))
+
+
+def uniqueness(windows: DataFrame, key: str = "ticker") -> DataFrame:
+    """Mean of 1 / concurrency over each window (``key``, id, start_idx, end_idx); windows that end early get 0.
+
+    Prefix sums of 1 / concurrency are kept where it changes, which is at starts and after ends only; the difference of two of them
+    is a window's sum. No window is written out and none meets another."""
+    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.coalesce((F.col("until") - F.col("at")) * F.try_divide(F.lit(1.0), F.col("c")), F.lit(0.0))
+    sums = concurrency(windows, key).select(key, "at", F.coalesce(F.sum(share).over(w), F.lit(0.0)).alias("s"))
+    valid = windows.where("end_idx >= start_idx").select(key, "id", "start_idx", "end_idx")
+    ends = valid.join(sums.select(key, F.col("at").alias("start_idx"), F.col("s").alias("_from")), [key, "start_idx"])
+    ends = ends.join(sums.select(key, (F.col("at") - 1).alias("end_idx"), F.col("s").alias("_to")), [key, "end_idx"])
+    mean = (F.col("_to") - F.col("_from")) / (F.col("end_idx") - F.col("start_idx") + 1)
+    found = windows.join(ends.select(key, "id", mean.alias("w")), [key, "id"], "left")
+    return found.withColumn("uniqueness", F.coalesce("w", F.lit(0.0))).drop("w")
+
+
+def overlapping(windows: DataFrame, key: str = "ticker") -> DataFrame:
+    """(``key``, id, n_overlapping): windows that share an index with each one, itself included: those that start by its end less those
+    that end before its start, from two running counts and without pairs. Windows that end early share with themselves only."""
+    valid = windows.where("end_idx >= start_idx").select(key, "id", "start_idx", "end_idx")
+    of = lambda at, kind, started, ended: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"), F.lit(started).alias("started"), F.lit(ended).alias("ended"))
+    start, end = F.col("start_idx"), F.col("end_idx")
+    # at one place: ends before it (their place is the one after), what a window asks at its start, starts, what it asks at its end
+    points = F.array(of(end + 1, 0, 0, 1), of(start, 1, 0, 0), of(start, 2, 1, 0), of(end, 3, 0, 0))
+    long = valid.select(key, "id", F.explode(points).alias("p")).select(key, "id", "p.*")
+    w = Window.partitionBy(key).orderBy("at", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = long.withColumns({"_started": F.sum("started").over(w), "_ended": F.sum("ended").over(w)})
+    n = F.max(F.when(F.col("kind") == 3, F.col("_started"))) - F.max(F.when(F.col("kind") == 1, F.col("_ended")))
+    found = counted.groupBy(key, "id").agg(n.alias("n_overlapping"))
+    early = windows.where("end_idx < start_idx").select(key, "id", F.lit(1).cast("long").alias("n_overlapping"))
+    return found.unionByName(early)
 
 
 def walk_forward(n_rows: Column | int, train: int = 252, test: int = 21, embargo: int = 5, horizon: int = 5) -> Column:
@@ -145,9 +180,10 @@ def overlaps(windows: DataFrame, key: str = "ticker") -> DataFrame:
 
 def train_classifier(
     frame: DataFrame, features: list[str], label: str, weight: str | None = None, depth: int = 3, rounds: int = 10,
-    rate: float = 0.1, share: float = 1.0,
+    rate: float = 0.1, share: float = 1.0, held_out: str | None = None,
 ):
-    """A gradient-boosted pipeline model: vector, trees. ``share`` of the rows makes each tree."""
+    """A gradient-boosted pipeline model: vector, trees. ``share`` of the rows makes each tree. ``held_out``: boolean column of the
+    rows that are not trained on and end the rounds where their error stops falling."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -155,14 +191,20 @@ def train_classifier(
     trees = GBTClassifier(labelCol=label, featuresCol="features", maxDepth=depth, maxIter=rounds, stepSize=rate, subsamplingRate=share, seed=42)
     if weight:
         trees = trees.setWeightCol(weight)
+    if held_out:
+        trees = trees.setValidationIndicatorCol(held_out)
     vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
     return Pipeline(stages=[vector, trees]).fit(frame.where(F.col(label).isNotNull()))
 
 
-def predict(model, frame: DataFrame) -> DataFrame:
-    """ticker, date, direction and probability of a rise."""
+def probability(scored: DataFrame) -> DataFrame:
+    """A transformed frame with the probability of a rise as a number."""
     from pyspark.ml.functions import vector_to_array
 
-    p = F.get(vector_to_array("probability"), 1)
-    out = model.transform(frame).select("ticker", "date", p.alias("probability"))
+    return scored.withColumn("probability", F.get(vector_to_array("probability"), 1))
+
+
+def predict(model, frame: DataFrame) -> DataFrame:
+    """ticker, date, direction and probability of a rise."""
+    out = probability(model.transform(frame)).select("ticker", "date", "probability")
     return out.withColumn("direction", F.when(F.col("probability") >= 0.5, "up").otherwise("down"))

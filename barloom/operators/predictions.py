@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import validation
 from barloom.operators.lake import LakeTable
+from barloom.operators.series import asof
 
 
 def direction_signals(
@@ -42,15 +43,12 @@ def unknown_tickers(watchlist: DataFrame, known: DataFrame) -> DataFrame:
     return watchlist.select("ticker").distinct().join(known.select("ticker").distinct(), "ticker", "left_anti")
 
 
-def model_as_of(dates: DataFrame, models: DataFrame) -> DataFrame:
-    """Each date with the model (trained_on, model) trained last on or before it; null before the first. Models are rows
-    of a listing, few beside the dates: each stands from its day to the next one's."""
-    from pyspark.sql.window import Window
-
-    until = F.lead("trained_on").over(Window.orderBy("trained_on"))
-    spans = models.withColumn("_until", until)
-    inside = (F.col("date") >= F.col("trained_on")) & (F.col("_until").isNull() | (F.col("date") < F.col("_until")))
-    return dates.join(F.broadcast(spans), inside, "left").drop("_until")
+def model_as_of(dates: DataFrame, models: DataFrame, on: str = "date") -> DataFrame:
+    """Each date with the columns of the model (trained_on, ...) trained last on or before it; null before the first. An as-of join on one
+    series; there is a row a date and a row a model."""
+    left = dates.withColumn("_all", F.lit(0))
+    right = models.withColumns({"_all": F.lit(0), on: F.col("trained_on")})
+    return asof(left, right, "_all", on, models.columns).drop("_all")
 
 
 def store(table: LakeTable, made: DataFrame) -> int:

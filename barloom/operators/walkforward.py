@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from collections.abc import Iterator
+from datetime import date
 from functools import reduce
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +24,14 @@ Fold = tuple[int, int, int, int]
 
 
 def by_date(frame: DataFrame) -> DataFrame:
-    """``frame`` with ``i``, its date's number from 0, written to the shared folder: each fit reads it again."""
+    """``frame`` with ``i``, its date's number from 0, written to the shared folder in order of ``i``: each
+    fit reads the row groups of its own span."""
     days = frame.select("date").distinct()
     days = days.withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)  # one row a date, whatever the tickers
     path = f"{scratch(frame.sparkSession)}/frames/{uuid.uuid4().hex}"
     rows = frame.join(days, "date")
-    rows.write.parquet(path)
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, "i").sortWithinPartitions("i").write.parquet(path)
     return frame.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -51,31 +56,53 @@ def _between(start: int, end: int) -> Column:
     return (F.col("i") >= start) & (F.col("i") < end)
 
 
-def predicted(
-    numbered: DataFrame, features: list[str], label: str, folds: list[Fold], settled: str | None = None, **params
-) -> DataFrame:
-    """(ticker, date, actual, probability, prediction, fold, train_end) of every fold's test rows that have a label.
+class Fit(NamedTuple):
+    """A fold's model, the first date that it may score, and the last date whose rows it knows."""
+
+    fold: int
+    span: Fold
+    opens: date
+    known_until: date
+    n_rows: int
+    model: Any
+
+
+def fits(numbered: DataFrame, features: list[str], label: str, folds: list[Fold], settled: str | None = None, **params) -> Iterator[Fit]:
+    """Each fold's model, one after the other; folds without training rows are left out.
 
     ``settled``: column with the date on which a label is known; rows whose label is known only after a fold's first test date
-    are not trained on, as a ticker's next bar may come late. Rises weigh as much as falls in training. A fold without
-    training rows gives none."""
+    are not trained on, as a ticker's next bar may come late. Rises weigh as much as falls in training."""
     rows = numbered.where(F.col(label).isNotNull())
-    parts = []
     starts = numbered.where(F.col("i").isin([f[2] for f in folds])).select("i", "date").distinct()
     opens = {r.i: r.date for r in starts.collect()}  # one row a fold
     for k, (start, end, first, last) in enumerate(folds):
         known = rows.where(_between(start, end)).dropna(subset=features)
         if settled:
             known = known.where(F.col(settled) <= F.lit(opens[first]))
-        counts = learning.class_weight(known, label).first()
-        if not counts.negatives + counts.positives:
+        until = F.max(F.greatest("date", settled) if settled else F.col("date"))
+        counts = known.agg(
+            F.count_if(F.col(label) == 0).alias("negatives"), F.count_if(F.col(label) == 1).alias("positives"), until.alias("until")
+        ).first()
+        n = counts.negatives + counts.positives
+        if not n:
             continue
-        known = known.withColumn("_weight", F.when(F.col(label) == 1, float(counts.weight)).otherwise(1.0))
-        model = learning.train_classifier(known, features, label, weight="_weight", **params)
+        weight = counts.negatives / counts.positives if counts.negatives and counts.positives else 1.0
+        known = known.withColumn("_weight", F.when(F.col(label) == 1, weight).otherwise(1.0))
+        yield Fit(k, (start, end, first, last), opens[first], counts.until, n, learning.train_classifier(known, features, label, weight="_weight", **params))
+
+
+def predicted(
+    numbered: DataFrame, features: list[str], label: str, folds: list[Fold], settled: str | None = None, **params
+) -> DataFrame:
+    """(ticker, date, actual, probability, prediction, fold, train_end) of every fold's test rows that have a label; see ``fits``."""
+    rows = numbered.where(F.col(label).isNotNull())
+    parts = []
+    for fit in fits(numbered, features, label, folds, settled, **params):
+        _, end, first, last = fit.span
         asked = rows.where(_between(first, last))
-        answers = learning.predict(model, asked).select("ticker", "date", "probability")
+        answers = learning.predict(fit.model, asked).select("ticker", "date", "probability")
         answers = answers.join(asked.select("ticker", "date", F.col(label).cast("int").alias("actual")), ["ticker", "date"])
-        parts.append(answers.withColumns({"fold": F.lit(k), "train_end": F.lit(end)}))
+        parts.append(answers.withColumns({"fold": F.lit(fit.fold), "train_end": F.lit(end)}))
     if not parts:
         types = {f.name: f.dataType.simpleString() for f in numbered.schema}
         schema = f"ticker {types['ticker']}, date {types['date']}, probability double, actual int, fold int, train_end int"

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barloom.functions import indicators
-from barloom.operators import lake, learning, predictions, walkforward
+from barloom.operators import lake, learning, predictions, scoring, walkforward
 from barloom.plans.learning_queries import _WINDOWS
 from barloom.plans.market_queries import WITH, rounded
 from barloom.plans.registry import register
@@ -65,9 +65,7 @@ def concurrency(spark, sf_dir):
     i = (F.row_number().over(indicators.by_ticker()) - 1).cast("long")
     rows = bars(spark, sf_dir).withColumn("id", i)
     end = F.col("id") + F.col("volume").cast("long") % 12 - 1
-    pairs = learning.overlaps(rows.select("ticker", "id", F.col("id").alias("start_idx"), end.alias("end_idx")))
-    both = F.when(F.col("id") == F.col("other"), F.array("id")).otherwise(F.array("id", "other"))
-    return pairs.select("ticker", F.explode(both).alias("id")).groupBy("ticker", "id").agg(F.count("*").alias("n_overlapping"))
+    return learning.overlapping(rows.select("ticker", "id", F.col("id").alias("start_idx"), end.alias("end_idx")))
 
 
 @register(
@@ -99,3 +97,28 @@ def prediction_store(spark, sf_dir):
         rows = made.withColumn("direction", F.when(F.col("probability") >= 0.5, "up").otherwise("down"))
         predictions.store(store, rows.withColumn("year", F.year("date")))
     return rounded(store.read().drop("year"), "probability")
+
+
+def trained(spark, sf_dir):
+    """(rows, registry): models trained again every 500 dates on the 1000 before."""
+    rows = _numbered(spark, sf_dir)
+    folder = f"{lake.scratch(spark)}/registry/{uuid.uuid4().hex}"
+    return rows, scoring.register(rows, FEATURES, "y", walkforward.retraining_folds(rows, train=1000, every=500), folder, "settled", **SMALL)
+
+
+@register("scored_predictions")
+def scored_predictions(spark, sf_dir):
+    """All bars from the first model on, scored by the model in force on their date, stored behind their rules and read back."""
+    rows, registry = trained(spark, sf_dir)
+    store = lake.LakeTable(spark, f"{lake.scratch(spark)}/predictions/{uuid.uuid4().hex}", ["ticker", "date", "year"], "year")
+    scoring.score_and_store(store, rows.select("ticker", "date", *FEATURES), registry)
+    return store.read().drop("year", "model_id")
+
+
+@register("feature_skew")
+def feature_skew(spark, sf_dir):
+    """What each model in force was trained on against what it scores: one column gone, one of another type, one more."""
+    rows, registry = trained(spark, sf_dir)
+    asked = rows.select("ticker", "date", *FEATURES[:3], F.col("volume_ratio").cast("float").alias("volume_ratio"), F.col("i").alias("row_number"))
+    models = registry.select("model_id", F.col("trained_on").alias("model_trained_on"))
+    return scoring.skew(asked, registry).join(models, "model_id").drop("model_id")
