@@ -18,16 +18,33 @@ PRICE_RULES: dict[str, str] = {
     "low_is_lowest": "low <= least(open, close)",
 }
 NEWS_RULES: dict[str, str] = {
-    **{f"{c}_not_null": f"{c} is not null" for c in ("ticker", "date", "headline", "url")},
+    **{f"{c}_not_null": f"{c} is not null" for c in ("ticker", "date", "datetime", "source", "headline", "url")},
     "score_in_range": "sentiment_score between -1 and 1",
 }
-MACRO_RULES: dict[str, str] = {f"{c}_not_null": f"{c} is not null" for c in ("date", "indicator", "value")}
+MACRO_RULES: dict[str, str] = {f"{c}_not_null": f"{c} is not null" for c in ("date", "indicator", "value", "source")}
 PREDICTION_RULES: dict[str, str] = {
     "ticker_not_null": "ticker is not null",
     "date_not_null": "date is not null",
     "probability_inside": "probability > 0 and probability < 1",
     "direction_known": "direction in ('up', 'down')",
 }
+#: Bounds of rows at the borders of the layers.
+BAR_BOUNDS: dict[str, str] = {"key_known": "ticker is not null and date is not null"} | {
+    k: v for k, v in PRICE_RULES.items() if k.endswith(("_positive", "_negative"))
+}
+FEATURE_BOUNDS: dict[str, str] = {
+    "key_known": "ticker is not null and date is not null",
+    "close_known": "close is not null",
+    "macd_known": "macd is not null",
+    "rsi_inside": "rsi_14 between 0 and 100",
+    "volume_not_negative": "volume >= 0",
+}
+PREDICTION_BOUNDS: dict[str, str] = {
+    "key_known": "ticker is not null and date is not null",
+    "direction_known": "direction in ('up', 'down')",
+    "probability_inside": "probability between 0 and 1",
+    "version_known": "model_version is not null",
+}
 
 
 class ValidationError(ValueError):
@@ -105,10 +122,19 @@ def clean(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return last_of(frame, keys, order).where("close > 0").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
+def broken(rules: dict[str, str]) -> Column:
+    """The names of the rules that a row breaks or makes null."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(r), F.lit(False)), n) for n, r in rules.items()]))
+
+
+def within(bounds: dict[str, tuple[float, float]]) -> dict[str, str]:
+    """Rules that values which are there lie in a range."""
+    return {f"{c}_in_range": f"`{c}` is null or `{c}` between {low!r} and {high!r}" for c, (low, high) in bounds.items()}
+
+
 def rejected(frame: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Rows that break a rule, with the names of those they break."""
-    names = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(r), F.lit(False)), n) for n, r in rules.items()]))
-    return frame.withColumn("broken", names).where(F.size("broken") > 0)
+    return frame.withColumn("broken", broken(rules)).where(F.size("broken") > 0)
 
 
 def all_null_rows_dropped(frame: DataFrame, columns: list[str]) -> DataFrame:

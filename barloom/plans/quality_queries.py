@@ -108,9 +108,11 @@ def price_rules(spark, sf_dir):
 @register(
     "news_rules",
     f"""WITH {proxies.NEWS_SQL}, x AS (SELECT nullif(ticker, 'S0001') AS ticker, date, event_type AS headline,
-      CAST(event_id % 900 AS VARCHAR) AS url, sentiment_score * 1.5 AS sentiment_score FROM news)
+      CAST(event_id % 900 AS VARCHAR) AS url, sentiment_score * 1.5 AS sentiment_score, nullif(event_type, 'view') AS source FROM news)
     SELECT 'ticker_not_null' AS rule, count(*) - count(ticker) AS failed FROM x UNION ALL
     SELECT 'date_not_null', count(*) - count(date) FROM x UNION ALL
+    SELECT 'datetime_not_null', count(*) - count(date) FROM x UNION ALL
+    SELECT 'source_not_null', count(*) - count(source) FROM x UNION ALL
     SELECT 'headline_not_null', count(*) - count(headline) FROM x UNION ALL
     SELECT 'url_not_null', count(*) - count(url) FROM x UNION ALL
     SELECT 'score_in_range', count(*) FILTER (NOT sentiment_score BETWEEN -1 AND 1) FROM x UNION ALL
@@ -118,7 +120,8 @@ def price_rules(spark, sf_dir):
 )
 def news_rules(spark, sf_dir):
     planted = proxies.news(spark, sf_dir).select(
-        F.nullif("ticker", F.lit("S0001")).alias("ticker"), "date", F.col("event_type").alias("headline"),
+        F.nullif("ticker", F.lit("S0001")).alias("ticker"), "date", F.col("date").cast("timestamp").alias("datetime"),
+        F.nullif("event_type", F.lit("view")).alias("source"), F.col("event_type").alias("headline"),
         (F.col("event_id") % 900).cast("string").alias("url"), (F.col("sentiment_score") * 1.5).alias("sentiment_score"),
     )
     return validation.violations(planted, validation.NEWS_RULES, ["url"])
