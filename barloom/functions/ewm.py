@@ -9,12 +9,15 @@ do not age a mean, which stays what it was.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.graph import Graph, Step, family
+
 STRETCH_DAYS = 512
 #: Decimal places that weights may grow over within a stretch.
 _PLACES = 250
@@ -39,8 +42,11 @@ def by_half_life(name: str, column: str, life: float) -> Mean:
     return Mean(name, column, 0.5 ** (1 / life))
 
 
-def means(frame: DataFrame, wanted: list[Mean], key: str = "ticker", on: str = "date") -> DataFrame:
-    """``frame`` with all of ``wanted``."""
+def means(frame: DataFrame, wanted: list[Mean], key: str = "ticker", on: str = "date", seeds: DataFrame | None = None) -> DataFrame:
+    """``frame`` with all of ``wanted``.
+
+    ``seeds``: (``key``, and of each mean its value ``<name>`` and the number of values ``<name>__n`` in it) of series that go on from rows
+    which are not in ``frame``; a series without a seed begins here."""
     days = min(STRETCH_DAYS, *(int(_PLACES / -math.log10(m.keep)) for m in wanted))
     columns = list(dict.fromkeys(m.column for m in wanted))
     at = {c: n for n, c in enumerate(columns)}
@@ -62,19 +68,30 @@ def means(frame: DataFrame, wanted: list[Mean], key: str = "ticker", on: str = "
     maps = F.collect_list(F.struct(*[f"k{n}" for n in at.values()], *[f"s{i}" for i in range(len(wanted))])).over(before)
     ends = ends.withColumns({"_maps": maps} | {f"_f{n}": F.first(f"f{n}", ignorenulls=True).over(up_to) for n in at.values()})
 
+    if seeds is not None:
+        sown = seeds.select(key, *[F.struct(F.col(m.name).alias("y"), F.col(f"{m.name}__n").alias("n")).alias(f"_seed{i}") for i, m in enumerate(wanted)])
+        ends = ends.join(sown, key, "left")
+
+    def seed(i: int, m: Mean) -> Column:
+        """What the seed adds up to, and how many values it has; nothing and none without one."""
+        if seeds is None:
+            return F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).cast("long").alias("n"))
+        y, n = F.col(f"_seed{i}.y"), F.coalesce(F.col(f"_seed{i}.n").cast("long"), F.lit(0).cast("long"))
+        return F.struct((y * (1 - F.pow(F.lit(m.keep), n)) / (1 - m.keep) if m.adjust else y).alias("y"), n.alias("n"))
+
     def state(i: int, m: Mean) -> Column:
-        first = F.lit(0.0) if m.adjust else F.col(f"_f{at[m.column]}")
+        first = F.coalesce(seed(i, m)["y"], F.lit(0.0) if m.adjust else F.col(f"_f{at[m.column]}"))
         return F.aggregate("_maps", first, lambda y, x: F.pow(F.lit(m.keep), x[f"k{at[m.column]}"]) * y + x[f"s{i}"])
 
-    known = lambda n: F.aggregate("_maps", F.lit(0).cast("long"), lambda a, x: a + x[f"k{n}"])
+    known = lambda i, m: F.aggregate("_maps", seed(i, m)["n"], lambda a, x: a + x[f"k{at[m.column]}"])
     starts = ends.select(
         key, "_stretch", *[state(i, m).alias(f"_y{i}") for i, m in enumerate(wanted)],
-        *[known(n).alias(f"_n{n}") for n in at.values()],
+        *[known(i, m).alias(f"_n{i}") for i, m in enumerate(wanted)],
         *[f"_f{n}" for n in at.values()],
     )
 
     def value(i: int, m: Mean) -> Column:
-        count = F.col(f"_k{at[m.column]}") + F.col(f"_n{at[m.column]}")
+        count = F.col(f"_k{at[m.column]}") + F.col(f"_n{i}")
         y = shrunk(m, F.col(f"_y{i}") + F.col(f"_s{i}"))
         y = F.try_divide(y * (1 - m.keep), 1 - F.pow(F.lit(m.keep), count)) if m.adjust else y
         return F.when(count >= m.least, F.when(count == 1, F.col(f"_f{at[m.column]}")).otherwise(y))
@@ -83,23 +100,46 @@ def means(frame: DataFrame, wanted: list[Mean], key: str = "ticker", on: str = "
     return joined.select(*[F.col(f"`{c}`") for c in frame.columns], *[value(i, m).alias(m.name) for i, m in enumerate(wanted)])
 
 
-def momentum(bars: DataFrame) -> DataFrame:
-    """rsi_14 (Wilder's means; null where the mean loss is 0), macd, macd_signal, macd_histogram."""
+#: Marks rows that are there for what stands behind them only: they carry a seed and age no mean.
+SEED = "_seed"
+STATES = ("gain_mean", "loss_mean", "ema_fast", "ema_slow")
+
+
+def unseeded(frame: DataFrame, column: str) -> Column:
+    """A column without its value in seed rows."""
+    return F.when(~F.col(SEED), F.col(column)) if SEED in frame.columns else F.col(column)
+
+
+def momentum_states(bars: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """rsi_14 (Wilder's means; null where the mean loss is 0), macd, macd_signal, macd_histogram, and the means behind them."""
     delta = F.col("close") - F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))
-    rows = bars.withColumn("_d", delta).withColumns({"_gain": F.greatest("_d", F.lit(0.0)), "_loss": -F.least("_d", F.lit(0.0))})
-    rows = rows.withColumns({c: F.when(F.col("_d").isNotNull(), F.col(c)) for c in ("_gain", "_loss")})
-    wilder = [Mean(f"{c}_mean", c, 13 / 14, adjust=False, least=14) for c in ("_gain", "_loss")]
-    rows = means(rows, [*wilder, by_span("_fast", "close", 12, False), by_span("_slow", "close", 26, False)])
+    rows = bars.withColumn("_d", delta)
+    known = F.col("_d").isNotNull()
     rows = rows.withColumns(
-        {"rsi_14": 100 - 100 / (1 + F.try_divide("_gain_mean", "_loss_mean")), "macd": F.col("_fast") - F.col("_slow")}
+        {
+            "_gain": F.when(known, F.greatest("_d", F.lit(0.0))),
+            "_loss": F.when(known, -F.least("_d", F.lit(0.0))),
+            "_close": unseeded(bars, "close"),
+        }
     )
-    rows = means(rows, [by_span("macd_signal", "macd", 9, False)]).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
-    return rows.select(*bars.columns, "rsi_14", "macd", "macd_signal", "macd_histogram")
+    wilder = [Mean(n, c, 13 / 14, adjust=False, least=14) for n, c in (("gain_mean", "_gain"), ("loss_mean", "_loss"))]
+    rows = means(rows, [*wilder, by_span("ema_fast", "_close", 12, False), by_span("ema_slow", "_close", 26, False)], seeds=seeds)
+    rows = rows.withColumns({"rsi_14": 100 - 100 / (1 + F.try_divide("gain_mean", "loss_mean")), "macd": F.col("ema_fast") - F.col("ema_slow")})
+    rows = rows.withColumn("_macd", unseeded(bars, "macd"))
+    rows = means(rows, [by_span("macd_signal", "_macd", 9, False)], seeds=seeds).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    return rows.select(*bars.columns, "rsi_14", "macd", "macd_signal", "macd_histogram", *STATES)
+
+
+def momentum(bars: DataFrame) -> DataFrame:
+    return momentum_states(bars).drop(*STATES)
 
 
-def decayed(frame: DataFrame, column: str, lives: tuple[float, ...] = (3, 7, 30), prefix: str | None = None) -> DataFrame:
+def decayed(
+    frame: DataFrame, column: str, lives: tuple[float, ...] = (3, 7, 30), prefix: str | None = None, seeds: DataFrame | None = None
+) -> DataFrame:
     """``<prefix>_ewma_<h>d`` for each half life."""
-    return means(frame, [by_half_life(f"{prefix or column}_ewma_{h}d", column, h) for h in lives])
+    rows = frame.withColumn("_x", unseeded(frame, column))
+    return means(rows, [by_half_life(f"{prefix or column}_ewma_{h}d", "_x", h) for h in lives], seeds=seeds).drop("_x")
 
 
 def spans(frame: DataFrame, column: str, names: dict[str, int]) -> DataFrame:
@@ -107,30 +147,71 @@ def spans(frame: DataFrame, column: str, names: dict[str, int]) -> DataFrame:
     return means(frame, [by_span(n, column, s) for n, s in names.items()])
 
 
-def features(bars: DataFrame, least_rows: int = 60) -> DataFrame:
-    """All indicators of tickers with enough bars: one shuffle by ticker, then windows on the same partitioning."""
+def indicator_graph(seeds: DataFrame | None = None) -> Graph:
+    """The indicators by what they need; ``seeds`` as for ``means``."""
     from . import indicators as ind
 
-    size = F.count("*").over(ind.Window.partitionBy("ticker"))
-    enough = bars.withColumn("_n", size).where(F.col("_n") >= least_rows).drop("_n")
-    for step in (momentum, ind.returns, ind.bollinger, ind.ranges, ind.volumes, ind.calendar, ind.target):
-        enough = step(enough)
-    return enough.dropna(subset=["close", "volume", "rsi_14", "macd"]).withColumn("feature_schema_version", F.lit(3))
+    prices, columns = ("ticker", "date", "close"), ("ticker", "date", "open", "high", "low", "close", "volume")
+    changes = {f"return_{n}d": ("close", n) for n in (1, 5, 10, 20)}
+    rates = {f"roc_{n}": (n,) for n in (5, 10, 20)}
+    bands = ("bb_middle", "bb_upper", "bb_lower", "bb_width", "bb_pct")
+    spread = ("atr_14", "volatility_20", "overnight_return", "intraday_return", "hl_range")
+    days = ("day_of_week", "day_of_month", "month", "quarter", "days_to_month_end", "trading_day_of_month")
+    rsi = {"rsi_inside": "rsi_14 is null or rsi_14 between 0 and 100"}
+    tag = lambda *x: frozenset(x)
+    return Graph(
+        [
+            Step(
+                "momentum", prices, ("rsi_14", "macd", "macd_signal", "macd_histogram", *STATES), lambda f: momentum_states(f, seeds),
+                tag("momentum", "means"), rsi,
+            ),
+            *family(ind.change, prices, changes, ("returns",)),
+            *family(lambda n: ind.change("close", n) * 100, prices, rates, ("returns",)),
+            Step("bollinger", prices, bands, ind.bollinger, tag("bands")),
+            Step("ranges", columns, spread, ind.ranges, tag("ranges")),
+            Step("volumes", ("ticker", "date", "close", "volume"), ("volume_ma_20", "volume_roc_5", "obv", "volume_ratio"), ind.volumes, tag("volume")),
+            Step("calendar", ("ticker", "date"), days, ind.calendar, tag("calendar")),
+            Step("target", prices, ("next_day_return",), ind.target, tag("target")),
+        ]
+    )
+
+
+#: All indicators in the order of the feature table.
+INDICATORS = [c for s in indicator_graph().steps for c in s.gives if c not in STATES]
+VERSION = 3
+
+
+def enough_rows(bars: DataFrame, least_rows: int = 60) -> DataFrame:
+    """The bars of tickers that have so many."""
+    size = F.count("*").over(Window.partitionBy("ticker"))
+    return bars.withColumn("_n", size).where(F.col("_n") >= least_rows).drop("_n")
+
+
+def features(bars: DataFrame, least_rows: int = 60, enrichments: Sequence[Step] = (), z_scores: Sequence[str] = ()) -> DataFrame:
+    """All indicators of tickers with enough bars, rows without a close, volume, rsi or macd left out, then what ``enrichments`` give and
+    the z-scores among the tickers of a date of the columns named."""
+    from . import indicators as ind
+
+    made = indicator_graph().run(enough_rows(bars, least_rows), INDICATORS).drop(*STATES)
+    made = made.dropna(subset=["close", "volume", "rsi_14", "macd"]).withColumn("feature_schema_version", F.lit(VERSION))
+    for step in Graph(enrichments).plan([c for s in enrichments for c in s.gives], made.columns):
+        made = step.run(made)
+    return ind.zscore(made, list(z_scores)) if z_scores else made
 
 
 def feature_job(
-    bars: DataFrame, start: str, end: str, tickers: DataFrame | None = None, names: list[str] | None = None, warm_up: int = 365
-) -> DataFrame:
+    bars: DataFrame, start: str, end: str, tickers: DataFrame | None = None, names: list[str] | None = None, warm_up: int = 365,
+    least_rows: int = 60,
+) -> DataFrame:
     """``names`` (default: all) of the indicators between two dates, computed on the bars from ``warm_up`` days before, so that
-    windows are full at the start. Dates and tickers are filters below the windows; an unknown name is an error."""
+    windows are full at the start. Dates and tickers are filters below the windows; only the steps that the names need are run; rows
+    without a close or volume, or without one of the asked means, are left out; an unknown name is an error."""
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     rows = bars.where(F.col("date").between(F.date_sub(first, warm_up), last))
     if tickers is not None:
         rows = rows.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
-    made = features(rows).where(F.col("date") >= first)
     if names is None:
-        return made
-    unknown = [n for n in names if n not in made.columns]
-    if unknown:
-        raise ValueError(f"unknown features: {unknown}")
-    return made.select("ticker", "date", *names)
+        return features(rows, least_rows).where(F.col("date") >= first)
+    graph = indicator_graph()
+    made = graph.run(enough_rows(rows, least_rows), names).where(F.col("date") >= first)
+    return made.dropna(subset=["close", "volume", *(n for n in names if n in ("rsi_14", "macd"))]).select("ticker", "date", *names)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.ewm import decayed
+from barloom.functions.graph import Step
 from barloom.operators import articles
-from barloom.operators.series import asof, pivot_fill
+from barloom.operators.series import asof, macro_derived
 
 KEYS = ["ticker", "date"]
 
@@ -26,15 +27,15 @@ def daily_news(news: DataFrame) -> DataFrame:
     )
 
 
-def with_news(bars: DataFrame, news: DataFrame) -> DataFrame:
-    """Bars with the day's news, zeros where there is none, and the sentiment's decayed means."""
+def with_news(bars: DataFrame, news: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Bars with the day's news, zeros where there is none, and the sentiment's decayed means (``seeds``: see ``ewm.means``)."""
     joined = bars.join(daily_news(news), KEYS, "left").na.fill(
         0, ["avg_daily_sentiment", "news_count", "positive_count", "negative_count", "neutral_count", "sentiment_std"]
     )
-    return decayed(joined, "avg_daily_sentiment", prefix="sentiment")
+    return decayed(joined, "avg_daily_sentiment", prefix="sentiment", seeds=seeds)
 
 
-def with_social(bars: DataFrame, posts: DataFrame) -> DataFrame:
+def with_social(bars: DataFrame, posts: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Posts (ticker, date, source, mention_count, score, positive_score, negative_score) by day, zeros where there are none, with
     five-row momentum and change, 0 where unknown, and the score's decayed means."""
     of = lambda s: F.sum(F.when(F.col("source") == s, F.col("mention_count")).otherwise(0))
@@ -52,7 +53,7 @@ def with_social(bars: DataFrame, posts: DataFrame) -> DataFrame:
             "social_score_change": F.coalesce(F.col("social_score") - F.lag("social_score", 5).over(w), F.lit(0.0)),
         }
     )
-    return decayed(joined, "social_score", prefix="social")
+    return decayed(joined, "social_score", prefix="social", seeds=seeds)
 
 
 def with_ratings(bars: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -98,6 +99,53 @@ def cross_modal(frame: DataFrame) -> DataFrame:
     )
 
 
-def with_macro(bars: DataFrame, macro: DataFrame, names: list[str]) -> DataFrame:
-    """Macro series (date, indicator, value) wide on the bars' dates; the date table is small beside the bars."""
-    return bars.join(pivot_fill(macro, bars.select("date").distinct(), names), "date", "left")
+def steps(
+    news: DataFrame | None = None, posts: DataFrame | None = None, ratings: DataFrame | None = None, filings: DataFrame | None = None,
+    articles_: DataFrame | None = None, macro: DataFrame | None = None, seeds: DataFrame | None = None,
+) -> list[Step]:
+    """The enrichments as steps of a feature graph. A table that is missing leaves its columns, as zeros: no row differs in shape by what
+    was there to read."""
+    lives = lambda name, days=(3, 7, 30): tuple(f"{name}_ewma_{h}d" for h in days)
+    counts = ("news_count", "positive_count", "negative_count", "neutral_count")
+    given = {
+        "news": (news, ("avg_daily_sentiment", *counts, "sentiment_std", *lives("sentiment")), lambda f: with_news(f, news, seeds)),
+        "social": (
+            posts,
+            ("mentions", "social_score", "social_positive", "social_negative", "reddit_mentions", "twitter_mentions", "mention_momentum",
+             "social_score_change", *lives("social")),
+            lambda f: with_social(f, posts, seeds),
+        ),
+        "ratings": (
+            ratings, ("consensus_score", "price_target_mean", "coverage_count", "consensus_ewma_7d", "target_upside"), lambda f: with_ratings(f, ratings)
+        ),
+        "filings": (filings, ("filing_risk", "filing_tone", "guidance_positive", "risk_change_flag"), lambda f: with_filings(f, filings).drop("filing_date")),
+        "articles": (
+            articles_,
+            ("enriched_article_count", "enriched_sentiment_mean", "enriched_confidence_mean", "enriched_relevance_mean", "bullish_ratio", "social_volume",
+             "social_sentiment_mean", "breaking_news_flag", *lives("enriched_sentiment", (3, 7))),
+            lambda f: with_articles(f, articles_),
+        ),
+        "macro": (macro, MACRO_COLUMNS, lambda f: with_macro(f, macro)),
+    }
+    whole = {*counts, "mentions", "reddit_mentions", "twitter_mentions", "coverage_count", "guidance_positive", "risk_change_flag", "enriched_article_count",
+             "social_volume", "breaking_news_flag"}
+    zero = lambda columns: {c: F.lit(0).cast("long") if c in whole else F.lit(0.0) for c in columns}
+    absent = lambda columns: lambda f: f.withColumns(zero(columns))
+    typed = lambda run, columns: lambda f: run(f).withColumns({c: F.col(c).cast("long" if c in whole else "double") for c in columns})
+    made = [
+        Step(name, ("ticker", "date", "close"), columns, typed(run, columns) if table is not None else absent(columns), frozenset({"enrichment", name}))
+        for name, (table, columns, run) in given.items()
+    ]
+    cross = ("sentiment_volume", "sentiment_momentum", "news_social_gap")
+    return [*made, Step("cross_modal", ("volume", "avg_daily_sentiment", "social_score"), cross, cross_modal, frozenset({"enrichment"}))]
+
+
+#: The eight series of the macro table.
+MACRO = ("dxy", "treasury_10y", "tips_yield", "breakeven_inflation", "vix", "gld", "iau", "policy_uncertainty")
+MACRO_COLUMNS = (*MACRO, "vix_change_5d", "dxy_change_5d", "yield_curve_slope")
+
+
+def with_macro(bars: DataFrame, macro: DataFrame, names: tuple[str, ...] = MACRO) -> DataFrame:
+    """Macro series (date, indicator, value) on the bars' dates, filled forward, with their changes and slope; the date table is small
+    beside the bars."""
+    return bars.join(macro_derived(macro, bars.select("date").distinct(), list(names)), "date", "left")
