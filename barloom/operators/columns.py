@@ -36,6 +36,18 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
+def balance(positive: Column | str, negative: Column | str) -> Column:
+    """(positive - negative) / (positive + negative), 0 where both are; a missing side counts as 0."""
+    p, n = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(0)) for x in (positive, negative))
+    return F.when(p + n == 0, 0.0).otherwise((p - n) / (p + n))
+
+
+def item_text(title: Column, summary: Column, content: Column) -> Column:
+    """The fullest text of a feed's item: its content, else its summary, else its title; blank ones do not count."""
+    there = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.coalesce(there(content), there(summary), there(title), F.lit(""))
+
+
 #: Formats of feeds: ISO with and without time, RFC 822, US dates.
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd MMM yyyy HH:mm:ss", "MM/dd/yyyy", "yyyyMMdd")
 

@@ -208,3 +208,16 @@ def predict(model, frame: DataFrame) -> DataFrame:
     """ticker, date, direction and probability of a rise."""
     out = probability(model.transform(frame)).select("ticker", "date", "probability")
     return out.withColumn("direction", F.when(F.col("probability") >= 0.5, "up").otherwise("down"))
+
+
+# What is kept of each training row.
+AUDIT = (
+    "ticker", "date", "candidate_action", "candidate_source", "candidate_score", "meta_label", "barrier_outcome", "upper_barrier_return",
+    "lower_barrier_return", "vertical_barrier_days",
+)
+
+
+def write_audit(frame: DataFrame, path: str, horizon: int) -> None:
+    """The rows that a model was trained on, beside the model: which candidate, which barrier, which label."""
+    rows = frame.withColumn("vertical_barrier_days", F.lit(horizon)) if "vertical_barrier_days" not in frame.columns else frame
+    rows.select(*AUDIT).write.mode("overwrite").parquet(path)

@@ -124,3 +124,37 @@ def synthetic_bars(spark: SparkSession, tickers: int, days: int, start: str = "2
         (F.greatest("open", "close") * (1 + F.col("_wick"))).alias("high"), (F.least("open", "close") * (1 - F.col("_wick"))).alias("low"),
         "close", F.floor(F.exp(13 + normal(6) * 0.5)).cast("double").alias("volume"),
     )
+
+
+#: From narrow to wide: what a column becomes when frames with other types meet.
+_WIDER = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "string")
+
+
+def supertype(kinds: set[str]) -> str:
+    """The narrowest type that holds values of all ``kinds``; a decimal or date beside anything else becomes a number or text."""
+    kinds = {k for k in kinds if k != "void"} or {"string"}
+    if len(kinds) == 1:
+        return kinds.pop()
+    if kinds <= {"date", "timestamp", "timestamp_ntz"}:
+        return "timestamp"
+    if any(k not in _WIDER and not k.startswith("decimal") for k in kinds):
+        return "string"
+    wide = max((_WIDER.index("double") if k.startswith("decimal") else _WIDER.index(k)) for k in kinds)
+    found = _WIDER[wide]
+    if found == "string" or "boolean" in kinds:
+        return "string" if "string" in kinds else found
+    return "double" if found == "float" and kinds & {"int", "bigint"} else found
+
+
+def concatenated(frames: list[DataFrame]) -> DataFrame:
+    """All rows; columns that some frames lack are null there, and columns of other types meet in the narrowest type that holds both."""
+    names = list(dict.fromkeys(c for f in frames for c in f.columns))
+    kinds = [{f.name: f.dataType.simpleString() for f in frame.schema} for frame in frames]
+    wide = {n: supertype({k[n] for k in kinds if n in k}) for n in names}
+    one = lambda f: f.select(*[(F.col(f"`{n}`") if n in f.columns else F.lit(None)).cast(wide[n]).alias(n) for n in names])
+    return reduce(DataFrame.union, map(one, frames))
+
+
+def of_day(frame: DataFrame, day: str, on: str = "date") -> DataFrame:
+    """The rows of one day; on a table partitioned by it, its folder only."""
+    return frame.where(F.col(on) == F.lit(day).cast(frame.schema[on].dataType))

@@ -2,14 +2,69 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.indicators import full
 from barloom.operators import validation
 from barloom.operators.lake import LakeTable
 from barloom.operators.series import asof
 
 
+class Generator(ABC):
+    """What makes signals (ticker, date, signal_type, action, confidence, ...) from bars; a subclass names its kind and makes the rest."""
+
+    kind: str = ""
+
+    @abstractmethod
+    def make(self, bars: DataFrame) -> DataFrame:
+        """(ticker, date, action, confidence, and what else the signal carries)."""
+
+    def signals(self, bars: DataFrame) -> DataFrame:
+        if not self.kind:
+            raise ValueError(f"{type(self).__name__} names no kind")
+        made = self.make(bars)
+        missing = {"ticker", "date", "action", "confidence"} - set(made.columns)
+        if missing:
+            raise ValueError(f"{self.kind} signals lack {sorted(missing)}")
+        return made.withColumn("signal_type", F.lit(self.kind))
+
+
+class DirectionGenerator(Generator):
+    """Signals of predictions (ticker, date, probability); see ``direction_signals``."""
+
+    kind = "ml_direction"
+
+    def __init__(self, predictions: DataFrame, **thresholds: float):
+        self.predictions, self.thresholds = predictions, thresholds
+
+    def make(self, bars: DataFrame) -> DataFrame:
+        return direction_signals(self.predictions.join(bars.select("ticker", "date"), ["ticker", "date"], "left_semi"), **self.thresholds)
+
+
+class DistanceGenerator(Generator):
+    """Signals by the distance from a mean of ``n`` bars, in shares of it."""
+
+    kind = "sma_distance"
+
+    def __init__(self, n: int = 20, least: float = 0.02):
+        self.n, self.least = n, least
+
+    def make(self, bars: DataFrame) -> DataFrame:
+        mean = full(F.avg, "close", self.n)
+        away = bars.withColumn("distance", F.try_divide(F.col("close") - mean, mean)).where(F.abs("distance") >= self.least)
+        up = F.col("distance") > 0
+        return away.select("ticker", "date", F.when(up, "BUY").otherwise("SELL").alias("action"), F.when(up, 70.0).otherwise(60.0).alias("confidence"), "distance")
+
+
+def scan(bars: DataFrame, generators: Sequence[Generator]) -> DataFrame:
+    """The most confident signal of each ticker and date among all generators; see ``scan_signals``."""
+    return scan_signals(*[g.signals(bars).select("ticker", "date", "signal_type", "action", "confidence") for g in generators])
+
+
 def direction_signals(
     predictions: DataFrame, buy: float = 0.6, sell: float = 0.4, least_confidence: float = 60.0
 ) -> DataFrame:
