@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Rating buckets in their order, and what each counts.
 RATINGS = {"strong_buy": 2, "buy": 1, "hold": 0, "sell": -1, "strong_sell": -2}
@@ -36,6 +37,28 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
+# What each ratio of a company's statement divides.
+STATEMENT_RATIOS = {
+    "eps": ("net_income", "shares"), "roe": ("net_income", "stockholders_equity"), "roa": ("net_income", "total_assets"),
+    "debt_to_equity": ("total_debt", "stockholders_equity"), "net_margin": ("net_income", "revenue"), "operating_margin": ("operating_income", "revenue"),
+}
+
+
+def with_ratios(statements: DataFrame) -> DataFrame:
+    """All ratios of statements; null where a side is missing, or not in the frame at all, or the divisor is 0."""
+    of = lambda c: F.col(c) if c in statements.columns else F.lit(None).cast("double")
+    return statements.withColumns({n: ratio(of(a), of(b)) for n, (a, b) in STATEMENT_RATIOS.items()})
+
+
+def average_rank(x: Column | str, *by: str, descending: bool = True) -> Column:
+    """The rank of ``x`` within ``by``; equal values share the mean of their places, nulls have none."""
+    x = F.col(x) if isinstance(x, str) else x
+    w = Window.partitionBy(*by)
+    place = F.rank().over(w.orderBy(x.desc_nulls_last() if descending else x.asc_nulls_last()))
+    alike = F.count("*").over(Window.partitionBy(*by, x))
+    return F.when(x.isNotNull(), place + (alike - 1) / 2)
+
+
 def balance(positive: Column | str, negative: Column | str) -> Column:
     """(positive - negative) / (positive + negative), 0 where both are; a missing side counts as 0."""
     p, n = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(0)) for x in (positive, negative))

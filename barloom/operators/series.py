@@ -94,3 +94,14 @@ def macro_derived(long: DataFrame, dates: DataFrame, names: list[str]) -> DataFr
     if {"treasury_10y", "tips_yield"} <= set(names):
         derived["yield_curve_slope"] = F.col("treasury_10y") - F.col("tips_yield")
     return full.withColumns(derived).fillna(0.0)
+
+
+def slices(frame: DataFrame, wanted: dict[str, tuple[int, int | None]], key: str = "ticker", on: str = "date") -> DataFrame:
+    """Rows of each series by their place in it, with the name of the first slice that they are in; places count from 0, or from the end where
+    they are negative, and the second one of a slice is outside of it."""
+    w = Window.partitionBy(key)
+    rows = frame.withColumns({"_i": F.row_number().over(w.orderBy(on)) - 1, "_n": F.count("*").over(w)})
+    at = lambda x: F.lit(x) if x >= 0 else F.col("_n") + x
+    inside = lambda a, b: (F.col("_i") >= at(a)) & (F.lit(True) if b is None else F.col("_i") < at(b))
+    place = F.coalesce(*[F.when(inside(a, b), name) for name, (a, b) in wanted.items()])
+    return rows.withColumn("place", place).where("place is not null").drop("_i", "_n")

@@ -87,6 +87,18 @@ def tolerant_json(text: str, schema: str) -> Column:
     return F.from_json(text, schema, {"mode": "PERMISSIVE"})
 
 
-def redact(properties: str | Column, pattern: str = "(?i)(key|token|secret|password)") -> Column:
+SECRET = "(?i)(key|token|secret|password)"
+
+
+def redact(properties: str | Column, pattern: str = SECRET) -> Column:
     """Map values whose key looks like a secret, replaced."""
     return F.transform_values(properties, lambda k, v: F.when(k.rlike(pattern), "***").otherwise(v))
+
+
+def redact_json(text: str | Column, words: str = "key|token|secret|password") -> Column:
+    """JSON text with the values of keys that look like a secret replaced, at any depth: texts, numbers, truth values and nulls; the
+    members of a secret's object or list are named by their own keys."""
+    text = F.col(text) if isinstance(text, str) else text
+    name = f'("(?:[^"\\\\]|\\\\.)*(?i:{words})(?:[^"\\\\]|\\\\.)*"\\s*:\\s*)'
+    value = '(?:"(?:[^"\\\\]|\\\\.)*"|-?[0-9][-+.0-9eE]*|true|false|null)'
+    return F.regexp_replace(text, name + value, '$1"***"')

@@ -153,6 +153,21 @@ def trades(weighted: DataFrame) -> DataFrame:
     )
 
 
+def trade_metrics(weighted: DataFrame) -> DataFrame:
+    """One row: trades, tickers with any, the share of trades that won, mean bars and mean return of a trade."""
+    return trades(weighted).agg(
+        F.count("*").alias("n_trades"), F.countDistinct("ticker").alias("n_tickers"),
+        F.try_divide(F.count_if(F.col("trade_return") > 0), F.count("*")).alias("win_share"),
+        F.avg("n_bars").alias("mean_bars"), F.avg("trade_return").alias("mean_trade_return"),
+    )
+
+
+def with_weights(prices: DataFrame, weights: DataFrame, fill: float = 0.0) -> DataFrame:
+    """Prices with the weight of their ticker and date; a bar without one is not held."""
+    joined = prices.drop("weight").join(weights.select("ticker", "date", "weight"), ["ticker", "date"], "left")
+    return joined.withColumn("weight", F.coalesce("weight", F.lit(fill)))
+
+
 def stopped(weighted: DataFrame, stop_loss: float | None = None, take_profit: float | None = None) -> DataFrame:
     """A run of bars with a weight is left at the first close that has lost ``stop_loss`` or won ``take_profit`` since the
     run's first close, in the direction of the weight; it is not entered again before the run ends."""
