@@ -1,8 +1,7 @@
 """Profiles that add up: a day's state is stored once, and any range of days is profiled without its rows.
 
 A state is counts, sums and extremes, which add exactly, and two sketches: one of distinct values (relative error 2 % with 12 bits)
-and one of ranks (error about 1 % of the rows). Mean and deviation come from sums about a fixed middle, the day's first moment
-being stored with its second, so that large values lose no digits.
+and one of ranks (error about 1 % of the rows). A day keeps its mean and the squares about it, so that large values lose no digits.
 """
 
 from __future__ import annotations
@@ -53,12 +52,13 @@ def merged(states: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataF
     known = F.col("n") - F.col("nulls")
     sums = states.groupBy("column").agg(
         F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.sum(F.col("mean") * known).alias("_sum"), F.sum("squares").alias("_in"),
-        F.sum(F.col("mean") * F.col("mean") * known).alias("_means"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.collect_list(F.struct("mean", known.alias("n"))).alias("_days"), F.min("min").alias("min"), F.max("max").alias("max"),
         F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch", False)).alias("n_unique"), F.kll_merge_agg_double("rank_sketch", KLL_K).alias("_ranks"),
     )
     there = F.col("n") - F.col("nulls")
     mean = F.try_divide("_sum", there)
-    between = F.greatest(F.col("_means") - F.col("_sum") * mean, F.lit(0.0))
+    between = F.aggregate("_days", F.lit(0.0), lambda a, d: a + F.coalesce((d["mean"] - F.col("_mean")) * (d["mean"] - F.col("_mean")) * d["n"], F.lit(0.0)))
+    sums = sums.withColumn("_mean", mean)  # the days' means, a number a day, meet the whole mean: squares of large values are never subtracted
     std = F.sqrt(F.when(there > 1, (F.col("_in") + between) / (there - 1)))
     at = lambda q: F.when(there > 0, F.kll_sketch_get_quantile_double("_ranks", F.lit(q)))
     return sums.select(
