@@ -6,7 +6,7 @@ can be met without one of them. Of the templates found, all words vote for the p
 votes within ``SLACK`` words of each other add up, so that words may be put in or left out. Where the votes reach the
 threshold, one of the template's mandatory key phrases must stand near them, and its label is added; where a label names a
 version, one of its version phrases must, else the template's plain label is added. Base phrases are counted at every place
-and always label. Plans do not grow with the index.
+and always label. The plan of the first pass names the index's words and phrases once; after it, the index is tables.
 
 Null and empty texts have no words; repeated rows are scanned one by one; very long texts are scanned whole, their hits in
 many rows; templates that reach the same votes all label; other columns of the input are ignored, whatever their names; an

@@ -36,9 +36,8 @@ SLICE = 250
 TAIL = ".,;:!?#$%&*|<>"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Codes of characters without a piece start here.
-_BARE = 1 << 16
-_CODES = 1 << 22
+#: Code points, which follow the pieces where codes name either.
+_POINTS = 0x110000
 _INFINITE = float("inf")
 #: Fixed value: what an unknown character costs beyond the dearest piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
@@ -174,9 +173,14 @@ class Model:
         ]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        if self.normalise.squeeze:
-            return text.lstrip(" ")
+        found = list(map(self.table.__getitem__, ids.tolist()))
+        if self.normalise.squeeze:  # spaces before the text go; those around an unknown piece are its own
+            for n, piece in enumerate(ids.tolist()):
+                found[n] = found[n] if self.pieces[piece][2] == UNKNOWN else found[n].lstrip(b" ")
+                if found[n]:
+                    break
+            return b"".join(found).decode("utf-8", "replace")
+        text = b"".join(found).decode("utf-8", "replace")
         return text.removeprefix(" ") if self.prefix else text
 
 
@@ -186,8 +190,12 @@ class Transducer(Model):
         pieces, kind = self.pieces, self.kind
         if kind not in (UNIGRAM, BPE) or kind == BPE and any(k == UNUSED for _, _, k in pieces):
             raise ValueError("a unigram model, or a BPE model without unused pieces, is needed")
-        if len(pieces) > _BARE:
-            raise ValueError("ids are stored in two bytes")
+        #: ids take two bytes where the model has no more pieces than these can tell apart, else four
+        self.letter = "H" if len(pieces) <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.letter == "H" else "<u4")
+        #: codes of characters without a piece start here
+        self.bare = max(1 << 16, len(pieces))
+        self.codes = self.bare + _POINTS
         self.bpe = kind == BPE
         user = [p for p, _, k in pieces if k == USER]
         self.names = [p for p, _, _ in pieces]
@@ -225,7 +233,7 @@ class Transducer(Model):
     # pieces that may stand beside each other ---------------------------------------------------------------------
 
     def _name(self, code: int) -> str:
-        return self.names[code] if code < _BARE else chr(code - _BARE)
+        return self.names[code] if code < self.bare else chr(code - self.bare)
 
     def _merges(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """The symbols that merging leaves, and after each merge its score and the first and last symbol then."""
@@ -249,7 +257,7 @@ class Transducer(Model):
     def _may_follow(self, pair: int) -> bool:
         """Whether merging both pieces' characters never joins the two: at each moment the best merge goes first, the
         leftmost of equals."""
-        a, b = divmod(pair, _CODES)
+        a, b = divmod(pair, self.codes)
         left, right = self.derived[a], self.derived[b]
         i = j = 0
         last, first = self._name(a)[-1], self._name(b)[0]
@@ -273,12 +281,13 @@ class Transducer(Model):
     def _shortest(self, text: str) -> bytes:
         """Ids of the shortest path through the composition of a segment with the trie, place after place."""
         root, costs, pairs, bpe, longest = self.trie[0], self.costs, self.pairs, self.bpe, self.longest
+        bare, codes = self.bare, self.codes
         n = len(text)
         cost, last, since = [0.0] + [_INFINITE] * n, [-1] * (n + 1), [0] * (n + 1)
         for at, base in enumerate(cost):
             if base == _INFINITE or at == n:
                 continue
-            state = last[at] * _CODES
+            state = last[at] * codes
             children, end, alone = root, at, True
             for ch in text[at : at + longest]:
                 if ch not in children:
@@ -293,7 +302,7 @@ class Transducer(Model):
                 if base + costs[piece] < cost[end]:
                     cost[end], last[end], since[end] = base + costs[piece], piece, at
             if alone:  # a character that is no piece
-                piece, end = _BARE + ord(text[at]), at + 1
+                piece, end = bare + ord(text[at]), at + 1
                 if bpe and (last[end] >= 0 or at and not pairs[state + piece]):
                     continue
                 if base + self.bare_cost < cost[end]:
@@ -303,12 +312,12 @@ class Transducer(Model):
             path.append(last[end])
             end = since[end]
         path.reverse()
-        if max(path) >= _BARE:
+        if max(path) >= bare:
             path = [i for code in path for i in self._ids_of(code)]
-        return struct.pack(f"<{len(path)}H", *path)
+        return struct.pack(f"<{len(path)}{self.letter}", *path)
 
     def _ids_of(self, code: int) -> list[int]:
-        if code < _BARE:
+        if code < self.bare:
             return [code]
         return [self.byte_ids[b] for b in self._name(code).encode()] if self.byte_ids else [self.unknown]
 
@@ -340,7 +349,7 @@ class Transducer(Model):
         return b"".join(map(self.runs.__getitem__, re.findall(f"{mark}+[^{mark}]*|^[^{mark}]+", text)))
 
     def encode(self, text: str) -> bytes:
-        """Ids, two little-endian bytes each."""
+        """Ids in ``dtype``."""
         if not text:
             return b""
         if len(self.words) + len(self.segments) + len(self.runs) > MEMO_WORDS:
@@ -354,12 +363,12 @@ class Transducer(Model):
         text = self.normalise(text)
         if self.bpe and self.normalise.user:  # symbols never merge with what stands beside them
             parts = enumerate(self.normalise.user.split(text))
-            found = b"".join(struct.pack("<H", self.ids[x]) if n % 2 else self._spans(x) for n, x in parts)
+            found = b"".join(struct.pack(f"<{self.letter}", self.ids[x]) if n % 2 else self._spans(x) for n, x in parts)
         else:
             found = self._spans(text)
         if self.byte_ids:
             return found
-        ids = np.frombuffer(found, "<u2")  # neighbouring unknown characters are one id
+        ids = np.frombuffer(found, self.dtype)  # neighbouring unknown characters are one id
         again = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
         return ids[np.concatenate(([True], ~again))].tobytes() if again.any() else found
 
@@ -384,7 +393,7 @@ def encode_column(docs: DataFrame, model: str) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [np.frombuffer(machine.encode(t), "<u2").astype("<u4").tobytes() for t in texts]
+                ids = [np.frombuffer(machine.encode(t), machine.dtype).astype("<u4").tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(texts, pa.string()), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"]
                 )

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import store
 from .components import components
 
-#: Rules become one CASE expression in every task.
-MOST_RULES = 1000
+#: So many rules become one CASE expression in every task; more of them are a table that urls are joined with.
+FEW_RULES = 200
 _TAG = r"(?is)<{}\b[^>]*>"
 _ATTRIBUTE = r"(?is)(?<![\w-]){}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _UNSEEN = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)"
@@ -59,14 +59,49 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def decide(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Column, Column]:
     """Pattern and verdict of the longest rule that fits; null where none does."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     ordered = sorted(rules, key=lambda r: (-len(r.pattern), r.pattern))
     none = F.lit(None).cast("string")
     chain = lambda value: reduce(lambda rest, r: F.when(r.fits(host, path), value(r)).otherwise(rest), ordered[::-1], none)
     return chain(lambda r: r.pattern), chain(lambda r: r.verdict)
 
 
+def suffixes(host: Column) -> Column:
+    """The host and all domains above it."""
+    names = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
+
+
+def decide_by_table(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (host, path, ...) with ``rule`` and ``ruled``, as ``decide`` gives them, of a table of rules (pattern, verdict) of any size; of
+    rules that repeat a pattern an allow counts.
+
+    Each url asks for its host's domains, then for the beginnings of its path that are as long as some rule of that domain, and those
+    keys meet the rules: no url is compared with the rules of a domain one by one."""
+    name = F.substring_index("pattern", "/", 1)
+    rest = F.when(F.contains("pattern", F.lit("/")), F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 2)")).otherwise("")
+    keyed = rules.groupBy("pattern").agg(F.min("verdict").alias("verdict"))
+    keyed = keyed.select("pattern", "verdict", name.alias("name"), F.concat(F.lit("/"), rest).alias("start"))
+    lengths = keyed.groupBy("name").agg(F.array_sort(F.collect_set(F.length("start"))).alias("lengths"))
+    asked = rows.select("host", "path").distinct()
+    asked = asked.select("host", "path", F.explode(suffixes(F.col("host"))).alias("name")).join(lengths, "name")
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    asked = asked.select("host", "path", "name", F.explode(F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("start"))
+    met = asked.join(keyed, ["name", "start"])
+    best = F.min_by(F.struct(F.col("pattern").alias("rule"), F.col("verdict").alias("ruled")), F.struct(-F.length("pattern"), "pattern"))
+    found = met.groupBy("host", "path").agg(best.alias("_b")).select("host", "path", "_b.rule", "_b.ruled")
+    return rows.join(found, ["host", "path"], "left")
+
+
+def judged(rows: DataFrame, rules: list[UrlRule] | DataFrame) -> DataFrame:
+    """``rows`` (host, path, ...) with ``rule`` and ``ruled``: few rules in the plan, many as a table."""
+    if isinstance(rules, DataFrame):
+        return decide_by_table(rows, rules)
+    if len(rules) > FEW_RULES:
+        return decide_by_table(rows, rows.sparkSession.createDataFrame([(r.pattern, r.verdict) for r in rules], "pattern string, verdict string"))
+    rule, verdict = decide(F.col("host"), F.col("path"), rules)
+    return rows.withColumns({"rule": rule, "ruled": verdict})
+
+
 def _without_dots(path: Column) -> Column:
     """A path with its ``.`` and ``..`` segments resolved; others are not looked at."""
     parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
@@ -142,12 +177,12 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return found.where("src is not null and dst is not null and src <> dst")
 
 
-def alias_verdicts(edges: DataFrame, rules: list[UrlRule]) -> DataFrame:
+def alias_verdicts(edges: DataFrame, rules: list[UrlRule] | DataFrame) -> DataFrame:
     """(node, alias_verdict, component) of every url on an edge."""
     members = store.materialize(components(edges, "src", "dst"), "url-components")
     host, path = split_url(F.col("node"))
-    judged = members.select("component", decide(host, path, rules)[1].alias("v"))
-    per = judged.groupBy("component").agg(
+    split = members.select("component", host.alias("host"), path.alias("path"))
+    per = judged(split, rules).select("component", F.col("ruled").alias("v")).groupBy("component").agg(
         F.coalesce(F.bool_or(F.col("v") == "allow"), F.lit(False)).alias("allowed"),
         F.coalesce(F.bool_or(F.col("v") == "block"), F.lit(False)).alias("blocked"),
     )
@@ -156,8 +191,9 @@ def alias_verdicts(edges: DataFrame, rules: list[UrlRule]) -> DataFrame:
     return store.materialize(members.join(verdicts, "component"), "url-aliases")
 
 
-def filter_urls(pages: DataFrame, rules: list[UrlRule], redirects: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict. ``redirects``: more (src, dst) urls, such as those of HTTP answers."""
+def filter_urls(pages: DataFrame, rules: list[UrlRule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict. ``rules``: a list, or a table (pattern, verdict). ``redirects``: more (src, dst) urls, such as
+    those of HTTP answers."""
     edges = page_edges(pages)
     if redirects is not None:
         more = redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))
@@ -165,14 +201,13 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], redirects: DataFrame | N
     edges = store.materialize(edges.distinct(), "url-edges")
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    rule, verdict = decide(F.col("host"), F.col("path"), rules)
-    judged = split.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+    ruled = judged(split, rules)
     if edges.isEmpty():
-        final = judged.withColumn("verdict", F.coalesce("ruled", F.lit("allow")))
+        final = ruled.withColumn("verdict", F.coalesce("ruled", F.lit("allow")))
     else:
         aliases = alias_verdicts(edges, rules).select("node", "alias_verdict")
         final = (
-            judged.withColumn("node", node_of(F.col("url")))
+            ruled.withColumn("node", node_of(F.col("url")))
             .join(aliases, "node", "left")
             .withColumn("verdict", F.coalesce("ruled", "alias_verdict", F.lit("allow")))
         )
