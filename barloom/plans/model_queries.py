@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barloom.functions import indicators
-from barloom.operators import lake, learning, predictions, scoring, walkforward
+from barloom.operators import attribution, lake, learning, predictions, scoring, walkforward
 from barloom.plans.learning_queries import _WINDOWS
 from barloom.plans.market_queries import WITH, rounded
 from barloom.plans.registry import register
@@ -122,3 +122,21 @@ def feature_skew(spark, sf_dir):
     asked = rows.select("ticker", "date", *FEATURES[:3], F.col("volume_ratio").cast("float").alias("volume_ratio"), F.col("i").alias("row_number"))
     models = registry.select("model_id", F.col("trained_on").alias("model_trained_on"))
     return scoring.skew(asked, registry).join(models, "model_id").drop("model_id")
+
+
+@register("prediction_reasons")
+def prediction_reasons(spark, sf_dir):
+    """For each bar that the last model scores, what each feature adds to the margin, and the feature that moved it most."""
+    rows, registry = trained(spark, sf_dir)
+    last = registry.orderBy(F.desc("trained_on")).first()
+    asked = rows.where(F.col("date") > F.lit(last.trained_on)).select("ticker", "date", *FEATURES)
+    made = attribution.attributions(asked, last.path, [f.name for f in last.features], "ticker", "date")
+    return made.join(attribution.reasons(made, 1, "ticker", "date").select("ticker", "date", F.col("feature").alias("most")), ["ticker", "date"])
+
+
+@register("shapley_ranking")
+def shapley_ranking(spark, sf_dir):
+    """The features whose values are largest over all bars, by the last model."""
+    rows, registry = trained(spark, sf_dir)
+    last = registry.orderBy(F.desc("trained_on")).first()
+    return attribution.top_features(attribution.attributions(rows, last.path, [f.name for f in last.features]), 3)
