@@ -98,6 +98,24 @@ def margins(trees: list[list[Leaf]], x: np.ndarray) -> np.ndarray:
     return out
 
 
+def staged(rows: DataFrame, path: str, features: list[str], rounds: list[int], *keep: str) -> DataFrame:
+    """(``keep``, rounds, probability): what the first trees of the model at ``path`` give, for each number of them in ``rounds``."""
+    trees = leaves(rows.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(len(keep) + i).to_numpy(zero_copy_only=False) for i in range(len(features))])
+            total, at = np.zeros(len(x)), 0
+            for n in sorted(rounds):
+                total, at = total + margins(trees[at:n], x), n
+                made = [pa.array(np.full(len(x), n, np.int32)), pa.array(1 / (1 + np.exp(-2 * total)))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, "rounds", "probability"])
+
+    asked = rows.dropna(subset=features).select(*keep, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields[: len(keep)]]
+    return asked.mapInArrow(run, ", ".join([*kept, "rounds int", "probability double"]))
+
+
 def attributions(rows: DataFrame, path: str, features: list[str], *keep: str) -> DataFrame:
     """(``keep``, base, margin, a column ``by_<feature>`` for each feature) of the rows that have all ``features``, in the order in which
     the model at ``path`` was trained on them."""
@@ -111,8 +129,8 @@ def attributions(rows: DataFrame, path: str, features: list[str], *keep: str) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, found)], [*keep, "base", "margin", *names])
 
     asked = rows.dropna(subset=features).select(*keep, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields[: len(keep)])
-    return asked.mapInArrow(run, kept + "".join(f", `{n}` double" for n in ["base", "margin", *names]))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields[: len(keep)]]
+    return asked.mapInArrow(run, ", ".join([*kept, *(f"`{n}` double" for n in ["base", "margin", *names])]))
 
 
 def top_features(attributed: DataFrame, k: int = 10) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.operators import learning
+from barloom.operators import attribution, learning
 from barloom.operators.lake import scratch
 
 Fold = tuple[int, int, int, int]
@@ -111,11 +111,15 @@ def predicted(
     return out.withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
 
 
+def fold_counts(answers: DataFrame, *by: str) -> DataFrame:
+    """Hits and misses of each fold, and of each value of ``by``."""
+    hit = lambda a, p: F.count_if((F.col("actual") == a) & (F.col("prediction") == p))
+    return answers.groupBy(*by, "fold").agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn"))
+
+
 def fold_metrics(answers: DataFrame, *by: str) -> DataFrame:
     """Counts and scores of each fold, and of each value of ``by``."""
-    hit = lambda a, p: F.count_if((F.col("actual") == a) & (F.col("prediction") == p))
-    counts = answers.groupBy(*by, "fold").agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn"))
-    return learning.scores(counts)
+    return learning.scores(fold_counts(answers, *by))
 
 
 def summary(metrics: DataFrame, *by: str) -> DataFrame:
@@ -126,15 +130,44 @@ def summary(metrics: DataFrame, *by: str) -> DataFrame:
 
 
 def grid_search(
-    numbered: DataFrame, features: list[str], label: str, folds: list[Fold], grid: dict[str, list], settled: str | None = None
+    numbered: DataFrame, features: list[str], label: str, folds: list[Fold], grid: dict[str, list], settled: str | None = None, parallel: int = 4
 ) -> DataFrame:
-    """(params, folds, mean and deviation of the scores, place) of all combinations of ``train_classifier``'s parameters."""
-    tried = []
-    for values in itertools.product(*grid.values()):
-        params = dict(zip(grid, values, strict=True))
-        name = ", ".join(f"{k}={v}" for k, v in params.items())
-        tried.append(predicted(numbered, features, label, folds, settled, **params).withColumn("params", F.lit(name)))
-    scores = summary(fold_metrics(reduce(DataFrame.unionByName, tried), "params"), "params")
+    """(params, folds, mean and deviation of the scores, place) of all combinations of ``train_classifier``'s parameters.
+
+    Combinations that differ in ``rounds`` only share their fits: the trees of few rounds are the first ones of more. ``parallel`` of the
+    fits, which all read the one prepared table, run side by side; each is saved, and its test rows are scored where they lie."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    spark = numbered.sparkSession
+    folder = f"{scratch(spark)}/grid/{uuid.uuid4().hex}"
+    rounds = sorted(set(grid.get("rounds", [10])))
+    others = {k: v for k, v in grid.items() if k != "rounds"}
+    combinations = [dict(zip(others, values, strict=True)) for values in itertools.product(*others.values())]
+    rows = numbered.where(F.col(label).isNotNull())
+
+    def tried(job: tuple[int, int]) -> DataFrame | None:
+        k, n = job
+        params, part = combinations[k], None
+        for fit in fits(numbered, features, label, [folds[n]], settled, rounds=rounds[-1], **params):
+            path = f"{folder}/{k}-{n}"
+            fit.model.write().save(path)
+            asked = rows.where(_between(*fit.span[2:])).withColumn("actual", F.col(label).cast("int"))
+            part = attribution.staged(asked, path, features, rounds, "actual").withColumn("fold", F.lit(n))
+        if part is None:
+            return None
+        name = F.concat_ws(", ", *[F.concat(F.lit(f"{g}="), F.col("rounds").cast("string")) if g == "rounds" else F.lit(f"{g}={params[g]}") for g in grid])
+        hit = part.withColumns({"params": name, "prediction": (F.col("probability") >= 0.5).cast("int")})
+        # counts only, now: a plan of all rows of all fits would be read again for each of them
+        found = fold_counts(hit, "params").collect()  # a row a combination and fold
+        return spark.createDataFrame(found, "params string, fold int, tp long, fp long, fn long, tn long")
+
+    jobs = list(itertools.product(range(len(combinations)), range(len(folds))))
+    with ThreadPool(max(1, min(parallel, len(jobs)))) as pool:
+        parts = [p for p in pool.map(inheritable_thread_target(spark)(tried), jobs) if p is not None]
+    none = spark.createDataFrame([], "params string, fold int, tp long, fp long, fn long, tn long")
+    scores = summary(learning.scores(reduce(DataFrame.union, parts, none)), "params")
     return scores.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_accuracy"), "params")))
 
 

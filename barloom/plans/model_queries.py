@@ -40,6 +40,15 @@ def parameter_grid(spark, sf_dir):
     return walkforward.grid_search(rows, FEATURES, "y", folds, {"depth": [1, 2], "rounds": [2], "rate": [0.1, 0.5]}, "settled")
 
 
+@register("full_grid")
+def full_grid(spark, sf_dir):
+    """All 81 combinations of three depths, rounds, rates and shares over purged folds; the 27 that differ in more than rounds are fitted."""
+    rows = _numbered(spark, sf_dir)
+    folds = walkforward.purged_folds(rows, train=1000, test=700)
+    grid = {"depth": [1, 2, 3], "rounds": [1, 2, 3], "rate": [0.05, 0.1, 0.3], "share": [0.6, 0.8, 1.0]}
+    return walkforward.grid_search(rows, FEATURES, "y", folds, grid, "settled")
+
+
 @register("retraining_backtest")
 def retraining_backtest(spark, sf_dir):
     """Every date after the first 1000 predicted by a model that knows only dates before it."""

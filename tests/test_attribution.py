@@ -67,7 +67,7 @@ def test_rankings(spark, model):
     made = attribution.attributions(frame, path, ["a", "b", "c"], "id")
     rows = made.toPandas()
     sizes = {c: rows[f"by_{c}"].abs().mean() for c in "abc"}
-    top = attribution.top_features(made, 2).orderBy("place").collect()
+    top = attribution.top_features(attribution.attributions(frame, path, ["a", "b", "c"]), 2).orderBy("place").collect()
     assert [r.feature for r in top] == sorted(sizes, key=lambda c: -sizes[c])[:2] and top[0].mean_size == pytest.approx(max(sizes.values()))
     first = {r.id: r for r in attribution.reasons(made, 1, "id").collect()}
     for r in rows.itertuples():
@@ -77,3 +77,22 @@ def test_rankings(spark, model):
 
 def test_a_tree_of_one_leaf():
     assert attribution.shapley([[attribution.Leaf(2.0, (), (), (), ())]], np.ones((3, 2))).tolist() == [[0, 0]] * 3
+
+
+def test_grid_shares_fits_by_rounds(spark):
+    import datetime as dt
+
+    from barloom.operators import walkforward
+
+    day = dt.date(2020, 1, 1)
+    rows = [(t, day + dt.timedelta(i), int((i * 7 + k) % 5 < 2 or i % 9 == 0), float((i * 7 + k) % 5), float(i % 3)) for k, t in enumerate("AB") for i in range(120)]
+    numbered = walkforward.by_date(spark.createDataFrame(rows, "ticker string, date date, y int, f double, g double"))
+    folds = [(0, 40, 45, 80), (30, 75, 80, 120)]
+    grid = walkforward.grid_search(numbered, ["f", "g"], "y", folds, {"depth": [1, 2], "rounds": [1, 3], "rate": [0.5]}, parallel=3)
+    got = {r.params: r for r in grid.collect()}
+    assert sorted(got) == sorted(f"depth={d}, rounds={n}, rate=0.5" for d in (1, 2) for n in (1, 3))
+    for params, r in got.items():
+        d, n = int(params[6]), int(params.split("rounds=")[1][0])
+        alone = walkforward.summary(walkforward.fold_metrics(walkforward.predicted(numbered, ["f", "g"], "y", folds, depth=d, rounds=n, rate=0.5))).first()
+        assert (r.folds, r.mean_accuracy, r.std_recall) == (alone.folds, pytest.approx(alone.mean_accuracy), pytest.approx(alone.std_recall)), params
+    assert walkforward.grid_search(numbered, ["f", "g"], "y", [], {"depth": [1]}).collect() == []
