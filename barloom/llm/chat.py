@@ -152,9 +152,11 @@ def turns_of(ids: np.ndarray, mask: np.ndarray, table: list[bytes], marks: tuple
 def read_turns(chunks: DataFrame, vocabulary: str) -> DataFrame:
     """(conv_id, part, seq, n, role, text, trained) of each turn in the chunks; ``n`` is its place in its chunk."""
     schema = "conv_id long, part int, seq long, edge boolean, n long, role string, text string, trained string"
+    # as large as the vocabulary; workers that only read need no tokenizer
+    sent = chunks.sparkSession.sparkContext.broadcast((byte_table(vocabulary), marks_of(vocabulary)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, marks = byte_table(vocabulary), marks_of(vocabulary)
+        table, marks = sent.value
         for batch in batches:
             for conv_id, part, seq, edge, ids, mask in zip(*batch.columns, strict=True):
                 found = turns_of(np.frombuffer(ids.as_py(), "<u4"), np.frombuffer(mask.as_py(), "u1"), table, marks)

@@ -606,13 +606,20 @@ def test_pipeline_stages(spark):
         if name == "quality_rules":
             texts = {r.doc_id: r.text for r in before.collect()}
             assert all(not quality_of(texts[r.doc_id])[-1] for r in kept.collect())
+        if name == "language_id":
+            rows = [(r.doc_id, r.text, r.lang) for r in before.collect()]
+            train = [(t, lang) for i, t, lang in rows if lang is not None and zlib.crc32(str(i).encode()) % 5]
+            told = brute_languages(train, [t for _, t, _ in rows])
+            good = [i for (i, _, _), (lang, score) in zip(rows, told, strict=True) if lang != "und" and score >= langid.LEAST_SCORE]
+            assert sorted(r.doc_id for r in kept.collect()) == sorted(good)
         if name == "near_duplicates":
             rows = [(r.doc_id, r.text) for r in before.collect()]
             assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_links(rows, 5, 80)})
     ids = {r.doc_id for r in kept.collect()}
-    packed = corpus_pipeline.run(spark, SF).toPandas()
-    assert set(packed.doc_id) == ids
-    assert packed.sequence_id.nunique() >= math.ceil(packed.length.sum() / 2048)
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in packed} == ids
+    check_packed(packed, [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()])
+    assert len({r.sequence_id for r in packed}) >= math.ceil(sum(r.length for r in packed) / 2048)
 
 
 def test_pipeline_of_odd_documents(spark):
