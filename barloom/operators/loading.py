@@ -101,11 +101,31 @@ def newest(history: DataFrame, on: str, *ties: str, k: int = 20) -> DataFrame:
     return history.orderBy(F.desc(on), *ties).limit(k)
 
 
+def walks_of(bars: DataFrame) -> DataFrame:
+    """(market, ticker, id, first, drift, spread, size) of each ticker's bars: its last close, mean and deviation of its log returns, and mean
+    log volume, from which walks like its own go on."""
+    step = F.ln(F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("date")))
+    rows = bars.withColumn("_step", step)
+    return rows.groupBy("market", "ticker").agg(
+        F.max_by("close", "date").alias("first"), F.coalesce(F.avg("_step"), F.lit(0.0)).alias("drift"),
+        F.coalesce(F.stddev_samp("_step"), F.lit(0.015)).alias("spread"), F.avg(F.ln(F.greatest("volume", F.lit(1.0)))).alias("size"),
+    ).withColumn("id", F.xxhash64("ticker"))
+
+
 def synthetic_bars(spark: SparkSession, tickers: int, days: int, start: str = "2020-01-01", seed: int = 42) -> DataFrame:
-    """Bars of geometric random walks on weekdays: drift, overnight gaps, log-normal volumes. A ticker has its own seed's
-    numbers, each row's from its hash, so they do not change with partitions."""
+    """Bars of ``tickers`` walks of usual drift, spread and volume."""
+    ids, ticker = F.col("id"), F.concat(F.lit("T"), F.lpad(F.col("id").cast("string"), 6, "0"))
+    first = F.lit(20.0) + F.pmod(F.xxhash64(ids, F.lit(seed)), F.lit(180))
+    usual = {"drift": 0.0003, "spread": 0.015, "size": 13.0}
+    walks = spark.range(tickers).select(F.lit("us").alias("market"), ticker.alias("ticker"), "id", first.alias("first"), *[F.lit(v).alias(k) for k, v in usual.items()])
+    return walk_on(walks, days, start, seed)
+
+
+def walk_on(walks: DataFrame, days: int, start: str = "2020-01-01", seed: int = 42) -> DataFrame:
+    """Bars of geometric random walks (see ``walks_of``) on weekdays: drift, overnight gaps, log-normal volumes. A ticker has its own
+    seed's numbers, each row's from its hash, so they do not change with partitions."""
     length = F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("d")
-    grid = spark.range(tickers).select("id", length).withColumn("date", F.date_add(F.lit(start).cast("date"), F.col("d")))
+    grid = walks.select("*", length).withColumn("date", F.date_add(F.lit(start).cast("date"), F.col("d")))
     rows = grid.where(F.weekday("date") < 5)
 
     def uniform(k: int) -> Column:
@@ -114,15 +134,14 @@ def synthetic_bars(spark: SparkSession, tickers: int, days: int, start: str = "2
     def normal(k: int) -> Column:
         return F.sqrt(-2 * F.log(uniform(k))) * F.cos(2 * math.pi * uniform(k + 1))
 
-    rows = rows.withColumns({"_gap": normal(0) * 0.005, "_step": F.lit(0.0003) + normal(2) * 0.015, "_wick": F.abs(normal(4)) * 0.004})
+    rows = rows.withColumns({"_gap": normal(0) * 0.005, "_step": F.col("drift") + normal(2) * F.col("spread"), "_wick": F.abs(normal(4)) * 0.004})
     by = Window.partitionBy("id").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.lit(20.0) + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(180))
-    rows = rows.withColumn("close", first * F.exp(F.sum(F.col("_gap") + F.col("_step")).over(by)))
+    rows = rows.withColumn("close", F.col("first") * F.exp(F.sum(F.col("_gap") + F.col("_step")).over(by)))
     rows = rows.withColumn("open", F.col("close") / F.exp("_step"))
     return rows.select(
-        F.lit("us").alias("market"), F.concat(F.lit("T"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("ticker"), "date", "open",
+        "market", "ticker", "date", "open",
         (F.greatest("open", "close") * (1 + F.col("_wick"))).alias("high"), (F.least("open", "close") * (1 - F.col("_wick"))).alias("low"),
-        "close", F.floor(F.exp(13 + normal(6) * 0.5)).cast("double").alias("volume"),
+        "close", F.floor(F.exp(F.col("size") + normal(6) * 0.5)).cast("double").alias("volume"),
     )
 
 

@@ -24,28 +24,60 @@ def _calendar(spark, sf_dir):
     return calendar.sessions(markets, first, last, years.select("market", off.alias("date")))
 
 
-@register("session_calendar", f"WITH {_SESSIONS} SELECT * FROM ses")
+_OWN = """own AS (SELECT market, CAST(d AS DATE) AS date, isodow(d) < 6 AND strftime(d, '%m-%d') NOT IN ('01-01', '12-25') AS is_session
+  FROM (SELECT market, unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP) + INTERVAL 7 DAY, INTERVAL 1 DAY)) AS d FROM bars GROUP BY market))"""
+
+
+def _own_calendar(b):
+    """The calendar of each market from its first bar to a week after its last one."""
+    spans = b.groupBy("market").agg(F.min("date").alias("a"), F.date_add(F.max("date"), 7).alias("b"))
+    years = spans.select("market", F.explode(F.sequence(F.year("a"), F.year("b"))).alias("y"))
+    off = F.explode(F.array(F.make_date("y", F.lit(1), F.lit(1)), F.make_date("y", F.lit(12), F.lit(25))))
+    return calendar.sessions(spans, F.col("a"), F.col("b"), years.select("market", off.alias("date")))
+
+
+@register(
+    "session_calendar",
+    f"""{WITH}, {_OWN} SELECT o.market, o.date, is_session, count(b.ticker) AS n_bars FROM own o LEFT JOIN bars b ON b.market = o.market AND b.date = o.date
+    GROUP BY o.market, o.date, is_session""",
+)
 def session_calendar(spark, sf_dir):
-    return _calendar(spark, sf_dir)
+    """Each market's days with the bars that fell on them."""
+    b = bars(spark, sf_dir)
+    counts = b.groupBy("market", "date").agg(F.count("*").alias("n_bars"))
+    return _own_calendar(b).join(counts, ["market", "date"], "left").withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
 
 
 @register(
     "next_sessions",
-    f"""WITH {_SESSIONS} SELECT a.market, a.date, min(b.date) AS next_session FROM ses a LEFT JOIN ses b
-    ON a.market = b.market AND b.is_session AND b.date > a.date AND b.date <= a.date + 7 GROUP BY a.market, a.date""",
+    f"""{WITH}, {_OWN}, n AS (SELECT a.market, a.date, min(b.date) AS next_session FROM own a LEFT JOIN own b
+      ON a.market = b.market AND b.is_session AND b.date > a.date AND b.date <= a.date + 7 GROUP BY a.market, a.date)
+    SELECT ticker, date, next_session FROM bars JOIN n USING (market, date)""",
 )
 def next_sessions(spark, sf_dir):
-    return calendar.next_session(_calendar(spark, sf_dir)).select("market", "date", "next_session")
+    """Every bar with the session on which its signal could be traded."""
+    b = bars(spark, sf_dir)
+    return b.join(calendar.next_session(_own_calendar(b)), ["market", "date"]).select("ticker", "date", "next_session")
 
 
 @register(
     "session_counts",
-    f"""WITH {_SESSIONS} SELECT market, count(*) FILTER (is_session AND date BETWEEN DATE '1996-02-01' AND DATE '1997-01-31') AS sessions,
-      max(date) FILTER (is_session AND date <= DATE '1996-12-25') AS last_session FROM ses GROUP BY market""",
+    f"""{WITH}, {_OWN}, t AS (SELECT market, ticker, min(date) AS a, max(date) AS z FROM bars GROUP BY market, ticker),
+    c AS (SELECT market, date, sum(is_session::INT) OVER (PARTITION BY market ORDER BY date) AS k FROM own)
+    SELECT t.ticker, CAST(z.k - a.k + (SELECT is_session::INT FROM own o WHERE o.market = t.market AND o.date = t.a) AS BIGINT) AS sessions,
+      (SELECT count(*) FROM bars b JOIN own o USING (market, date) WHERE b.ticker = t.ticker AND o.is_session) AS traded
+    FROM t JOIN c a ON a.market = t.market AND a.date = t.a JOIN c z ON z.market = t.market AND z.date = t.z""",
 )
 def session_counts(spark, sf_dir):
-    c = _calendar(spark, sf_dir)
-    return calendar.between(c, "1996-02-01", "1997-01-31").join(calendar.last_session(c, "1996-12-25"), "market")
+    """Sessions between each ticker's first and last bar, and those with a bar."""
+    b = bars(spark, sf_dir)
+    c = _own_calendar(b)
+    numbered = c.withColumn("_k", F.sum(F.col("is_session").cast("int")).over(columns.Window.partitionBy("market").orderBy("date")))  # a row a day
+    days = b.join(numbered, ["market", "date"])
+    first, last = (f(F.struct("_k", "is_session"), "date") for f in (F.min_by, F.max_by))
+    out = days.groupBy("ticker").agg(first.alias("a"), last.alias("z"), F.count_if("is_session").alias("traded"))
+    sessions = F.col("z._k") - F.col("a._k") + F.col("a.is_session").cast("int")
+    return out.select("ticker", sessions.cast("long").alias("sessions"), "traded")
 
 
 @register(
@@ -142,8 +174,8 @@ def update_history(spark, sf_dir):
 
 @register("synthetic_bars")
 def synthetic_bars(spark, sf_dir):
-    """A year of random bars for each supplier."""
-    return loading.synthetic_bars(spark, table(spark, sf_dir, "supplier").count(), 365)
+    """A year of random bars of each ticker, with the drift, spread and volume of its own bars."""
+    return loading.walk_on(loading.walks_of(bars(spark, sf_dir)), 365)
 
 
 @register(

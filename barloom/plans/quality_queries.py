@@ -161,8 +161,9 @@ _DRIFT_SQL = " UNION ALL ".join(
     FROM l WHERE baseline <> 0""",
 )
 def drift(spark, sf_dir):
-    b, cut = bars(spark, sf_dir), F.lit("1998-06-01").cast("date")
-    old, new = (validation.profile(b.where(c), _PROFILE) for c in (F.col("date") < cut, F.col("date") >= cut))
+    sides = bars(spark, sf_dir).withColumn("late", F.col("date") >= F.lit("1998-06-01").cast("date"))
+    both = validation.summary(sides, _PROFILE, "late")
+    old, new = (both.where(c).drop("late") for c in (~F.col("late"), F.col("late")))
     return rounded(validation.drift(new, old), "current", "baseline", "change")
 
 
