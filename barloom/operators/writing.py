@@ -59,6 +59,15 @@ def typed(frame: DataFrame, schema: str) -> DataFrame:
     return frame.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(cols, fields, strict=True)])
 
 
+def write_silver(table: LakeTable, rows: DataFrame, schema: str) -> int | None:
+    """Rows with the columns of ``schema``, absent ones null, merged by the table's keys; rows without a whole key are left out; None, and no
+    version, where nothing remains."""
+    ready = typed(rows, schema).dropna(subset=table.keys)
+    if ready.isEmpty():
+        return None
+    return table.upsert(ready)
+
+
 def lower_names(frame: DataFrame) -> DataFrame:
     return frame.toDF(*[c.lower() for c in frame.columns])
 

@@ -172,3 +172,16 @@ def test_a_stream_merges_its_batches(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     assert {(r.k, r.x) for r in t.read().collect()} == {(0, 0), (1, 1), (2, 2), (9, 2)} and t.version() == 2
+
+
+def test_silver_rows_are_filled_and_merged(spark, tmp_path):
+    from barloom.operators import writing
+
+    t = lake.LakeTable(spark, f"file://{tmp_path}/t", ["article_id", "day"], "day")
+    schema = "article_id string, day string, score double, note string"
+    first = spark.createDataFrame([("a", "1", "0.5", 7), ("b", "1", "x", 8), (None, "1", "1", 9)], "article_id string, day string, score string, more int")
+    first = first.withColumn("score", F.col("score").try_cast("double"))
+    assert writing.write_silver(t, first, schema) == 0 and writing.write_silver(t, first.limit(0), schema) is None
+    writing.write_silver(t, spark.createDataFrame([("a", "1", 0.9, "n")], schema), schema)
+    assert {(r.article_id, r.score, r.note) for r in t.read().collect()} == {("a", 0.9, "n"), ("b", None, None)}
+    assert t.read().columns == ["article_id", "day", "score", "note"]
