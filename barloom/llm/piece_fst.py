@@ -175,7 +175,7 @@ class Model:
     def decode(self, ids: np.ndarray) -> str:
         found = list(map(self.table.__getitem__, ids.tolist()))
         if self.normalise.squeeze:  # spaces before the text go; those around an unknown piece are its own
-            for n, piece in enumerate(ids.tolist()):
+            for n, piece in enumerate(ids):
                 found[n] = found[n] if self.pieces[piece][2] == UNKNOWN else found[n].lstrip(b" ")
                 if found[n]:
                     break
