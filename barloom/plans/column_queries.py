@@ -100,13 +100,13 @@ def redacted_json(spark, sf_dir):
 
 @register(
     "tolerant_json",
-    """SELECT event_id, CASE WHEN event_id % 3 > 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_id % 3 > 0 AS whole FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 3 > 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k, event_id % 3 > 0 AS whole FROM events""",
 )
 def tolerant_json(spark, sf_dir):
     """Properties read as a record; texts that are cut off give nulls."""
     cut = F.when(F.col("event_id") % 3 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
     rows = table(spark, sf_dir, "events").select("event_id", cut.alias("props"))
-    return rows.select("event_id", texts.tolerant_json("props", "k long").k.alias("k"), F.try_parse_json("props").isNotNull().alias("whole"))
+    return rows.select("event_id", texts.tolerant_json("props", "k long").k.cast("double").alias("k"), F.try_parse_json("props").isNotNull().alias("whole"))
 
 
 _MACRO = [*enrich.MACRO, "vix_change_5d", "dxy_change_5d", "yield_curve_slope"]

@@ -62,7 +62,7 @@ def listing_posts(spark, sf_dir):
     s AS (SELECT ticker, date, close / ma - 1 AS d, volume FROM m WHERE abs((close - ma) / ma) >= 0.5),
     x AS (SELECT ticker, date, 'sma_distance' AS signal_type, CASE WHEN year(date) >= 1999 THEN 'HOLD' WHEN d > 0 THEN 'BUY' ELSE 'SELL' END AS action,
       CASE WHEN year(date) >= 1999 THEN 1 WHEN d > 0 THEN 70 ELSE 60 END AS confidence,
-      CASE WHEN year(date) < 1999 THEN round(d, 4) END AS distance, CASE WHEN year(date) >= 1999 THEN CAST(volume AS BIGINT) END AS revised FROM s)
+      CASE WHEN year(date) < 1999 THEN round(d, 4) END AS distance, CASE WHEN year(date) >= 1999 THEN CAST(volume AS DOUBLE) END AS revised FROM s)
     SELECT *, strftime(date, '%Y-%m') AS month FROM x""",
 )
 def signal_history(spark, sf_dir):
@@ -73,7 +73,7 @@ def signal_history(spark, sf_dir):
     history.save(store, made)
     late = made.where("year(date) >= 1999").join(b.select("ticker", "date", "volume"), ["ticker", "date"])
     history.save(store, late.select("ticker", "date", "signal_type", F.lit("HOLD").alias("action"), F.lit(1.0).alias("confidence"), F.col("volume").cast("long").alias("revised")))
-    out = history.load(store, distance="double", revised="long").withColumn("month", F.date_format("date", "yyyy-MM"))
+    out = history.load(store, distance="double", revised="double").withColumn("month", F.date_format("date", "yyyy-MM"))
     return out.drop("reasoning")
 
 
