@@ -118,7 +118,11 @@ class FeatureStore:
         z_scores: Sequence[str] = (),
     ) -> DataFrame:
         """Rows between two dates in order, of tickers whose series has enough rows by then, with close, volume, rsi and macd; ``date`` is a
-        timestamp, as learning frames want it. An empty folder gives no rows."""
+        timestamp, as learning frames want it. Where nothing is stored yet, no rows of the same names."""
+        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+            columns = names or [c for c in self._graph(None)[1] if c not in ewm.STATES]
+            return self.spark.createDataFrame([], "ticker string, date timestamp" + "".join(f", `{c}` double" for c in columns))
         rows = self.read(start[:7], end[:7]).drop("month_of", *ewm.STATES)
         rows = rows.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
         if tickers is not None:

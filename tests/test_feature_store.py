@@ -132,6 +132,8 @@ def test_load_and_cache(spark, tmp_path):
     assert {r.ticker for r in rows} == {"T1"} and dict(got.dtypes)["date"] == "timestamp" and [r.date for r in rows] == sorted(r.date for r in rows)
     assert {(r.news_count, r.vix) for r in rows} == {(0, 0.0)}
     assert store.load("1990-01-01", "1990-12-31").collect() == []
+    none = feature_store.FeatureStore(spark, f"file://{tmp_path}/none").load("2020-01-01", "2020-02-01", names=["rsi_14"])
+    assert none.collect() == [] and none.columns == ["ticker", "date", "rsi_14"] and dict(none.dtypes)["date"] == "timestamp"
     calls = []
     cache = feature_store.Cached(spark, f"file://{tmp_path}/c")
     make = lambda n: calls.append(n) or spark.range(n)
