@@ -148,16 +148,16 @@ def frame_hash(spark, sf_dir):
 )
 def gated_upsert(spark, sf_dir):
     """Bars written, newer ones doubled and merged; a batch that breaks a rule and one without closes are refused."""
-    b = bars(spark, sf_dir).select("ticker", "date", "close", "volume", F.year("date").alias("year"))
-    keys = [*writing.keys_of("bronze/us"), "year"]
+    b = bars(spark, sf_dir).select("market", "ticker", "date", "close", "volume", F.year("date").alias("year"))
+    keys = ["market", *writing.keys_of("bronze/us"), "year"]  # a ticker is one series of each market that has it
     t = lake.LakeTable(spark, f"{lake.scratch(spark)}/gated/{uuid.uuid4().hex}", keys, "year")
     rules = {n: r for n, r in validation.PRICE_RULES.items() if n in ("close_positive", "volume_not_negative")}
     for rows in (
         b, b.where("year >= 1998").withColumn("close", F.col("close") * 2), b.withColumn("close", -F.col("close")),
         b.withColumn("close", F.lit(None).cast("double")),
     ):
-        writing.gated_upsert(t, rows, ["ticker", "date", "close"], rules, ["ticker", "date"])
-    return rounded(t.read().drop("year"), "close")
+        writing.gated_upsert(t, rows, ["ticker", "date", "close"], rules, ["market", "ticker", "date"])
+    return rounded(t.read().drop("year", "market"), "close")
 
 
 @register(
