@@ -10,7 +10,7 @@ from barloom.sources.bars import bars
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose SQL orders no rows that tie where a ticker is traded in more than one market.
-NAMES = ["asof_filings", "average_ranks", "bronze_day", "browse_latest", "calendar_features", "gated_upsert"]
+NAMES = ["asof_filings", "average_ranks", "bronze_day", "browse_latest", "calendar_features", "gated_upsert", "prediction_store"]
 
 
 @pytest.fixture(scope="module")
