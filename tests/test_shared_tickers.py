@@ -43,3 +43,14 @@ def test_one_bar_of_a_market_ticker_and_date(spark, shared):
     rows = bars(spark, shared[0]).toPandas()
     assert len(rows) and not rows.duplicated(["market", "ticker", "date"]).any()
     assert rows.duplicated(["ticker", "date"]).any()
+
+
+def test_scores_and_answers_keep_each_market_s_row(spark):
+    from barloom.operators import scoring, walkforward
+
+    rows = spark.range(60).selectExpr(
+        "cast(id div 2 as int) as i", "date_add(date'2020-01-01', cast(id div 2 as int)) as date", "'A' as ticker", "concat('m', id % 2) as market",
+        "cast(id % 3 as int) % 2 as y", "cast(id * 7 % 11 as double) as x",
+    )
+    assert walkforward.predicted(rows, ["x"], "y", [(0, 20, 20, 30)], depth=1, rounds=1).count() == 20
+    assert "market" in scoring.score(rows, spark.createDataFrame([], scoring.REGISTRY)).columns
