@@ -1,9 +1,9 @@
 """Exponentially weighted means without a worker process, in one pass for any number of them.
 
 A mean is a recursion ``y = keep * y + ...``, so what a stretch of rows does to it is one affine map. A series is cut into
-stretches of days that are dealt to tasks apart; sums over a stretch give its map, the maps of a series (a few numbers a stretch)
-are composed in order, and each row takes the state that its stretch began with. A row a key and day; keys are not null; nulls
-do not age a mean, which stays what it was.
+stretches of days; sums over a stretch give its map, the maps of the stretches before a row (a few numbers a stretch)
+are composed in order into the state that its stretch began with. All are windows of the series, so rows that lie together by key are not
+shuffled again, and the frame is read once. A row a key and day; keys are not null; nulls do not age a mean, which stays what it was.
 """
 
 from __future__ import annotations
@@ -50,27 +50,35 @@ def means(frame: DataFrame, wanted: list[Mean], key: str = "ticker", on: str = "
     days = min(STRETCH_DAYS, *(int(_PLACES / -math.log10(m.keep)) for m in wanted))
     columns = list(dict.fromkeys(m.column for m in wanted))
     at = {c: n for n, c in enumerate(columns)}
-    so_far = Window.partitionBy(key, "_stretch").orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
+    stretch = Window.partitionBy(key, "_stretch")
+    so_far = stretch.orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
     rows = frame.withColumn("_stretch", F.floor(F.datediff(on, F.lit("1970-01-01").cast("date")) / days))
     rows = rows.withColumns({f"_k{n}": F.count(c).over(so_far) for c, n in at.items()})
     share = lambda m: 1.0 if m.adjust else 1 - m.keep
-    grown = lambda m: F.col(m.column).cast("double") * share(m) * F.pow(F.lit(m.keep), -F.col(f"_k{at[m.column]}"))
-    rows = rows.withColumns({f"_s{i}": F.coalesce(F.sum(grown(m)).over(so_far), F.lit(0.0)) for i, m in enumerate(wanted)})
+    rows = rows.withColumns(
+        {f"_g{i}": F.col(m.column).cast("double") * share(m) * F.pow(F.lit(m.keep), -F.col(f"_k{at[m.column]}")) for i, m in enumerate(wanted)}
+    )
+    rows = rows.withColumns({f"_s{i}": F.coalesce(F.sum(f"_g{i}").over(so_far), F.lit(0.0)) for i in range(len(wanted))})
     shrunk = lambda m, x: F.pow(F.lit(m.keep), F.col(f"_k{at[m.column]}")) * x
 
-    ends = rows.groupBy(key, "_stretch").agg(
-        *[F.max(f"_k{n}").alias(f"k{n}") for n in at.values()],
-        *[F.max_by(shrunk(m, F.col(f"_s{i}")), F.col(on)).alias(f"s{i}") for i, m in enumerate(wanted)],
-        *[F.min_by(F.col(c).cast("double"), F.when(F.col(c).isNotNull(), F.col(on))).alias(f"f{n}") for c, n in at.items()],
+    # the whole stretch's map, on its first row; then each row sees the maps of the stretches before its own
+    whole = stretch.orderBy(on).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = [F.count(c).over(whole).alias(f"k{n}") for c, n in at.items()]
+    ends += [
+        (F.pow(F.lit(m.keep), F.count(m.column).over(whole)) * F.coalesce(F.sum(f"_g{i}").over(whole), F.lit(0.0))).alias(f"s{i}")
+        for i, m in enumerate(wanted)
+    ]
+    rows = rows.withColumn("_map", F.when(F.row_number().over(stretch.orderBy(on)) == 1, F.struct(*ends)))
+    rows = rows.drop(*[f"_g{i}" for i in range(len(wanted))])
+    before = Window.partitionBy(key).orderBy("_stretch").rangeBetween(Window.unboundedPreceding, -1)
+    first = Window.partitionBy(key).orderBy("_stretch", on).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns(
+        {"_maps": F.collect_list("_map").over(before)} | {f"_f{n}": F.first(F.col(c).cast("double"), ignorenulls=True).over(first) for c, n in at.items()}
     )
-    series = Window.partitionBy(key).orderBy("_stretch")  # as many rows as a series has stretches
-    before, up_to = series.rowsBetween(Window.unboundedPreceding, -1), series.rowsBetween(Window.unboundedPreceding, 0)
-    maps = F.collect_list(F.struct(*[f"k{n}" for n in at.values()], *[f"s{i}" for i in range(len(wanted))])).over(before)
-    ends = ends.withColumns({"_maps": maps} | {f"_f{n}": F.first(f"f{n}", ignorenulls=True).over(up_to) for n in at.values()})
 
     if seeds is not None:
         sown = seeds.select(key, *[F.struct(F.col(m.name).alias("y"), F.col(f"{m.name}__n").alias("n")).alias(f"_seed{i}") for i, m in enumerate(wanted)])
-        ends = ends.join(sown, key, "left")
+        rows = rows.join(sown, key, "left")
 
     def seed(i: int, m: Mean) -> Column:
         """What the seed adds up to, and how many values it has; nothing and none without one."""
@@ -80,24 +88,23 @@ def means(frame: DataFrame, wanted: list[Mean], key: str = "ticker", on: str = "
         return F.struct((y * (1 - F.pow(F.lit(m.keep), n)) / (1 - m.keep) if m.adjust else y).alias("y"), n.alias("n"))
 
     def state(i: int, m: Mean) -> Column:
-        first = F.coalesce(seed(i, m)["y"], F.lit(0.0) if m.adjust else F.col(f"_f{at[m.column]}"))
-        return F.aggregate("_maps", first, lambda y, x: F.pow(F.lit(m.keep), x[f"k{at[m.column]}"]) * y + x[f"s{i}"])
+        start = F.coalesce(seed(i, m)["y"], F.lit(0.0) if m.adjust else F.col(f"_f{at[m.column]}"))
+        return F.aggregate("_maps", start, lambda y, x: F.pow(F.lit(m.keep), x[f"k{at[m.column]}"]) * y + x[f"s{i}"])
 
     known = lambda i, m: F.aggregate("_maps", seed(i, m)["n"], lambda a, x: a + x[f"k{at[m.column]}"])
-    starts = ends.select(
-        key, "_stretch", *[state(i, m).alias(f"_y{i}") for i, m in enumerate(wanted)],
-        *[known(i, m).alias(f"_n{i}") for i, m in enumerate(wanted)],
-        *[f"_f{n}" for n in at.values()],
-    )
+    # composed on a stretch's first row only; the others take it from there
+    begun = {f"_y{i}": state(i, m) for i, m in enumerate(wanted)} | {f"_n{i}": known(i, m) for i, m in enumerate(wanted)}
+    rows = rows.withColumns({n: F.when(F.col("_map").isNotNull(), x) for n, x in begun.items()}).drop("_map", "_maps")
+    rows = rows.withColumns({n: F.first(n, ignorenulls=True).over(so_far) for n in begun})
 
     def value(i: int, m: Mean) -> Column:
         count = F.col(f"_k{at[m.column]}") + F.col(f"_n{i}")
-        y = shrunk(m, F.col(f"_y{i}") + F.col(f"_s{i}"))
+        start = F.col(f"_y{i}") if m.adjust else F.coalesce(f"_y{i}", f"_f{at[m.column]}")  # none before the stretch: its own first value
+        y = shrunk(m, start + F.col(f"_s{i}"))
         y = F.try_divide(y * (1 - m.keep), 1 - F.pow(F.lit(m.keep), count)) if m.adjust else y
         return F.when(count >= m.least, F.when(count == 1, F.col(f"_f{at[m.column]}")).otherwise(y))
 
-    joined = rows.join(starts, [key, "_stretch"])
-    return joined.select(*[F.col(f"`{c}`") for c in frame.columns], *[value(i, m).alias(m.name) for i, m in enumerate(wanted)])
+    return rows.select(*[F.col(f"`{c}`") for c in frame.columns], *[value(i, m).alias(m.name) for i, m in enumerate(wanted)])
 
 
 #: Marks rows that are there for what stands behind them only: they carry a seed and age no mean.
