@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.graph import Graph, Step, family
+from barloom.functions.indicators import by_ticker, in_time
 
 STRETCH_DAYS = 512
 #: Decimal places that weights may grow over within a stretch.
@@ -51,7 +52,8 @@ def means(frame: DataFrame, wanted: list[Mean], key: str = "ticker", on: str = "
     columns = list(dict.fromkeys(m.column for m in wanted))
     at = {c: n for n, c in enumerate(columns)}
     stretch = Window.partitionBy(key, "_stretch")
-    so_far = stretch.orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
+    order = in_time(frame, on)
+    so_far = stretch.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = frame.withColumn("_stretch", F.floor(F.datediff(on, F.lit("1970-01-01").cast("date")) / days))
     rows = rows.withColumns({f"_k{n}": F.count(c).over(so_far) for c, n in at.items()})
     share = lambda m: 1.0 if m.adjust else 1 - m.keep
@@ -62,16 +64,16 @@ def means(frame: DataFrame, wanted: list[Mean], key: str = "ticker", on: str = "
     shrunk = lambda m, x: F.pow(F.lit(m.keep), F.col(f"_k{at[m.column]}")) * x
 
     # the whole stretch's map, on its first row; then each row sees the maps of the stretches before its own
-    whole = stretch.orderBy(on).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = stretch.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = [F.count(c).over(whole).alias(f"k{n}") for c, n in at.items()]
     ends += [
         (F.pow(F.lit(m.keep), F.count(m.column).over(whole)) * F.coalesce(F.sum(f"_g{i}").over(whole), F.lit(0.0))).alias(f"s{i}")
         for i, m in enumerate(wanted)
     ]
-    rows = rows.withColumn("_map", F.when(F.row_number().over(stretch.orderBy(on)) == 1, F.struct(*ends)))
+    rows = rows.withColumn("_map", F.when(F.row_number().over(stretch.orderBy(*order)) == 1, F.struct(*ends)))
     rows = rows.drop(*[f"_g{i}" for i in range(len(wanted))])
     before = Window.partitionBy(key).orderBy("_stretch").rangeBetween(Window.unboundedPreceding, -1)
-    first = Window.partitionBy(key).orderBy("_stretch", on).rowsBetween(Window.unboundedPreceding, 0)
+    first = Window.partitionBy(key).orderBy("_stretch", *order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns(
         {"_maps": F.collect_list("_map").over(before)} | {f"_f{n}": F.first(F.col(c).cast("double"), ignorenulls=True).over(first) for c, n in at.items()}
     )
@@ -119,7 +121,7 @@ def unseeded(frame: DataFrame, column: str) -> Column:
 
 def momentum_states(bars: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """rsi_14 (Wilder's means; null where the mean loss is 0), macd, macd_signal, macd_histogram, and the means behind them."""
-    delta = F.col("close") - F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))
+    delta = F.col("close") - F.lag("close").over(by_ticker(bars))
     rows = bars.withColumn("_d", delta)
     known = F.col("_d").isNotNull()
     rows = rows.withColumns(
@@ -172,8 +174,8 @@ def indicator_graph(seeds: DataFrame | None = None) -> Graph:
                 "momentum", prices, ("rsi_14", "macd", "macd_signal", "macd_histogram", *STATES), lambda f: momentum_states(f, seeds),
                 tag("momentum", "means"), rsi,
             ),
-            *family(ind.change, prices, changes, ("returns",)),
-            *family(lambda n: ind.change("close", n) * 100, prices, rates, ("returns",)),
+            *family(lambda c, n: lambda f: ind.change(f, c, n), prices, changes, ("returns",)),
+            *family(lambda n: lambda f: ind.change(f, "close", n) * 100, prices, rates, ("returns",)),
             Step("bollinger", prices, bands, ind.bollinger, tag("bands")),
             Step("ranges", columns, spread, ind.ranges, tag("ranges")),
             Step("volumes", ("ticker", "date", "close", "volume"), ("volume_ma_20", "volume_roc_5", "obv", "volume_ratio"), ind.volumes, tag("volume")),

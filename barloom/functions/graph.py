@@ -19,9 +19,10 @@ class Step(NamedTuple):
     rules: dict[str, str] = {}
 
 
-def family(function: Callable[..., Column], needs: Iterable[str], members: dict[str, tuple], tags: Iterable[str] = ()) -> list[Step]:
-    """A step for each member: the column ``function(*arguments)`` under its name."""
-    one = lambda name, args: lambda frame: frame.withColumn(name, function(*args))
+def family(function: Callable[..., Column | Callable[[DataFrame], Column]], needs: Iterable[str], members: dict[str, tuple], tags: Iterable[str] = ()) -> list[Step]:
+    """A step for each member: the column ``function(*arguments)``, or what that gives of the frame, under its name."""
+    of = lambda made, frame: made(frame) if callable(made) else made
+    one = lambda name, args: lambda frame: frame.withColumn(name, of(function(*args), frame))
     return [Step(name, tuple(needs), (name,), one(name, args), frozenset(tags)) for name, args in members.items()]
 
 

@@ -54,7 +54,7 @@ class DistanceGenerator(Generator):
         self.n, self.least = n, least
 
     def make(self, bars: DataFrame) -> DataFrame:
-        mean = full(F.avg, "close", self.n)
+        mean = full(bars, F.avg, "close", self.n)
         away = bars.withColumn("distance", F.try_divide(F.col("close") - mean, mean)).where(F.abs("distance") >= self.least)
         up = F.col("distance") > 0
         return away.select("ticker", "date", F.when(up, "BUY").otherwise("SELL").alias("action"), F.when(up, 70.0).otherwise(60.0).alias("confidence"), "distance")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.ewm import spans
-from barloom.functions.indicators import by_ticker, full
+from barloom.functions.indicators import by_ticker, full, in_time
 
 FEE, TAX = 0.001425, 0.003
 
@@ -31,8 +31,8 @@ class SmaCross(Strategy):
         self.fast, self.slow = fast, slow
 
     def weights(self, bars: DataFrame) -> DataFrame:
-        rows = bars.withColumns({"_f": full(F.avg, "close", self.fast), "_s": full(F.avg, "close", self.slow)})
-        rows = rows.withColumns({"_pf": F.lag("_f").over(by_ticker()), "_ps": F.lag("_s").over(by_ticker())})
+        rows = bars.withColumns({"_f": full(bars, F.avg, "close", self.fast), "_s": full(bars, F.avg, "close", self.slow)})
+        rows = rows.withColumns({"_pf": F.lag("_f").over(by_ticker(bars)), "_ps": F.lag("_s").over(by_ticker(bars))})
         crossed = (F.col("_f") > F.col("_s")) & (F.col("_pf") <= F.col("_ps"))
         return rows.withColumn("weight", F.when(crossed, 1.0).otherwise(0.0)).drop("_f", "_s", "_pf", "_ps")
 
@@ -45,7 +45,7 @@ class EmaCross(Strategy):
 
     def weights(self, bars: DataFrame) -> DataFrame:
         rows = spans(bars, "close", {"_f": self.fast, "_s": self.slow})
-        rows = rows.withColumns({"_pf": F.lag("_f").over(by_ticker()), "_ps": F.lag("_s").over(by_ticker())})
+        rows = rows.withColumns({"_pf": F.lag("_f").over(by_ticker(bars)), "_ps": F.lag("_s").over(by_ticker(bars))})
         crossed = (F.col("_f") > F.col("_s")) & (F.col("_pf") <= F.col("_ps"))
         return rows.withColumn("weight", F.when(crossed, 1.0).otherwise(0.0)).drop("_f", "_s", "_pf", "_ps")
 
@@ -57,12 +57,12 @@ class BandReversion(Strategy):
         self.n, self.k, self.weight, self.trend = n, k, weight, trend
 
     def weights(self, bars: DataFrame) -> DataFrame:
-        low = full(F.avg, "close", self.n) - self.k * full(F.stddev_samp, "close", self.n)
+        low = full(bars, F.avg, "close", self.n) - self.k * full(bars, F.stddev_samp, "close", self.n)
         rows = bars.withColumn("_low", low)
-        rows = rows.withColumns({"_pl": F.lag("_low").over(by_ticker()), "_pc": F.lag("close").over(by_ticker())})
+        rows = rows.withColumns({"_pl": F.lag("_low").over(by_ticker(bars)), "_pc": F.lag("close").over(by_ticker(bars))})
         entry = (F.col("close") < F.col("_low")) & (F.col("_pc") >= F.col("_pl"))
         if self.trend:
-            entry &= F.col("close") > full(F.avg, "close", self.trend)
+            entry &= F.col("close") > full(bars, F.avg, "close", self.trend)
         return rows.withColumn("weight", F.when(entry, self.weight).otherwise(0.0)).drop("_low", "_pl", "_pc")
 
 
@@ -77,8 +77,8 @@ class Momentum(Strategy):
         self.lookback, self.skip, self.every, self.share, self.least, self.short = lookback, skip, every, share, least, short
 
     def weights(self, bars: DataFrame) -> DataFrame:
-        old = F.lag("close", self.lookback + self.skip).over(by_ticker())
-        rows = bars.withColumn("_r", F.lag("close", self.skip).over(by_ticker()) / F.nullif(old, F.lit(0.0)) - 1)
+        old = F.lag("close", self.lookback + self.skip).over(by_ticker(bars))
+        rows = bars.withColumn("_r", F.lag("close", self.skip).over(by_ticker(bars)) / F.nullif(old, F.lit(0.0)) - 1)
         dates = rows.groupBy("date").agg(F.count("_r").alias("_n"))
         n = F.row_number().over(Window.orderBy("date")) - 1  # one row a date, whatever the tickers
         rows = rows.join(dates.withColumn("_set", (n % self.every == 0) & (F.col("_n") >= self.least)), "date")
@@ -91,15 +91,15 @@ class Momentum(Strategy):
             low = F.greatest(F.floor(F.col("_n") * self.short), F.lit(1))
             chosen = chosen.when(F.col("_k") > F.col("_n") - low, -1 / low.cast("double"))
         fixed = F.when(F.col("_set") & F.col("_r").isNotNull(), chosen.otherwise(0.0))
-        filled = F.last("_w", ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
+        filled = F.last("_w", ignorenulls=True).over(by_ticker(bars).rowsBetween(Window.unboundedPreceding, 0))
         rows = rows.withColumn("_w", fixed)
         return rows.withColumn("weight", F.coalesce(filled, F.lit(0.0))).drop("_r", "_set", "_n", "_k", "_w")
 
 
-def _net(weight: str, fee: float, tax: float) -> Column:
+def _net(rows: DataFrame, weight: str, fee: float, tax: float) -> Column:
     """A bar's return on the weight held since the bar before, less fees and tax."""
-    held = F.coalesce(F.lag(weight).over(by_ticker()), F.lit(0.0))
-    ret = F.coalesce(F.col("close") / F.nullif(F.lag("close").over(by_ticker()), F.lit(0.0)) - 1, F.lit(0.0))
+    held = F.coalesce(F.lag(weight).over(by_ticker(rows)), F.lit(0.0))
+    ret = F.coalesce(F.col("close") / F.nullif(F.lag("close").over(by_ticker(rows)), F.lit(0.0)) - 1, F.lit(0.0))
     traded = F.col(weight) - held
     return held * ret - F.abs(traded) * fee - F.greatest(-traded, F.lit(0.0)) * tax
 
@@ -110,7 +110,7 @@ def _day(net: str) -> Column:
 
 def equity_curve(weighted: DataFrame, fee: float = FEE, tax: float = TAX) -> DataFrame:
     """date, ret, value, drawdown: the mean over tickers each day, compounded over days. No day loses everything."""
-    days = weighted.withColumn("_net", _net("weight", fee, tax)).groupBy("date").agg(_day("_net").alias("ret"))
+    days = weighted.withColumn("_net", _net(weighted, "weight", fee, tax)).groupBy("date").agg(_day("_net").alias("ret"))
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
     days = days.withColumn("value", F.exp(F.sum(F.log1p("ret")).over(w)))
     return days.withColumn("drawdown", F.col("value") / F.max("value").over(w) - 1)
@@ -139,17 +139,18 @@ def _runs(weighted: DataFrame) -> DataFrame:
     """``trade``: number of the run of bars with a weight that a bar is in or comes after, by ticker."""
     on = (F.col("weight") != 0).cast("int")
     rows = weighted.withColumn("_on", on)
-    begins = F.when((F.col("_on") == 1) & (F.coalesce(F.lag("_on").over(by_ticker()), F.lit(0)) == 0), 1).otherwise(0)
+    begins = F.when((F.col("_on") == 1) & (F.coalesce(F.lag("_on").over(by_ticker(rows)), F.lit(0)) == 0), 1).otherwise(0)
     rows = rows.withColumn("_b", begins)
-    return rows.withColumn("trade", F.sum("_b").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+    return rows.withColumn("trade", F.sum("_b").over(by_ticker(rows).rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
 
 
 def trades(weighted: DataFrame) -> DataFrame:
     """Runs of bars with a weight, by ticker: entry, exit, bars and return of the close."""
     rows = _runs(weighted).where("_on = 1")
+    at = F.struct(*in_time(rows))
     return rows.groupBy("ticker", "trade").agg(
         F.min("date").alias("entry_date"), F.max("date").alias("exit_date"), F.count("*").alias("n_bars"),
-        (F.max_by("close", "date") / F.nullif(F.min_by("close", "date"), F.lit(0.0)) - 1).alias("trade_return"),
+        (F.max_by("close", at) / F.nullif(F.min_by("close", at), F.lit(0.0)) - 1).alias("trade_return"),
     )
 
 
@@ -172,7 +173,7 @@ def stopped(weighted: DataFrame, stop_loss: float | None = None, take_profit: fl
     """A run of bars with a weight is left at the first close that has lost ``stop_loss`` or won ``take_profit`` since the
     run's first close, in the direction of the weight; it is not entered again before the run ends."""
     rows = _runs(weighted)
-    run = Window.partitionBy("ticker", "trade").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("ticker", "trade").orderBy(*in_time(rows)).rowsBetween(Window.unboundedPreceding, 0)
     won = (F.col("close") / F.nullif(F.first("close").over(run), F.lit(0.0)) - 1) * F.signum(F.first("weight").over(run))
     rows = rows.withColumn("_won", won)
     hit = F.lit(False)
@@ -188,9 +189,9 @@ def stopped(weighted: DataFrame, stop_loss: float | None = None, take_profit: fl
 def resampled(weighted: DataFrame, period: str = "month") -> DataFrame:
     """Weights change only at a ticker's last bar of each week, month or quarter, and are held until the next one."""
     part = F.trunc("date", period)
-    ends = F.coalesce(F.lead(part).over(by_ticker()) != part, F.lit(True))
+    ends = F.coalesce(F.lead(part).over(by_ticker(weighted)) != part, F.lit(True))
     rows = weighted.withColumn("_w", F.when(ends, F.col("weight")))
-    held = F.last("_w", ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
+    held = F.last("_w", ignorenulls=True).over(by_ticker(weighted).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("weight", F.coalesce(held, F.lit(0.0))).drop("_w")
 
 
@@ -200,7 +201,7 @@ def grid(bars: DataFrame, strategies: dict[str, Strategy], target: str = "sharpe
     rows = bars
     for name, s in strategies.items():
         rows = s.weights(rows).withColumnRenamed("weight", name)
-    rows = rows.select("date", *[_net(n, fee, tax).alias(n) for n in strategies])
+    rows = rows.select("date", *[_net(rows, n, fee, tax).alias(n) for n in strategies])
     days = rows.groupBy("date").agg(*[_day(n).alias(n) for n in strategies])
     tried = days.unpivot(["date"], list(strategies), "strategy", "ret").groupBy("strategy").agg(
         F.sum(F.log1p("ret")).alias("log_return"),
@@ -212,9 +213,9 @@ def grid(bars: DataFrame, strategies: dict[str, Strategy], target: str = "sharpe
 
 def sma_signal(bars: DataFrame, n: int = 20, buy: float = 2.0, sell: float = -2.0) -> DataFrame:
     """The latest bar's distance from its mean as BUY (confidence 70) or SELL (60)."""
-    mean = full(F.avg, "close", n)
+    mean = full(bars, F.avg, "close", n)
     rows = bars.withColumn("distance", (F.col("close") - mean) / F.nullif(mean, F.lit(0.0)) * 100)
-    last = rows.groupBy("ticker").agg(F.max_by(F.struct("date", "distance"), "date").alias("x")).select("ticker", "x.*")
+    last = rows.groupBy("ticker").agg(F.max_by(F.struct("date", "distance"), F.struct(*in_time(rows))).alias("x")).select("ticker", "x.*")
     action = F.when(F.col("distance") >= buy, "BUY").when(F.col("distance") <= sell, "SELL")
     confidence = F.when(F.col("action") == "BUY", 70.0).when(F.col("action") == "SELL", 60.0)
     return last.withColumn("action", action).where("action is not null").withColumn("confidence", confidence)

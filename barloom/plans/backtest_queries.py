@@ -65,7 +65,7 @@ _TREND = f"""{WITH}, wt AS (SELECT ticker, date, close, CASE WHEN {_full("avg",
 
 class _Trend(trading.Strategy):
     def weights(self, bars):
-        above = trading.full(F.avg, "close", 10) > trading.full(F.avg, "close", 30)
+        above = trading.full(bars, F.avg, "close", 10) > trading.full(bars, F.avg, "close", 30)
         return bars.withColumn("weight", F.when(above, 1.0).otherwise(0.0))
 
 

@@ -190,8 +190,8 @@ def bronze_day(spark, sf_dir):
 def training_audit(spark, sf_dir):
     """What a model of candidates was trained on, as written beside it."""
     b = bars(spark, sf_dir)
-    ret = F.col("close") / F.lag("close").over(learning.by_ticker()) - 1
-    rows = b.withColumn("_r", ret).withColumn("vol", full(F.stddev_samp, "_r", 20)).drop("_r")
+    ret = F.col("close") / F.lag("close").over(learning.by_ticker(b)) - 1
+    rows = b.withColumn("_r", ret).withColumn("vol", full(b, F.stddev_samp, "_r", 20)).drop("_r")
     labelled = learning.triple_barrier(rows, "vol").drop("vol")
     found = learning.candidates(b, {"sma": (20, 50.0, -50.0)})
     path = f"{lake.scratch(spark)}/audit/{uuid.uuid4().hex}"

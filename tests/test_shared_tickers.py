@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from barloom.sources.bars import bars
+from barloom.sources.bars import BARS_SQL, bars
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose SQL orders no rows that tie where a ticker is traded in more than one market.
@@ -62,3 +62,41 @@ def test_asked_features_meet_each_bar_of_their_ticker_and_date(spark, shared):
     frame = entry.queries()["asked_features"](spark, folder).toPandas()[names]
     wanted = con.execute(entry.oracle_sql()["asked_features"]).df()[names]
     assert wanted.duplicated(["ticker", "date"]).any() and sorted(_rows(frame)) == sorted(_rows(wanted))
+
+
+#: Where a ticker's rows of one date meet each other only by their order.
+ORDERED = ["atr_vol", "backtest_log_return", "backtest_metrics", "bb_reversion", "bb_reversion_trend", "bollinger"]
+
+
+def _in_order(sql):
+    """The SQL on bars of which those of one date stand a second apart, by market: an ORDER BY date leaves nothing open there."""
+    bar = "SELECT * REPLACE (date + to_seconds((SELECT count(*) FROM region WHERE r_name < market)) AS date) FROM tied"
+    sql = sql.replace(BARS_SQL, f"{BARS_SQL.replace('bars AS', 'tied AS', 1)}, bars AS ({bar})")
+    sql = sql.replace("(SELECT date, greatest(", "(SELECT CAST(date AS DATE) AS date, greatest(").replace("FROM h GROUP BY date", "FROM h GROUP BY CAST(date AS DATE)")
+    sql = sql.replace("date BETWEEN", "CAST(date AS DATE) BETWEEN")
+    return sql.replace("PARTITION BY ticker, date ORDER BY v DESC", "PARTITION BY ticker, CAST(date AS DATE) ORDER BY v DESC, date")
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_bars_of_a_date_are_ordered_by_market(spark, shared, name):
+    folder, con = shared
+    frame = entry.queries()[name](spark, folder).toPandas()
+    wanted = con.execute(_in_order(entry.oracle_sql()[name])).df()[list(frame.columns)]
+    key = lambda r: tuple(map(str, r))
+    assert len(frame) and sorted(map(key, _rows(frame))) == sorted(map(key, _rows(wanted)))
+
+
+@pytest.mark.parametrize("trend", [None, 9])
+def test_a_band_s_rows_of_a_date_are_ordered_by_market(spark, trend):
+    from pyspark.sql import functions as F
+
+    from barloom.operators.trading import BandReversion
+
+    rows = spark.range(200).selectExpr(
+        "'A' as ticker", "date_add(date'2020-01-01', cast(id div 2 as int)) as date", "if(id % 2 = 0, 'z', 'a') as market",
+        "cast(date_add(date'2020-01-01', cast(id + 1 - 2 * (id % 2) as int)) as date) as place", "100 + cast(id * 37 % 101 as double) as close",
+    )
+    strategy = BandReversion(n=3, k=0.5, trend=trend)
+    made = strategy.weights(rows.drop("place")).select("close", "date", "weight")
+    wanted = strategy.weights(rows.withColumns({"day": F.col("date"), "date": F.col("place")}).drop("market")).select("close", F.col("day").alias("date"), "weight")
+    assert 5 < made.where("weight > 0").count() < 195 and sorted(made.collect()) == sorted(wanted.collect())
