@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.indicators import in_time
+
 BAR_SCHEMA = (
     "market string, ticker string, date date, open double, high double, low double, close double, volume double"
 )
@@ -35,9 +37,9 @@ def select_tickers(frame: DataFrame, tickers: DataFrame) -> DataFrame:
 
 
 def clean_history(frame: DataFrame, version: str, fill: str | None = "ffill") -> DataFrame:
-    """One row a (ticker, date), the one with the largest ``version``; gaps filled forward or backward within a ticker;
-    rows without any price dropped."""
-    last = Window.partitionBy("ticker", "date").orderBy(F.desc(version))
+    """One row a (ticker, date), the one with the largest ``version``, of equal ones that of the first market; gaps filled forward or
+    backward within a ticker; rows without any price dropped."""
+    last = Window.partitionBy("ticker", "date").orderBy(F.desc(version), *in_time(frame))
     rows = frame.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", version)
     if fill:
         by = Window.partitionBy("ticker").orderBy("date")

@@ -34,7 +34,7 @@ u AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY ticker, date OR
 
 
 def _versions(spark, sf_dir):
-    b = bars(spark, sf_dir).select("ticker", "date", "open", "high", "low", "close", "volume")
+    b = bars(spark, sf_dir)
     gone = F.col("volume") % 3 == 0
     old = b.withColumns({c: F.when(~gone, F.col(c)) for c in loading.PRICES}).withColumn("v", F.lit(1))
     new = b.where("volume > 40").withColumns({"close": F.col("close") * 2, "v": F.lit(2)})
@@ -53,14 +53,14 @@ def _filled(take: str, frame: str) -> str:
 def backtest_load(spark, sf_dir):
     rows, chosen = _versions(spark, sf_dir)
     out = loading.backtest_load(rows, chosen, "1996-01-01", "1997-12-31", "v")
-    return rounded(out, *loading.PRICES)
+    return rounded(out.drop("market"), *loading.PRICES)
 
 
 @register("backtest_load_backward", _filled("first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING"))
 def backtest_load_backward(spark, sf_dir):
     rows, chosen = _versions(spark, sf_dir)
     out = loading.backtest_load(rows, chosen, "1996-01-01", "1997-12-31", "v", "bfill")
-    return rounded(out, *loading.PRICES)
+    return rounded(out.drop("market"), *loading.PRICES)
 
 
 @register("tickers_as_of", f"{WITH} SELECT DISTINCT market, ticker FROM bars WHERE date <= DATE '1995-03-01'")

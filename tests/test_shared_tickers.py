@@ -66,6 +66,7 @@ def test_asked_features_meet_each_bar_of_their_ticker_and_date(spark, shared):
 
 #: Where a ticker's rows of one date meet each other only by their order.
 ORDERED = ["atr_vol", "backtest_log_return", "backtest_metrics", "bb_reversion", "bb_reversion_trend", "bollinger"]
+LOADED = ["backtest_load", "backtest_load_backward"]
 
 
 def _in_order(sql):
@@ -77,7 +78,7 @@ def _in_order(sql):
     return sql.replace("PARTITION BY ticker, date ORDER BY v DESC", "PARTITION BY ticker, CAST(date AS DATE) ORDER BY v DESC, date")
 
 
-@pytest.mark.parametrize("name", ORDERED)
+@pytest.mark.parametrize("name", ORDERED + LOADED)
 def test_bars_of_a_date_are_ordered_by_market(spark, shared, name):
     folder, con = shared
     frame = entry.queries()[name](spark, folder).toPandas()
