@@ -27,24 +27,33 @@ def daily_news(news: DataFrame) -> DataFrame:
     )
 
 
+def _joined(bars: DataFrame, daily: DataFrame) -> DataFrame:
+    """Bars with a day's values, zeros where there are none."""
+    return bars.join(daily, KEYS, "left").na.fill(0, [c for c in daily.columns if c not in KEYS])
+
+
+def news_means(joined: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """The decayed means of the day's sentiment (``seeds``: see ``ewm.means``)."""
+    return decayed(joined, "avg_daily_sentiment", prefix="sentiment", seeds=seeds)
+
+
 def with_news(bars: DataFrame, news: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Bars with the day's news, zeros where there is none, and the sentiment's decayed means (``seeds``: see ``ewm.means``)."""
-    joined = bars.join(daily_news(news), KEYS, "left").na.fill(
-        0, ["avg_daily_sentiment", "news_count", "positive_count", "negative_count", "neutral_count", "sentiment_std"]
-    )
-    return decayed(joined, "avg_daily_sentiment", prefix="sentiment", seeds=seeds)
+    return news_means(_joined(bars, daily_news(news)), seeds)
 
 
-def with_social(bars: DataFrame, posts: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """Posts (ticker, date, source, mention_count, score, positive_score, negative_score) by day, zeros where there are none, with
-    five-row momentum and change, 0 where unknown, and the score's decayed means."""
+def daily_social(posts: DataFrame) -> DataFrame:
+    """Posts (ticker, date, source, mention_count, score, positive_score, negative_score) summed up by day."""
     of = lambda s: F.sum(F.when(F.col("source") == s, F.col("mention_count")).otherwise(0))
-    daily = posts.groupBy(*KEYS).agg(
+    return posts.groupBy(*KEYS).agg(
         F.sum("mention_count").alias("mentions"), F.avg("score").alias("social_score"),
         F.avg("positive_score").alias("social_positive"), F.avg("negative_score").alias("social_negative"),
         of("reddit").alias("reddit_mentions"), of("twitter").alias("twitter_mentions"),
     )
-    joined = bars.join(daily, KEYS, "left").na.fill(0, [c for c in daily.columns if c not in KEYS])
+
+
+def social_means(joined: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Five-row momentum and change of the day's posts, 0 where unknown, and the score's decayed means."""
     w = Window.partitionBy("ticker").orderBy("date")
     before = F.lag("mentions", 5).over(w)
     joined = joined.withColumns(
@@ -56,6 +65,11 @@ def with_social(bars: DataFrame, posts: DataFrame, seeds: DataFrame | None = Non
     return decayed(joined, "social_score", prefix="social", seeds=seeds)
 
 
+def with_social(bars: DataFrame, posts: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Bars with the day's posts, zeros where there are none, and what follows from them (see ``social_means``)."""
+    return social_means(_joined(bars, daily_social(posts)), seeds)
+
+
 def with_ratings(bars: DataFrame, ratings: DataFrame) -> DataFrame:
     """Ratings (ticker, date, consensus_score, price_target_mean, coverage_count), one row a day, with the consensus' decayed mean
     over days with ratings and the target's upside; zeros where there are none."""
@@ -104,17 +118,17 @@ def steps(
     articles_: DataFrame | None = None, macro: DataFrame | None = None, seeds: DataFrame | None = None,
 ) -> list[Step]:
     """The enrichments as steps of a feature graph. A table that is missing leaves its columns, as zeros: no row differs in shape by what
-    was there to read."""
+    was there to read. Those tagged ``daily`` join values by day and need nothing of other steps, so that they can go first, while rows are narrow."""
     lives = lambda name, days=(3, 7, 30): tuple(f"{name}_ewma_{h}d" for h in days)
     counts = ("news_count", "positive_count", "negative_count", "neutral_count")
     given = {
-        "news": (news, ("avg_daily_sentiment", *counts, "sentiment_std", *lives("sentiment")), lambda f: with_news(f, news, seeds)),
+        "news": (news, ("avg_daily_sentiment", *counts, "sentiment_std"), lambda f: _joined(f, daily_news(news))),
+        "news_means": (news, lives("sentiment"), lambda f: news_means(f, seeds)),
         "social": (
-            posts,
-            ("mentions", "social_score", "social_positive", "social_negative", "reddit_mentions", "twitter_mentions", "mention_momentum",
-             "social_score_change", *lives("social")),
-            lambda f: with_social(f, posts, seeds),
+            posts, ("mentions", "social_score", "social_positive", "social_negative", "reddit_mentions", "twitter_mentions"),
+            lambda f: _joined(f, daily_social(posts)),
         ),
+        "social_means": (posts, ("mention_momentum", "social_score_change", *lives("social")), lambda f: social_means(f, seeds)),
         "ratings": (
             ratings, ("consensus_score", "price_target_mean", "coverage_count", "consensus_ewma_7d", "target_upside"), lambda f: with_ratings(f, ratings)
         ),
@@ -132,10 +146,14 @@ def steps(
     zero = lambda columns: {c: F.lit(0).cast("long") if c in whole else F.lit(0.0) for c in columns}
     absent = lambda columns: lambda f: f.withColumns(zero(columns))
     typed = lambda run, columns: lambda f: run(f).withColumns({c: F.col(c).cast("long" if c in whole else "double") for c in columns})
+    needs = {"news_means": ("avg_daily_sentiment",), "social_means": ("mentions", "social_score")}
+    tags = lambda name: {"enrichment", name.removesuffix("_means")} | ({"daily"} if name in ("news", "social", "ratings", "articles") else set())
     made = [
-        Step(name, ("ticker", "date", "close"), columns, typed(run, columns) if table is not None else absent(columns), frozenset({"enrichment", name}))
+        Step(
+            name, ("ticker", "date", *needs.get(name, ("close",))), columns, typed(run, columns) if table is not None else absent(columns), frozenset(tags(name))
+        )
         for name, (table, columns, run) in given.items()
-    ]
+    ]
     cross = ("sentiment_volume", "sentiment_momentum", "news_social_gap")
     return [*made, Step("cross_modal", ("volume", "avg_daily_sentiment", "social_score"), cross, cross_modal, frozenset({"enrichment"}))]
 

@@ -8,7 +8,7 @@ of the other tickers as they were; earlier months are neither read nor written.
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +17,14 @@ from pyspark.sql.window import Window
 
 from barloom.functions import ewm, indicators
 from barloom.functions.graph import Graph, Step
-from barloom.operators.lake import scratch
+from barloom.operators.lake import stored
 
 #: Rows that windows look back on: twenty and one before them, or those of a month.
 REACH = 32
 #: Months before a change in which a series' rows are looked for; a series too thin for them is made from its start.
 LOOK_MONTHS = 24
+#: So many bars are dealt to a task: rows grow wide in it and are sorted there several times, which stays in memory.
+TASK_ROWS = 400_000
 #: Values that a mean has more or fewer than its row's number.
 _OFFSET = {"gain_mean": -1, "loss_mean": -1}
 
@@ -46,9 +48,14 @@ class FeatureStore:
     def _means(self, columns: list[str]) -> list[str]:
         return [c for c in columns if c in (*ewm.STATES, "macd_signal") or "_ewma_" in c]
 
-    def _made(self, bars: DataFrame, seeds: DataFrame | None) -> DataFrame:
-        """All columns of ``bars``, with their row numbers; with ``seeds`` (ticker, seed_date, row_no, obv, means), of what comes after those."""
+    def _made(self, bars: DataFrame, seeds: DataFrame | None, n_rows: int) -> DataFrame:
+        """All columns of ``bars``, with their row numbers; with ``seeds`` (ticker, seed_date, row_no, obv, means), of what comes after those.
+
+        Values by day are joined first, while rows are narrow; they are then dealt out by ticker once, in parts of ``TASK_ROWS``, as
+        all that follows is windows of a ticker. ``n_rows``: how many ``bars`` there are, or more."""
         graph, names = self._graph(seeds)
+        n_tasks = max(self.spark.sparkContext.defaultParallelism, math.ceil(n_rows / TASK_ROWS))
+        bars = graph.run(bars, graph.tagged("daily")).repartition(n_tasks, "ticker")
         at = F.row_number().over(Window.partitionBy("ticker").orderBy("date"))
         if seeds is None:
             return graph.run(bars.withColumn("row_no", at.cast("long")), names)
@@ -59,15 +66,13 @@ class FeatureStore:
         return made.withColumn("obv", F.col("obv") + F.coalesce("_obv", F.lit(0.0))).drop("_obv", ewm.SEED)
 
     def rebuild(self, bars: DataFrame) -> None:
-        self._write(self._made(bars, None))
+        self._write(self._made(bars, None, bars.count()))
 
     def _write(self, rows: DataFrame) -> None:
-        """Replaces the months that ``rows`` has; staged first, so that a write may read the months that it replaces."""
-        staged = f"{scratch(self.spark)}/features-staged/{uuid.uuid4().hex}"
+        """Replaces the months that ``rows`` has, once all are written: a write may read the months that it replaces. Each task writes its own
+        rows of each month, so wide rows are neither staged nor shuffled."""
         rows = rows.withColumn("month_of", _month("date"))
-        rows.write.parquet(staged)
-        ready = self.spark.read.schema(rows.schema).parquet(staged).repartition("month_of")
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month_of").parquet(self.folder)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month_of").parquet(self.folder)
 
     def read(self, first_month: str | None = None, last_month: str | None = None) -> DataFrame:
         """The stored rows, of the months between only."""
@@ -80,29 +85,27 @@ class FeatureStore:
 
     def update(self, bars: DataFrame, changed: DataFrame) -> None:
         """Takes in ``changed`` (ticker, date), bars that were added, altered or removed in ``bars`` since the last run."""
-        first = changed.groupBy("ticker").agg(F.min("date").alias("changed_from"))
+        first = stored(changed.groupBy("ticker").agg(F.min("date").alias("changed_from")))
         earliest = first.agg(F.min("changed_from")).first()[0]
         if earliest is None:
             return
         look = self.spark.range(1).select(_month(F.add_months(F.lit(earliest), -LOOK_MONTHS))).first()[0]
         names = self._means(self._graph(None)[1])
-        stored = self.read(look).select("ticker", "date", "row_no", "obv", *names)
-        before = stored.join(first, "ticker").where(F.col("date") < F.col("changed_from"))
+        known = self.read(look).select("ticker", "date", "row_no", "obv", *names)
+        before = known.join(first, "ticker").where(F.col("date") < F.col("changed_from"))
         last = before.groupBy("ticker").agg(F.max("row_no").alias("last_no"), F.max("date").alias("last_date"))
         seeds = before.join(last, "ticker").where((F.col("row_no") == F.col("last_no") - REACH) & (F.col("row_no") >= 15))
         seeds = seeds.select(
             "ticker", F.col("date").alias("seed_date"), "row_no", "obv", "last_date", *names,
             *[(F.col("row_no") + _OFFSET.get(n, 0)).alias(f"{n}__n") for n in names],
         )
-        staged = f"{scratch(self.spark)}/features-seeds/{uuid.uuid4().hex}"
-        seeds.write.parquet(staged)
-        seeds = self.spark.read.schema(seeds.schema).parquet(staged)  # a row a changed ticker, read by every mean
+        seeds = stored(seeds)  # a row a changed ticker, read by every mean
 
         spans = first.join(seeds.select("ticker", "seed_date", "last_date"), "ticker", "left")
         near = F.col("seed_date").isNull() | (F.col("date") >= F.col("seed_date"))
         rows = bars.join(spans.select("ticker", "seed_date"), "ticker").where(near).drop("seed_date")
         # the last row before the change has a new target; series without a seed are made whole
-        made = self._made(rows, seeds).join(spans.select("ticker", "last_date"), "ticker")
+        made = self._made(rows, seeds, bars.count()).join(spans.select("ticker", "last_date"), "ticker")
         made = made.where(F.col("last_date").isNull() | (F.col("date") >= F.col("last_date"))).drop("last_date")
         whole = spans.where("last_date is null").join(bars.select("ticker", "date"), "ticker").agg(F.min("date")).first()[0]
         starts = [d for d in (whole, spans.agg(F.min(F.least("changed_from", "last_date"))).first()[0]) if d is not None]
@@ -127,8 +130,8 @@ class FeatureStore:
         rows = rows.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
         if tickers is not None:
             rows = rows.where(F.col("ticker").isin(tickers))
-        size = F.max("row_no").over(Window.partitionBy("ticker"))
-        rows = rows.withColumn("_n", size).where(F.col("_n") >= least_rows).drop("_n", "row_no")
+        enough = rows.groupBy("ticker").agg(F.max("row_no").alias("_n")).where(F.col("_n") >= least_rows).select("ticker")
+        rows = rows.join(F.broadcast(enough), "ticker", "left_semi").drop("row_no")  # a row a ticker
         rows = rows.dropna(subset=["close", "volume", "rsi_14", "macd"]).withColumn("feature_schema_version", F.lit(ewm.VERSION))
         rows = indicators.zscore(rows, list(z_scores)) if z_scores else rows
         rows = rows.withColumn("date", F.col("date").cast("timestamp"))
