@@ -175,12 +175,13 @@ def drift(spark, sf_dir):
       SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY v DESC) AS k FROM u) WHERE k = 1 AND close > 0""",
 )
 def clean_bars(spark, sf_dir):
-    """The last version of each bar, without bad closes and null volumes."""
-    b = bars(spark, sf_dir).select("ticker", "date", "close", "volume")
+    """The last version of each ticker and date, of equal ones that of the last market, without bad closes and null volumes."""
+    b = bars(spark, sf_dir).select("market", "ticker", "date", "close", "volume")
     old = b.withColumns({"volume": F.nullif("volume", F.lit(10.0)), "v": F.lit(1)})
     fixed = F.when(F.col("volume") == 40, -F.col("close")).otherwise(F.col("close") * 2)
     new = b.where("volume > 30").withColumns({"close": fixed, "v": F.lit(2)})
-    return rounded(validation.clean(old.unionByName(new), ["ticker", "date"], [F.col("v")]), "close")
+    made = validation.clean(old.unionByName(new), ["ticker", "date"], [F.col("v"), F.col("market")])
+    return rounded(made.drop("market"), "close")
 
 
 @register(
